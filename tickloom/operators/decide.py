@@ -298,7 +298,7 @@ def basket_backtest(
     stamps = prices.select("us").distinct().select(F.lit("clock").alias("symbol"), "us")
     from tickloom.operators.chunks import numbered
 
-    clock = numbered(stamps, layout, "_at").select("us", (F.col("_at") - 1).alias("at"))
+    clock = numbered(stamps, layout, "_at").select("us", (F.col("_at") - 1).alias("start_row"))
     total = stamps.agg(F.count(F.lit(1)).alias("_n"))
     moved = relative_returns(prices, lookback, layout=layout)
     ahead = chunked(moved, layout, rows_ahead=hold, spine=prices)
@@ -315,13 +315,13 @@ def basket_backtest(
     )
     held = basket_weights(forward, basket).join(clock, "us").join(F.broadcast(total))  # one row
     picked = held.filter(
-        (F.col("at") >= lookback)
-        & (F.col("at") < F.col("_n") - hold)
-        & ((F.col("at") - lookback) % step == 0)
+        (F.col("start_row") >= lookback)
+        & (F.col("start_row") < F.col("_n") - hold)
+        & ((F.col("start_row") - lookback) % step == 0)
         & (F.col("weight") != 0)
         & F.col("forward").isNotNull()
     )
-    return picked.groupBy("at").agg(
+    return picked.groupBy("start_row").agg(
         F.count(F.lit(1)).alias("names"),
         F.sum(F.col("weight") * F.col("forward")).alias("gross_bp"),
         (F.sum(F.abs("weight")) * cost_bp).alias("cost_bp"),

@@ -19,26 +19,44 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.columns import BP, ratio
 from tickloom.functions.costs import TakerCosts
-from tickloom.operators.chunks import BOOK, Layout, chunked, numbered
+from tickloom.operators.chunks import BOOK, Layout, chunk_map, chunked, numbered
+from tickloom.session import materialised
 
 CHUNK = 1 << 18
 #: Rows of a bucket when the axis is a row number.
 ROW_BUCKET = 1 << 16
+#: Microseconds of a bucket when the axis is time.
+TIME_BUCKET = 3_600_000_000
 
 
 def greedy_entries(
-    candidates: DataFrame, key: Sequence[str], *, at: str = "row", free: str = "free_at", chunk: int = CHUNK
+    candidates: DataFrame,
+    key: Sequence[str],
+    *,
+    at: str = "row",
+    free: str = "free_at",
+    bucket: int = ROW_BUCKET,
+    chunk_rows: int = CHUNK,
 ) -> DataFrame:
     """Candidates taken greedily: the first, then each first one at or after the last one's ``free``.
 
     ``at`` and ``free`` are positions on one axis (row numbers or microseconds); ``free > at``.
+    Chunks hold about ``chunk_rows`` candidates, cut on buckets of ``bucket`` positions.
     """
     keys = list(key)
-    placed = candidates.withColumn("_chunk", F.floor(F.col(at) / F.lit(chunk)).cast("long"))
-    # A state carried into a chunk lies within the longest hold of the chunk's start.
-    reach = placed.groupBy(*keys).agg(F.max(F.col(free) - F.col(at)).alias("_reach"))
+    layout = Layout(
+        key=tuple(keys), order=(at,), us=at, bucket_s=bucket / 1e6, chunk_rows=chunk_rows
+    )
+    stored = materialised(candidates)
+    plan = chunk_map(stored, layout).select(*keys, "_bucket", F.col("_c").alias("_chunk"))
+    # A state carried into a chunk lies within the longest hold of the chunk's first candidate.
+    reach = stored.groupBy(*keys).agg(F.max(F.col(free) - F.col(at)).alias("_reach"))
+    placed = (
+        stored.withColumn("_bucket", layout.bucket()).join(plan, [*keys, "_bucket"]).drop("_bucket")
+    )
     key_fields = [f for f in candidates.schema.fields if f.name in keys]
     key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields)
+    key_names = [f.name for f in key_fields]
 
     def outcomes(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(at)
@@ -48,12 +66,10 @@ def greedy_entries(
         for i in range(len(pos) - 1, -1, -1):
             if nxt[i] < len(pos):
                 leaves[i] = leaves[nxt[i]]
-        # States reach at most this far into the chunk; the first candidate answers earlier ones.
-        start = frame["_chunk"].iloc[0] * chunk
-        used = (pos <= start + frame["_reach"].iloc[0]) | (np.arange(len(pos)) == 0)
-        used[: min(len(pos), int(np.searchsorted(pos, start + frame["_reach"].iloc[0])) + 1)] = True
-        head = frame.loc[used, [*keys, "_chunk"]].copy()
-        head["pos"], head["leaves"] = pos[used], leaves[used]
+        # The first candidate at or after any state that can be carried in, and no others.
+        used = int(np.searchsorted(pos, pos[0] + frame["_reach"].iloc[0], side="left")) + 1
+        head = frame.iloc[:used][[*key_names, "_chunk"]].copy()
+        head["pos"], head["leaves"] = pos[:used], leaves[:used]
         return head
 
     maps = (
@@ -70,7 +86,7 @@ def greedy_entries(
             if i < len(part):
                 state = int(part["leaves"].to_numpy()[i])
         result = pd.DataFrame(out, columns=["_chunk", "_state"])
-        for name in reversed(keys):
+        for name in reversed(key_names):
             result.insert(0, name, frame[name].iloc[0])
         return result
 
@@ -244,7 +260,8 @@ def thin(
     key: Sequence[str] = ("symbol",),
     *,
     marker: str | None = None,
-    chunk: int = CHUNK,
+    bucket: int = ROW_BUCKET,
+    chunk_rows: int = CHUNK,
     layout: Layout = BOOK,
 ) -> DataFrame:
     """One position at a time over rows numbered from 0 in ``row``.
@@ -257,7 +274,7 @@ def thin(
         found = exits_on_path(rows, rules, last, key, layout, marker)
     else:
         found = exits_on_clock(rows, rules, last, key)
-    picked = greedy_entries(found, key, chunk=chunk)
+    picked = greedy_entries(found, key, bucket=bucket, chunk_rows=chunk_rows)
     return picked.drop("free_at").withColumnRenamed("row", "entry_row")
 
 
@@ -422,7 +439,7 @@ def walked_label(table: DataFrame) -> Column:
 
 
 def take_from_table(
-    table: DataFrame, decisions: DataFrame, fee_bp: float, *, chunk: int = 3_600_000_000
+    table: DataFrame, decisions: DataFrame, fee_bp: float
 ) -> DataFrame:
     """Decisions traded from a hold table, one position at a time.
 
@@ -443,5 +460,5 @@ def take_from_table(
         "exit_exceeds",
         (F.col("exit_us") + 1).alias("free_at"),
     )
-    return greedy_entries(rows, ["symbol", "hold_s"], at="us", chunk=chunk).drop("free_at")
+    return greedy_entries(rows, ["symbol", "hold_s"], at="us", bucket=TIME_BUCKET).drop("free_at")
 
