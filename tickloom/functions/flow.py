@@ -243,6 +243,7 @@ def lag_log_changes(book: DataFrame, lags_s: Sequence[float]) -> DataFrame:
             list(names),
             at=F.col("us") - round(s * US),
             names={n: f"_{n}_{s}" for n in names} | {"r_us": f"_at_{s}"},
+            stored=s != lags_s[0],
         )
     return out.select(
         *KEYS,

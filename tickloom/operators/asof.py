@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.columns import US, day_of
 from tickloom.operators.chunks import Layout, chunked, last_known, own, running
+from tickloom.session import materialised
 
 PAIRED = Layout(order=("us", "_tag", "_tie"))
 
@@ -64,13 +65,18 @@ def asof_join(
     names: Mapping[str, str] | None = None,
     layout: Layout | None = None,
     spine: DataFrame | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """``left`` with ``values`` and ``r_us`` of the nearest right row.
 
     Backward by default: the last right row stamped at or before ``at`` (default: the row's own
     ``us``), or strictly before with ``strict``. ``forward`` takes the first at or after (after
     with ``strict``). A match further than ``tolerance_s`` is missing. ``names`` renames outputs.
+    ``stored`` writes ``left`` to the shared folder first: the scan reads its input twice, so a left
+    side that is itself the result of an as-of join would otherwise be computed again and again.
     """
+    if stored:
+        left = materialised(left)
     when = F.col("us") if at is None else at
     lay = layout or Layout(key=tuple(key), order=("us", "_tag", "_tie"))
     # Backward and inclusive: right rows sort first on a tie. Strict or forward flips it once.
@@ -179,6 +185,7 @@ def entry_exit(
         at=at,
         forward=True,
         names=columns,
+        stored=True,
     )
     return found.unionByName(
         entry.filter(F.col("entry_us").isNull()), allowMissingColumns=True

@@ -18,6 +18,7 @@ from tickloom.functions.columns import BP, US, day_of
 from tickloom.operators.asof import asof_join
 from tickloom.operators.chunks import Layout, chunked, own
 from tickloom.operators.quantiles import quantile_by
+from tickloom.session import materialised
 
 KEY = ("symbol", "day", "side")
 DAY_US = 86_400 * US
@@ -76,7 +77,7 @@ def stamp_groups(prints: DataFrame, settings: FillSettings) -> DataFrame:
     short = F.greatest(F.lit(settings.clip) - F.col("_taken"), F.lit(0.0))
     beyond = F.when(short > settings.tolerance * settings.clip, short).otherwise(0.0)
     sweep_worst = F.when(buy, F.col("_high")).otherwise(F.col("_low"))
-    return rows.withColumn("beyond", beyond).select(
+    priced = rows.withColumn("beyond", beyond).select(
         *KEY,
         "us",
         ((F.col("_cost") + F.col("beyond") * sweep_worst) / settings.clip).alias("rule"),
@@ -90,6 +91,8 @@ def stamp_groups(prints: DataFrame, settings: FillSettings) -> DataFrame:
         "last_price",
         F.lit(0).cast("long").alias("tie"),
     )
+    # Every order type looks the groups up several times; they are written once.
+    return materialised(priced)
 
 
 def fill_orders(
@@ -102,7 +105,7 @@ def fill_orders(
     """
     effective = F.greatest("arrival_us", "not_before_us")
     values = ["rule", "optimistic", "pessimistic", "sweep", "beyond"]
-    rows = orders.withColumn("us", effective)
+    rows = materialised(orders.withColumn("us", effective))
     hit = asof_join(
         rows, groups, values, key=KEY, right_tie="tie", forward=True, names={"r_us": "print_us"}
     )
@@ -115,6 +118,7 @@ def fill_orders(
         at=F.col("decision_us"),
         right_tie="tie",
         names={"last_price": "_stale", "r_us": "_stale_us"},
+        stored=True,
     )
     found = F.col("print_us").isNotNull() & (F.col("print_us") < F.col("until_us"))
     out = seen.withColumn("found", F.coalesce(found, F.lit(False)))
@@ -127,6 +131,7 @@ def fill_orders(
             key=KEY,
             right_tie="tie",
             names={"last_price": "_own", "r_us": "_own_us"},
+            stored=True,
         )
         flipped = last.select("symbol", "day", (-F.col("side")).alias("side"), "us", "last_price", "tie")
         out = asof_join(
@@ -136,6 +141,7 @@ def fill_orders(
             key=KEY,
             right_tie="tie",
             names={"last_price": "_other", "r_us": "_other_us"},
+            stored=True,
         )
         back_price = F.coalesce("_own", "_other")
         back_us = F.when(F.col("_own").isNotNull(), F.col("_own_us")).otherwise(F.col("_other_us"))
@@ -217,6 +223,7 @@ def round_trips(
         key=("symbol", "day"),
         forward=True,
         names={"r_us": "row_us"},
+        stored=True,
     )
     shut = flatten_at(F.col("day"), settings.flatten)
     late = F.col("row_us").isNull() | (F.col("row_us") > shut)
@@ -266,6 +273,7 @@ def side_pnl(trips: DataFrame, mids: DataFrame, fee_bp: float = 0.0) -> DataFram
         mids,
         ["mid"],
         names={"r_us": "mid_us"},
+        stored=True,
     )
     pnl = F.col("side") * (F.col("exit_rule") - F.col("entry_rule")) / F.col("mid") * BP - 2 * fee_bp
     return at_entry.select("symbol", "seq", "side", "entry_us", "exit_us", pnl.alias("pnl_bp"))

@@ -70,6 +70,7 @@ def decompose(fills: DataFrame, mids: DataFrame, horizon_s: float, fee_bp: float
         at=F.col("us") + round(horizon_s * US),
         left_tie="trade_id",
         names={"mid": "mid_later", "r_us": "_b"},
+        stored=True,
     ).withColumn("day", day_of("us"))
     marks = mids.groupBy("symbol", day_of("us").alias("day")).agg(
         F.max_by("mid", F.struct("us", "seq")).alias("mark")

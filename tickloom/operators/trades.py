@@ -409,6 +409,7 @@ def hold_table(
         at=F.col("entry_us") + (F.col("hold_s") * 1_000_000).cast("long"),
         forward=True,
         names=named,
+        stored=True,
     )
     mid = F.col("entry_mid")
     long_ = (F.col("exit_sell_vwap") - F.col("entry_buy_vwap")) / mid * BP - 2 * fee_bp

@@ -171,7 +171,7 @@ WALKED = f"""
     e AS (SELECT d.symbol, d.us, d.seq, n.us AS entry_us, n.mid AS em, n.bv AS ebv, n.sv AS esv,
       n.be OR n.se AS entry_exceeds FROM v d ASOF JOIN v n ON d.symbol = n.symbol
       AND d.us + 1000000 <= n.us),
-    h AS (SELECT e.*, hold FROM e, (VALUES (1800), (7200)) t(hold)),
+    h AS (SELECT e.*, hold FROM e, (VALUES (CAST(1800 AS BIGINT)), (7200)) t(hold)),
     ht AS (SELECT h.symbol, h.us, h.seq, h.hold AS hold_s, h.entry_us, x.us AS exit_us,
       (x.sv - h.ebv) / h.em * 1e4 AS long_bp, (h.esv - x.bv) / h.em * 1e4 AS short_bp,
       CASE WHEN x.us IS NULL THEN false ELSE h.entry_exceeds END AS entry_exceeds,
