@@ -72,3 +72,11 @@ def day_of(us: Column | str) -> Column:
 def utc_micros(ts: Column) -> Column:
     """Epoch microseconds of a timestamp; the session time zone must be UTC."""
     return F.unix_micros(ts.cast("timestamp"))
+
+
+def corr(x: Column | str, y: Column | str) -> Column:
+    """Correlation of the pairs both sides have; NULL (not an error) when either side is flat."""
+    a, b = col(x), col(y)
+    both = a.isNotNull() & b.isNotNull()
+    u, v = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    return F.try_divide(F.covar_pop(u, v), F.stddev_pop(u) * F.stddev_pop(v))

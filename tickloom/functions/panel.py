@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.columns import BP, clip, ln, median, quantile, ratio, rolling
+from tickloom.functions.columns import BP, clip, corr, ln, median, quantile, ratio, rolling
 from tickloom.operators.asof import asof_join
 from tickloom.operators.chunks import BARS, BOOK, Layout, chunked, own
 
@@ -482,7 +482,7 @@ def index_autocorrelation(index: DataFrame, lag: int, layout: Layout = BARS) ->
             ((F.lead(x, lag).over(w) - x) * BP).alias("next"),
         )
     )
-    return pairs.groupBy("symbol").agg(F.corr("past", "next").alias("autocorrelation"))
+    return pairs.groupBy("symbol").agg(corr("past", "next").alias("autocorrelation"))
 
 
 def trailing_autocorrelation(
@@ -530,7 +530,7 @@ def trailing_autocorrelation(
     )
     days = placed.groupBy("symbol").agg(F.max("_row").alias("_last"))
     fitted = spread.groupBy("symbol", "d").agg(
-        F.count(F.lit(1)).alias("pairs"), F.corr("past", "next").alias("autocorrelation")
+        F.count(F.lit(1)).alias("pairs"), corr("past", "next").alias("autocorrelation")
     )
     start = F.col("d") * rows_per_day + window_rows
     return (

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.columns import BP, clip, ratio
+from tickloom.functions.columns import BP, clip, corr, ratio
 from tickloom.functions.costs import TakerCosts
 from tickloom.functions.panel import average_rank, index_level
 from tickloom.operators.chunks import BARS, BOOK, Layout, chunked, own, running
@@ -351,7 +351,7 @@ def leg_decisions(rows: DataFrame, legs: int = 3, score: str = "score") -> DataF
     side = F.when(F.col("_low") > F.col("_n") - legs, 1).when(F.col("_low") <= legs, -1)
     gross = side * F.col("fwd")
     return placed.groupBy("us").agg(
-        F.corr("_rs", "_rt").alias("ic"),
+        corr("_rs", "_rt").alias("ic"),
         F.avg(gross).alias("gross"),
         F.avg(F.when(side.isNotNull(), F.col("cost"))).alias("cost"),
         F.avg(gross - F.when(side.isNotNull(), F.col("cost"))).alias("net"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.columns import BP, US, day_of
+from tickloom.functions.columns import BP, US, corr, day_of
 from tickloom.functions.costs import TakerCosts
 from tickloom.operators.asof import asof_join
 from tickloom.operators.chunks import BOOK, Layout, chunked, own
@@ -259,7 +259,7 @@ def headroom_screen(
         F.count_distinct(day_of("us")).alias("days"),
         F.stddev_pop("forward_bp").alias("volatility_bp"),
         F.avg(clears).alias("headroom"),
-        F.corr("queue_imbalance", "forward_bp").alias("information_coefficient"),
+        corr("queue_imbalance", "forward_bp").alias("information_coefficient"),
     )
     edge = F.abs("information_coefficient") * F.col("volatility_bp") / F.col("round_trip_bp")
     return facts.withColumn("edge_over_cost", edge).orderBy(

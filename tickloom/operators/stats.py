@@ -9,9 +9,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.columns import ratio
+from tickloom.functions.columns import corr, ratio
 from tickloom.functions.distributions import normal_cdf, normal_quantile, t_upper_tail
 from tickloom.functions.panel import average_rank
+from tickloom.session import materialised
 
 EULER_GAMMA = 0.5772156649015329  # fixed value
 T_BAR = 3.0
@@ -34,7 +35,7 @@ def pair_correlations(panel: DataFrame, series: str, cluster: str, value: str) -
     """
     a = panel.select(cluster, F.col(series).alias("a"), F.col(value).alias("x"))
     b = panel.select(cluster, F.col(series).alias("b"), F.col(value).alias("y"))
-    return a.join(b, cluster).filter("a < b").groupBy("a", "b").agg(F.corr("x", "y").alias("corr"))
+    return a.join(b, cluster).filter("a < b").groupBy("a", "b").agg(corr("x", "y").alias("corr"))
 
 
 def effective_count(n: Column, correlation: Column) -> Column:
@@ -372,6 +373,7 @@ def reliability(rows: DataFrame, predicted: str, actual: str, bins: int = 10) ->
     """Predicted against observed frequency in quantile buckets; equal edges are merged."""
     from tickloom.operators.quantiles import quantile_by
 
+    rows = materialised(rows.select(predicted, actual))  # every edge reads it again
     edges: DataFrame | None = None
     for k in range(bins + 1):
         one = quantile_by(rows, [], predicted, k / bins, f"_e{k}")
@@ -533,7 +535,7 @@ def rank_ic(rows: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     ranked = both.select(
         *by, average_rank(x, by).alias("_x"), average_rank(y, by).alias("_y")
     )
-    return ranked.groupBy(*by).agg(F.corr("_x", "_y").alias("rank_ic"), F.count(F.lit(1)).alias("n"))
+    return ranked.groupBy(*by).agg(corr("_x", "_y").alias("rank_ic"), F.count(F.lit(1)).alias("n"))
 
 
 def breakeven_on_grid(nets: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -679,7 +681,7 @@ def carry_forward(ledger: DataFrame, key: str, months: DataFrame, embargo_days:
 
 def ic_by_horizon(rows: DataFrame, feature: str, horizons: Sequence[int]) -> DataFrame:
     """Correlation of a feature with each forward move column ``fwd_<h>``."""
-    wide = rows.agg(*[F.corr(feature, f"fwd_{h}").alias(str(h)) for h in horizons])
+    wide = rows.agg(*[corr(feature, f"fwd_{h}").alias(str(h)) for h in horizons])
     return wide.unpivot([], [str(h) for h in horizons], "horizon", "ic").withColumn(
         "horizon", F.col("horizon").cast("long")
     )

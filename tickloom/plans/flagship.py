@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.functions.columns import corr
+
 from tickloom.functions.book import build_features
 from tickloom.functions.labels import forward_return, three_class
 from tickloom.plans.fixtures import Fixtures
@@ -21,8 +23,8 @@ def flagship(spark: SparkSession, sf_dir: str, horizon: int = 20) -> DataFrame:
     out = rows.withColumn("label", label).groupBy("symbol").agg(
         F.count(F.lit(1)).alias("rows"),
         F.avg("spread_bp").alias("mean_spread_bp"),
-        F.corr("queue_imbalance", "forward_bp").alias("information_coefficient"),
-        F.corr("mid_return_20_bp", "forward_bp").alias("momentum_coefficient"),
+        corr("queue_imbalance", "forward_bp").alias("information_coefficient"),
+        corr("mid_return_20_bp", "forward_bp").alias("momentum_coefficient"),
         F.stddev_samp("forward_bp").alias("volatility_bp"),
         F.avg(F.abs("label").cast("double")).alias("share_moving"),
     )

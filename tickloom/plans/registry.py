@@ -74,8 +74,8 @@ def full_sql(q: Query) -> str:
     """The statement with its views in front and its floats rounded."""
     assert q.sql is not None
     views = ", ".join(f"{v} AS ({VIEWS[v]})" for v in used_views(q.sql))
-    fix = [f"round(CAST({c} AS DOUBLE), {q.digits}) + 0.0 AS {c}" for c in q.doubles]
-    fix += [f"CAST({c} AS BIGINT) AS {c}" for c in q.longs]
+    fix = [f'round(CAST("{c}" AS DOUBLE), {q.digits}) + 0.0 AS "{c}"' for c in q.doubles]
+    fix += [f'CAST("{c}" AS BIGINT) AS "{c}"' for c in q.longs]
     star = f"* REPLACE ({', '.join(fix)})" if fix else "*"
     head = f"WITH {views} " if views else ""
     return f"{head}SELECT {star} FROM ({q.sql.strip()}) AS result"
