@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.columns import BP, US, bp_change, ratio, rolling
 from tickloom.operators.asof import asof_join, entry_exit
-from tickloom.operators.chunks import BOOK, Layout, chunked, own
+from tickloom.operators.chunks import BOOK, Layout, chunked, numbered, own
 
 KEYS = ("symbol", "us", "seq")
 
@@ -216,8 +216,7 @@ def shift_by_days(labels: DataFrame, shift: int, label: str) -> DataFrame:
     from tickloom.functions.columns import day_of
 
     staged = labels.withColumn("day", day_of("us"))
-    w = Window.partitionBy("symbol", "day").orderBy("us", "seq")
-    placed = staged.withColumn("_n", F.row_number().over(w))
+    placed = numbered(staged, Layout(key=("symbol", "day")), "_n")
     days = staged.select("symbol", "day").distinct()
     per = Window.partitionBy("symbol")
     index = days.select(

@@ -83,10 +83,12 @@ def rebuild(
         frame = frame.sort_values(["us", "recv"], kind="stable")
         book: dict[str, dict[float, float]] = {"b": {}, "a": {}}
         out, seen = [], None
-        for (us, recv, update), part in frame.groupby(["us", "recv", "update_id"], sort=False):
-            for side, price, size in zip(part["side"], part["price"], part["size"], strict=True):
-                apply_change(book, side, price, size)
-            if recv < 0 or not (book["b"] and book["a"]) or us // grid_us == seen:
+        columns = [frame[c].tolist() for c in ("us", "recv", "update_id", "side", "price", "size")]
+        recvs = [*columns[1][1:], None]
+        for us, recv, update, side, price, size, following in zip(*columns, recvs, strict=True):
+            apply_change(book, side, price, size)
+            # A message is complete at its last change.
+            if recv < 0 or recv == following or us // grid_us == seen or not (book["b"] and book["a"]):
                 continue
             seen = us // grid_us
             levels = best_levels(book, depth)

@@ -656,7 +656,10 @@ def carry_forward(ledger: DataFrame, key: str, months: DataFrame, embargo_days:
     )
     w = Window.partitionBy(key).orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
     # Every (cell, month) is listed so that a month without trades still carries the past.
-    grid = ledger.select(key).distinct().join(F.broadcast(months))  # the calendar of months
+    calendar = months.agg(F.array_sort(F.collect_set("month")).alias("_m"))  # one row
+    grid = ledger.select(key).distinct().join(F.broadcast(calendar)).select(
+        key, F.explode("_m").alias("month")
+    )
     past = grid.join(monthly.withColumnRenamed("m", "month"), [key, "month"], "left").select(
         key,
         "month",

@@ -81,23 +81,24 @@ def u4(fx: Fixtures) -> DataFrame:
     d="span",
 )
 def u5(fx: Fixtures) -> DataFrame:
-    hour = F.floor(F.col("us") / F.lit(3_600_000_000)).cast("long")
-    parts = fx.prints.select("symbol", hour.alias("hour"), "price")
+    # Six-hour groups: bounded by time, and several a day for a busy instrument.
+    slot = F.floor(F.col("us") / F.lit(21_600_000_000)).cast("long")
+    parts = fx.prints.select("symbol", slot.alias("slot"), "price")
 
     def summarise(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(
             {
                 "symbol": frame["symbol"].iloc[:1],
-                "hour": frame["hour"].iloc[:1],
+                "slot": frame["slot"].iloc[:1],
                 "low": frame["price"].min(),
                 "high": frame["price"].max(),
                 "n": len(frame),
             }
         )
 
-    hours = plugins.per_group(
-        parts, ["symbol", "hour"], summarise, "symbol string, hour long, low double, high double, n long"
+    slots = plugins.per_group(
+        parts, ["symbol", "slot"], summarise, "symbol string, slot long, low double, high double, n long"
     )
-    return hours.groupBy("symbol", F.floor(F.col("hour") / 24).cast("long").alias("day")).agg(
+    return slots.groupBy("symbol", F.floor(F.col("slot") / 4).cast("long").alias("day")).agg(
         (F.max("high") - F.min("low")).alias("span"), F.sum("n").alias("prints")
     )
