@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import (
@@ -443,6 +443,49 @@ LEVEL_COLUMNS = ("spread_bp", "queue_imbalance", "microprice_dev_bp")
 DIFF_COLUMNS = ("log_mid", "log_bid_size", "log_ask_size", "log_total_size")
 
 
+#: From this many rows on, rolling moments are differences of running sums: O(1) a row.
+LONG_WINDOW = 32
+
+
+def running_moments(name: str, x: Column, w: WindowSpec) -> list[dict[str, Column]]:
+    """Stages of running columns from which any rolling mean and deviation of ``x`` follows.
+
+    Values are centred on the chunk's first, so sums stay small; changes are counted, so that a
+    window in which nothing moved has a deviation of exactly zero.
+    """
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    c = F.col(f"_c_{name}")
+    return [
+        {
+            f"_c_{name}": x - F.first(x, ignorenulls=True).over(upto),
+            f"_0_{name}": F.first(x, ignorenulls=True).over(upto),
+            f"_e_{name}": F.coalesce(x != F.lag(x).over(w), F.lit(False)).cast("int"),
+        },
+        {
+            f"_n_{name}": F.count(c).over(upto),
+            f"_s_{name}": F.sum(c).over(upto),
+            f"_q_{name}": F.sum(c * c).over(upto),
+            f"_k_{name}": F.sum(f"_e_{name}").over(upto),
+        },
+    ]
+
+
+def rolled_moments(name: str, w: WindowSpec, n: int) -> tuple[Column, Column]:
+    """Mean and deviation of the last ``n`` rows from running columns; NULL unless all are known."""
+
+    def span(c: str, rows: int) -> Column:
+        return F.col(c) - F.coalesce(F.lag(c, rows).over(w), F.lit(0))
+
+    full = span(f"_n_{name}", n) == n
+    total, squares = span(f"_s_{name}", n), span(f"_q_{name}", n)
+    before = F.coalesce(F.lag(f"_k_{name}", n - 1).over(w), F.lit(0))
+    flat = F.col(f"_k_{name}") == before
+    var = (squares - total * total / n) / (n - 1)
+    mean = F.when(full, F.col(f"_0_{name}") + total / n)
+    std = F.when(full, F.when(flat, F.lit(0.0)).otherwise(F.sqrt(F.greatest(var, F.lit(0.0)))))
+    return mean, std
+
+
 def expand(
     base: DataFrame,
     *,
@@ -453,12 +496,27 @@ def expand(
     layout: Layout = BOOK,
     spine: DataFrame | None = None,
 ) -> DataFrame:
-    """Lags, changes, rolling means, deviations and z-scores, in one select over one sort."""
+    """Lags, changes, rolling means, deviations and z-scores over one shuffle and one sort."""
     back = max([*windows, *lags]) + 2
     cut = chunked(base, layout, rows_back=back, spine=spine)
     w = layout.window()
+    long = [n for n in windows if n >= LONG_WINDOW]
     staged = cut.select("*", *[(F.col(d) - F.lag(d).over(w)).alias(f"_{d}") for d in diffs])
+    series = {n: F.col(n) for n in levels}
+    series |= {f"_{d}": F.col(f"_{d}") for d in diffs} | {f"_abs_{d}": F.abs(f"_{d}") for d in diffs}
+    if long:
+        stages = [running_moments(n, x, w) for n, x in series.items()]
+        for k in range(2):
+            staged = staged.select("*", *[c.alias(n) for st in stages for n, c in st[k].items()])
+
+    def moments(name: str, n: int) -> tuple[Column, Column]:
+        if n >= LONG_WINDOW:
+            return rolled_moments(name, w, n)
+        x = series[name]
+        return rolling(F.avg, x, w, n), rolling(F.stddev_samp, x, w, n)
+
     out: list[Column] = []
+    scores: list[Column] = []
     for name in levels:
         x = F.col(name)
         out.append(x)
@@ -466,26 +524,25 @@ def expand(
             was = F.lag(name, k).over(w)
             out += [was.alias(f"{name}_lag{k}"), (x - was).alias(f"{name}_chg{k}")]
         for n in windows:
-            mean = rolling(F.avg, name, w, n)
-            std = rolling(F.stddev_samp, name, w, n)
-            score = F.when(std == 0, F.lit(0.0)).when(std > 0, (x - mean) / std)
-            out += [
-                mean.alias(f"{name}_mean{n}"),
-                std.alias(f"{name}_std{n}"),
-                score.alias(f"{name}_z{n}"),
-            ]
+            mean, std = moments(name, n)
+            out += [mean.alias(f"{name}_mean{n}"), std.alias(f"{name}_std{n}")]
+            m, s = F.col(f"{name}_mean{n}"), F.col(f"{name}_std{n}")
+            score = F.when(s == 0, F.lit(0.0)).when(s > 0, (x - m) / s)
+            scores.append(score.alias(f"{name}_z{n}"))
     for name in diffs:
         scale = BP if name == "log_mid" else 1.0
         for k in lags:
             out.append(((F.col(name) - F.lag(name, k).over(w)) * scale).alias(f"{name}_ret{k}"))
-        step = F.col(f"_{name}")
         for n in windows:
+            mean, std = moments(f"_{name}", n)
+            size, _ = moments(f"_abs_{name}", n)
             out += [
-                (rolling(F.stddev_samp, step, w, n) * scale).alias(f"{name}_vol{n}"),
-                (rolling(F.avg, step, w, n) * scale).alias(f"{name}_drift{n}"),
-                (rolling(F.avg, F.abs(step), w, n) * scale).alias(f"{name}_absmean{n}"),
+                (std * scale).alias(f"{name}_vol{n}"),
+                (mean * scale).alias(f"{name}_drift{n}"),
+                (size * scale).alias(f"{name}_absmean{n}"),
             ]
-    return own(staged.select(*KEYS, "_chunk", "_own", *out))
+    built = own(staged.select(*KEYS, "_chunk", "_own", *out))
+    return built.select("*", *scores)
 
 
 def time_of_day(rows: DataFrame) -> DataFrame:

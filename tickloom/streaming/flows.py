@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame
@@ -12,20 +13,21 @@ from tickloom.session import checkpoint_dir
 WATERMARK = "10 seconds"
 
 
-def replay(df: DataFrame, parts: int = 3, stamp: str = "us") -> DataFrame:
-    """A table as a stream of its own time-ordered files, one file a trigger.
+def replay(df: DataFrame, parts: int = 3, stamp: str = "us", rows_a_file: int = 1_000_000) -> DataFrame:
+    """A table as a stream of its own time-ordered parts, one part a trigger.
 
-    The cuts are quantiles of the stamp, so parts are even; each part is written before the next.
+    The cuts are quantiles of the stamp, so parts are even. Each part is written before the next,
+    as a fixed number of files that grows with the table, and a trigger takes that many files.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/replay-{uuid.uuid4().hex}"
     edges = df.approxQuantile(stamp, [k / parts for k in range(1, parts)], 0.001)
     bounds = [float("-inf"), *edges, float("inf")]
+    files = max(1, math.ceil(df.count() / parts / rows_a_file))
     for low, high in zip(bounds[:-1], bounds[1:], strict=True):
         part = df.filter((F.col(stamp) > low) & (F.col(stamp) <= high))
-        # One file a part keeps the replay in order; a real source needs no such file.
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part.repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
