@@ -143,3 +143,22 @@ def test_exact_quantiles(spark, accuracy):
         got = {r["k"]: r["x"] for r in quantile_by(df, ["k"], "v", q, "x", accuracy).collect()}
         want = df.toPandas().groupby("k")["v"].quantile(q)
         assert got == pytest.approx(want.to_dict(), abs=1e-12)
+
+
+def test_long_rolling_moments_match_pandas(spark):
+    """Running sums give pandas' rolling values, and exactly zero where nothing moved."""
+    rng = np.random.default_rng(21)
+    n = 400
+    x = np.round(100 + np.cumsum(rng.normal(size=n)), 2)
+    x[150:260] = x[150]
+    pdf = pd.DataFrame({"symbol": "s", "us": np.arange(n) * 10**6, "seq": np.arange(n), "v": x})
+    out = flow.expand(
+        spark.createDataFrame(pdf), windows=(40,), lags=(1,), levels=("v",), diffs=("v",), layout=replace(BOOK, bucket_s=30.0, chunk_rows=60)
+    )
+    got = frame(out)
+    roll = pdf["v"].rolling(40)
+    step = pdf["v"].diff().rolling(40)
+    assert np.allclose(got["v_mean40"].astype(float), roll.mean(), equal_nan=True)
+    assert np.allclose(got["v_std40"].astype(float), roll.std(), equal_nan=True, atol=1e-7)
+    assert np.allclose(got["v_vol40"].astype(float), step.std(), equal_nan=True, atol=1e-7)
+    assert (got.loc[190:259, "v_std40"] == 0).all() and (got.loc[190:259, "v_z40"] == 0).all()
