@@ -249,7 +249,13 @@ def pbo_splits(cells: DataFrame, key: str, day: str, value: str, blocks: int = 1
             F.coalesce(F.sum(F.when(~inside, F.col("_sum"))), F.lit(0.0)).alias("_b"),
         )
         .join(lengths, "mask")
-        .select("mask", key, (F.col("_a") / F.col("_in")).alias("a"), (F.col("_b") / F.col("_out")).alias("b"))
+        # Sums that differ only by the order they were added in are ties.
+        .select(
+            "mask",
+            key,
+            F.round(F.col("_a") / F.col("_in"), 9).alias("a"),
+            F.round(F.col("_b") / F.col("_out"), 9).alias("b"),
+        )
     )
     by = Window.partitionBy("mask")
     best = F.row_number().over(by.orderBy(F.desc("a"), key))

@@ -172,7 +172,7 @@ MASKS = ", ".join(f"('{m}')" for m in stats.split_masks(6))
     r AS (SELECT m, key, coalesce(sum(CASE WHEN substr(m, CAST(bk AS INT) + 1, 1) = '1' THEN v END),
       0) AS a, coalesce(sum(CASE WHEN substr(m, CAST(bk AS INT) + 1, 1) = '0' THEN v END), 0) AS o
       FROM s, (VALUES {MASKS}) t(m) GROUP BY 1, 2),
-    q AS (SELECT r.m, key, r.a / ln_.a AS a, r.o / ln_.o AS o FROM r JOIN ln_ USING (m)),
+    q AS (SELECT r.m, key, round(r.a / ln_.a, 9) AS a, round(r.o / ln_.o, 9) AS o FROM r JOIN ln_ USING (m)),
     k AS (SELECT m, key, row_number() OVER (PARTITION BY m ORDER BY a DESC, key) AS best, (rank()
       OVER (PARTITION BY m ORDER BY o) + (count(*) OVER (PARTITION BY m, o) - 1) / 2.0) /
       (count(*) OVER (PARTITION BY m) + 1) AS w FROM q)
