@@ -320,13 +320,9 @@ def cell_table(ledger: DataFrame, key: str, axes: Sequence[str], days: int | Col
 
 def choose_cell(scored: DataFrame, key: str, least_rate: float) -> DataFrame:
     """One row: the admissible cell with the highest S, then own mean, then first key; and its A."""
-    ok = F.col("rate") >= least_rate
-    order = F.struct(F.col("s"), F.col("mean_net"))
-    best = scored.filter(ok).agg(F.max(order).alias("top"))
-    hit = scored.filter(ok).join(F.broadcast(best)).filter(  # one row
-        (F.col("s") == F.col("top.s")) & (F.col("mean_net") == F.col("top.mean_net"))
-    )
-    return hit.agg(F.min_by(F.struct(key, "s", "mean_net", "a"), F.col(key)).alias("r")).select("r.*")
+    order = F.struct(-F.col("s"), -F.col("mean_net"), F.col(key))
+    best = F.min_by(F.struct(key, "s", "mean_net", "a"), order)
+    return scored.filter(F.col("rate") >= least_rate).agg(best.alias("r")).select("r.*")
 
 
 # -------------------------------------------------------------------------- placebos
