@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import classify, contextlm
+from tickloom.llm import classify, contextlm, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +41,16 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score",
         "score", "bits_per_byte",
     )
+
+
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in windows of 2048 tokens; a piece's ids as their checksum."""
+    import public_tokenizers
+
+    pieces = packing.pack(
+        read(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")), width=2048
+    )
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
