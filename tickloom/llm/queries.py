@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import classify, contextlm, licenses, packing
+from tickloom.llm import classify, contextlm, licenses, minhash, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,26 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op7_license_scan"] = licenses.oracle()
+
+
+@query
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op3_minhash"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5
+    THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT l.doc_id AS a, r.doc_id AS b, l.n AS na, r.n AS nb, count(*) AS c
+  FROM e AS l JOIN e AS r ON l.x = r.x AND l.doc_id <> r.doc_id GROUP BY ALL),
+k AS (SELECT a, b FROM p WHERE 100 * c >= 75 * (na + nb - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, k.b FROM reach AS r JOIN k ON r.b = k.a),
+g AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, g.component_id, s.doc_id = g.component_id AS kept
+FROM s JOIN g ON s.doc_id = g.a"""
