@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import classify, contextlm, licenses, minhash, packing
+from tickloom.llm import classify, contextlm, licenses, metricjoin, minhash, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +86,24 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, k.b F
 g AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, g.component_id, s.doc_id = g.component_id AS kept
 FROM s JOIN g ON s.doc_id = g.a"""
+
+
+@query
+def op1_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near vectors of one label."""
+    return metricjoin.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op1_metric_join"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+k AS (SELECT l.vec_id AS a, r.vec_id AS b FROM v AS l JOIN v AS r
+  ON l.label = r.label AND l.vec_id <> r.vec_id AND len(l.v) = len(r.v)
+  WHERE list_cosine_similarity(l.v, r.v) >= 0.93),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, k.b FROM reach AS r JOIN k ON r.b = k.a),
+g AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM k GROUP BY a)
+SELECT g.a AS vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, g.a = component_id AS kept
+FROM g LEFT JOIN n ON n.a = g.a"""
