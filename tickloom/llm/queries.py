@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import classify, contextlm, licenses, metricjoin, minhash, packing
+from tickloom.llm import classify, contextlm, licenses, metricjoin, minhash, packing, recompress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +107,26 @@ g AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
 n AS (SELECT a, count(*) AS n FROM k GROUP BY a)
 SELECT g.a AS vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, g.a = component_id AS kept
 FROM g LEFT JOIN n ON n.a = g.a"""
+
+
+@query
+def op2_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of repeated windows; what is left as its checksum."""
+    cut = recompress.substring_dedup(read(spark, sf_dir, "documents"), width=35)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLES["op2_recompression"] = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM w WHERE len(w) >= 35),
+h AS (SELECT r, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS h FROM p),
+d AS (SELECT r, i FROM h WHERE h IN (SELECT h FROM h GROUP BY h HAVING count(*) > 1)),
+c AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM d),
+n AS (SELECT r, count(*) AS n FROM c GROUP BY r),
+u AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w),
+k AS (SELECT u.r, string_agg(word, ' ' ORDER BY u.i) AS kept FROM u LEFT JOIN c ON u.r = c.r AND u.i = c.i
+  WHERE c.r IS NULL GROUP BY u.r)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM w LEFT JOIN n ON w.r = n.r LEFT JOIN k ON w.r = k.r"""
