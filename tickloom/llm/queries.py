@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import classify, contextlm, licenses, metricjoin, minhash, packing, recompress
+from tickloom.llm import classify, contextlm, licenses, metricjoin, minhash, packing, recompress, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,3 +130,10 @@ k AS (SELECT u.r, string_agg(word, ' ' ORDER BY u.i) AS kept FROM u LEFT JOIN c
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed,
   sha256(coalesce(k.kept, '')) AS kept_sha256
 FROM w LEFT JOIN n ON w.r = n.r LEFT JOIN k ON w.r = k.r"""
+
+
+@query
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of repeated strings; what is left as its checksum."""
+    cut = suffixes.byte_dedup(read(spark, sf_dir, "documents"), width=400)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

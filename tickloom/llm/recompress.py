@@ -141,8 +141,9 @@ def substring_dedup(
     """
     named = repeats.with_text(docs, id_col, text_col, [])
     found = repeats.find_runs(named, lambda texts: word_runs(texts, width))
-    keys = repeats.repeated_keys(found.select("key"))
-    whole, compared = repeats.settle(found.join(keys, "key"))
+    runs = repeats.candidates(found)
+    whole, compared = repeats.settle(runs.where("NOT sure"))
+    whole = whole.union(runs.where("sure").select("row", "low", "high"))
     compared = materialised(compared.select("row", "low", "high", "alone"))
     lists = compared.groupBy("row").agg(
         F.collect_list(F.struct("low", "high", "alone")).alias("parts")

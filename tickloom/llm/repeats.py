@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.text import Spans, mix, signed
+from tickloom.llm.text import Spans, mix, signed, slices
 from tickloom.session import materialised
 
 
@@ -115,28 +115,58 @@ def merged(low: np.ndarray, high: np.ndarray, width: int) -> tuple[np.ndarray, n
     return start[at], far[np.append(at[1:], len(start)) - 1]
 
 
+RUN_SCHEMA = "key long, row long, low int, high int, anchor int, r1 long, r2 long, sure boolean"
+RUN_NAMES = [c.split()[0] for c in RUN_SCHEMA.split(", ")]
+
+
 def run_batch(names: pa.Array, runs: Runs, offset: int = 0) -> pa.RecordBatch:
+    """Rows of runs. Of runs that agree within one text, as in periodic text, all are ``sure`` to be
+    repeated, and one stands for them against other texts; sure runs that follow each other are one.
+    """
+    order = np.lexsort((runs.low, runs.prints[1], runs.prints[0], runs.key, runs.text))
+    values = [v[order] for v in (runs.text, runs.key, *runs.prints)]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([v[1:] != v[:-1] for v in values], axis=0)
+    group = np.cumsum(new) - 1
+    twice = np.bincount(group, minlength=1)[group] > 1 if len(group) else np.zeros(0, bool)
+    one, many = np.sort(order[new]), order[twice]
+    many = many[np.lexsort((runs.low[many], runs.text[many]))]
+    text, low, high = runs.text[many], runs.low[many], runs.high[many]
+    head = np.ones(len(many), bool)
+    head[1:] = (text[1:] != text[:-1]) | (low[1:] > high[:-1] + 1)
+    at = np.flatnonzero(head)
+    text, low = text[at], low[at]
+    high = high[np.append(at[1:], len(head)) - 1] if len(at) else high
+    spread = mix(low.astype(np.uint64) + np.uint64(1) + (text.astype(np.uint64) << np.uint64(32)))
+    none = np.zeros(len(at), np.uint64)
+
+    def column(first: np.ndarray, second: np.ndarray, kind=None) -> pa.Array:
+        both = np.concatenate([first, second])
+        return pa.array(signed(both) if kind is None else both.astype(kind))
+
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(signed(runs.key)),
-            names.take(pa.array(runs.text + offset)),
-            pa.array(runs.low.astype(np.int32)),
-            pa.array(runs.high.astype(np.int32)),
-            pa.array(runs.anchor.astype(np.int32)),
-            pa.array(signed(runs.prints[0])),
-            pa.array(signed(runs.prints[1])),
+            column(runs.key[one], spread),
+            names.take(pa.array(np.concatenate([runs.text[one], text]) + offset)),
+            column(runs.low[one], low, np.int32),
+            column(runs.high[one], high, np.int32),
+            column(runs.anchor[one], low, np.int32),
+            column(runs.prints[0][one], none),
+            column(runs.prints[1][one], none),
+            pa.array(np.arange(len(one) + len(at)) >= len(one)),
         ],
         RUN_NAMES,
     )
 
 
-RUN_SCHEMA = "key long, row long, low int, high int, anchor int, r1 long, r2 long"
-RUN_NAMES = [c.split()[0] for c in RUN_SCHEMA.split(", ")]
+def candidates(found: DataFrame) -> DataFrame:
+    """Runs whose key occurs more than once, and sure runs."""
+    keys = repeated_keys(found.where("NOT sure").select("key")).withColumn("hit", F.lit(True))
+    return materialised(found.join(keys, "key", "left").where("hit OR sure").drop("hit"))
 
 
 def find_runs(named: DataFrame, kernel) -> DataFrame:
     """``kernel`` over the texts of ``named`` (``row``, ``_text``)."""
-    from tickloom.llm.text import slices
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

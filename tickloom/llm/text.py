@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 LOWER = np.arange(256, dtype=np.uint8)
