@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import classify, contextlm, licenses, metricjoin, minhash, packing, recompress, suffixes
+from tickloom.llm import (
+    classify,
+    contamination,
+    contextlm,
+    licenses,
+    metricjoin,
+    minhash,
+    packing,
+    recompress,
+    suffixes,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -137,3 +147,9 @@ def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the bytes of repeated strings; what is left as its checksum."""
     cut = suffixes.byte_dedup(read(spark, sf_dir, "documents"), width=400)
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of benchmark items in documents: a row per document and item."""
+    return contamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
