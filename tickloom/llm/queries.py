@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,10 @@ from tickloom.llm import (
     minhash,
     packing,
     recompress,
+    rollup,
     suffixes,
 )
+from tickloom.session import checkpoint_dir, materialised
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -153,3 +156,45 @@ def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of benchmark items in documents: a row per document and item."""
     return contamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches: all documents in; toxic ones out; junk recounted without repeated lines."""
+    text = F.coalesce("text", F.lit(""))
+    lines = F.split(text, "\n", -1)
+    once = F.when(
+        F.size(F.array_distinct(lines)) < F.size(lines), F.array_join(F.array_distinct(lines), "\n")
+    ).otherwise(text)
+
+    def counted(column: str) -> DataFrame:
+        pairs = [[F.lit(v), rollup.count_tokens(F.col(column), s)] for v, s in rollup.SEPARATORS.items()]
+        return F.create_map(*[c for pair in pairs for c in pair])
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", text.alias("_all"), once.alias("_once"))
+    docs = materialised(docs.select("doc_id", "source", "lang", counted("_all").alias("n"), counted("_once").alias("fewer")))
+    labels = read(spark, sf_dir, "labels")
+    toxic = labels.where("toxic = 1").select("doc_id").distinct()
+    junk = labels.where("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti")
+    totals = rollup.Rollup(spark, f"{checkpoint_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    removed = rollup.changes(docs.join(toxic, "doc_id", "left_semi"), "n", None)
+    totals.commit("load", rollup.changes(docs, None, "n"))
+    totals.commit("toxic", removed)
+    totals.commit("toxic", removed)  # a repeated delivery
+    totals.commit("junk", rollup.changes(docs.join(junk, "doc_id", "left_semi"), "n", "fewer"))
+    return totals.totals(["load", "toxic", "junk"])
+
+
+ORACLES["op9_token_counts"] = r"""
+WITH v AS (SELECT 'white-1' AS version, '[\x20\x09-\x0D]+' AS s
+  UNION ALL SELECT 'alnum-1', '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+x AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+j AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0 AND doc_id NOT IN (SELECT doc_id FROM x)),
+d AS (SELECT row_number() OVER () AS r, doc_id, source, lang, coalesce(text, '') AS t FROM documents
+  WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM x)),
+l AS (SELECT r, doc_id IN (SELECT doc_id FROM j) AS junk, unnest(string_split(t, chr(10))) AS line FROM d),
+k AS (SELECT r, line FROM l WHERE NOT coalesce(junk, false) UNION ALL SELECT DISTINCT r, line FROM l WHERE junk),
+n AS (SELECT r, v.version, sum(len(list_filter(regexp_split_to_array(line, v.s), lambda w: w <> ''))) AS n
+  FROM k, v GROUP BY r, v.version)
+SELECT source, lang, version, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens
+FROM d JOIN n ON d.r = n.r GROUP BY source, lang, version"""
