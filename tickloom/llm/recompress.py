@@ -129,7 +129,11 @@ def word_runs(texts, width: int) -> Runs:
 
 
 def substring_dedup(
-    docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    width: int = 35,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """``id_col``, ``n_words``, ``n_removed``, ``kept`` (remaining words joined by one space), ``spans``.
 
@@ -137,7 +141,8 @@ def substring_dedup(
     in any text or the same. Words are maximal runs of anything but ASCII white space, unchanged.
     ``spans`` lists what was removed as first word and word after the last. Null and empty texts
     have no words. Null and repeated ids are kept, a row each; repeated rows repeat each other's
-    windows. Extra columns are ignored; an empty table gives no rows.
+    windows. Columns named in ``carry`` follow, unchanged; other extra columns are ignored; an empty
+    table gives no rows.
     """
     named = repeats.with_text(docs, id_col, text_col, [])
     found = repeats.find_runs(named, lambda texts: word_runs(texts, width))
@@ -177,11 +182,17 @@ def substring_dedup(
 
     single = repeats.equal_windows(asked.mapInArrow(windows, "w1 long, w2 long, row long, at int, alone boolean"))
     cuts = materialised(repeats.collected(whole.union(single)))
-    kept_rows = repeats.with_text(docs, id_col, text_col, [F.col(id_col).alias("_id")]).join(cuts, "row", "left")
-    kept_rows = kept_rows.select("_id", "_text", "parts")
+    also = [f"_c{k}" for k in range(len(carry))]
+    kept_rows = repeats.with_text(
+        docs, id_col, text_col,
+        [F.col(id_col).alias("_id"), *[F.col(c).alias(a) for c, a in zip(carry, also, strict=True)]],
+    ).join(cuts, "row", "left")
+    kept_rows = kept_rows.select("_id", "_text", "parts", *also)
     schema = keyed(
         kept_rows, "_id", "n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>"
     )
+    for a in also:
+        schema = schema.add(a, kept_rows.schema[a].dataType)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,8 +220,11 @@ def substring_dedup(
                         pa.array(n_removed, pa.int64()),
                         pa.array(kept, pa.string()),
                         pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+                        *[part.column(3 + k) for k in range(len(also))],
                     ],
                     schema.names,
                 )
 
-    return kept_rows.mapInArrow(cut, schema).withColumnRenamed("_id", id_col)
+    out = kept_rows.mapInArrow(cut, schema)
+    main = [F.col("_id").alias(id_col), "n_words", "n_removed", "kept", "spans"]
+    return out.select(*main, *[F.col(a).alias(c) for c, a in zip(carry, also, strict=True)])

@@ -1,4 +1,8 @@
-"""Stages of the corpus pipeline."""
+"""The corpus pipeline: stages applied one after another, each written as Parquet and read again.
+
+A row is named by a hash of its id and text where a stage decides row by row, so null and repeated
+ids are decided by their own text; rows equal in both share a decision.
+"""
 
 from __future__ import annotations
 
@@ -6,22 +10,80 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickloom.llm import classify
+from tickloom.llm import classify, contamination, minhash, packing, recompress
 from tickloom.session import checkpoint_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+TOKENIZER = "byte_bpe_50k.json"
+SUBSTRING_WORDS = 35
+WINDOW_TOKENS = 2048
+
+NAME = F.xxhash64("doc_id", "text").alias("_name")
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    kept = classify.classify(docs, labels).where("predicted = 1").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """Documents that the quality classifier, fitted on the labels of ``sf_dir``, does not reject.
+
+    Null and empty texts are scored like any other. Columns and rows are otherwise unchanged; an
+    empty table stays empty; without labels of both classes nothing is rejected.
+    """
+    named = docs.select("doc_id", "text", NAME)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    taught = labels.join(named.select("doc_id", "_name"), "doc_id").select("_name", "quality")
+    kept = classify.classify(named, taught, id_col="_name").where("predicted = 1").select("_name").distinct()
+    return docs.select("*", NAME).join(kept, "_name", "left_semi").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each near-duplicate group.
+
+    Rows that repeat an id and its text are one document; rows without an id all stay.
+    """
+    groups = minhash.near_duplicates(docs)
+    kept = groups.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    one = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return one.unionByName(docs.where("doc_id IS NULL"))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the words of windows of 35 that occur elsewhere too.
+
+    A text that loses words is what is left, joined by single spaces; others are as they were.
+    ``n_chars`` follows the text. Null texts stay null.
+    """
+    rest = tuple(c for c in docs.columns if c != "doc_id")
+    cut = recompress.substring_dedup(docs, width=SUBSTRING_WORDS, carry=rest)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    out = cut.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark of ``sf_dir``."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = contamination.contaminated(docs.select("text", NAME), benchmark, id_col="_name")
+    leaks = found.select("_name").distinct()
+    return docs.select("*", NAME).join(leaks, "_name", "left_anti").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, with their token ids, in windows of 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack(docs, str(public_tokenizers.path(TOKENIZER)), width=WINDOW_TOKENS)
 
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", decontaminate),
+    ("packing", pack),
 ]
 ORACLE_SQL = None
 
