@@ -127,6 +127,39 @@ def test_rebuilt_book_does_not_depend_on_chunks(spark, fx):
     pd.testing.assert_frame_equal(whole, cut)
 
 
+def test_a_snapshot_inside_a_bin_adds_no_row(spark):
+    def level(kind, us, update, bids, asks):
+        return ("s", us, us, update, kind, bids, asks)
+
+    two = [["10", "1"], ["9", "1"]], [["11", "1"], ["12", "1"]]
+    log = spark.createDataFrame(
+        [
+            level("snapshot", 0, 1, *two),
+            level("delta", 30_000, 2, [["10", "5"]], []),
+            level("snapshot", 60_000, 3, *two),
+            level("delta", 130_000, 4, [["10", "7"]], []),
+        ],
+        "symbol string, us long, recv long, update_id long, kind string, b array<array<string>>, a array<array<string>>",
+    )
+    got = rebuild.rebuild(log, 2).orderBy("us").collect()
+    assert [(r.us, r.seq, r.bid_size_0) for r in got] == [(0, 1, 1.0), (130_000, 4, 7.0)]
+
+
+def test_restarts_match_a_loop(spark):
+    z = np.round(np.random.default_rng(3).normal(0, 1.4, 400), 3)
+    z[5] = np.nan
+    df = spark.createDataFrame(pd.DataFrame({"symbol": "s", "us": range(400), "z": z}))
+    got = [tuple(r) for r in breaks.switch_with_restart(df, 0.1, 3.0).orderBy("us").select("us", "kind").collect()]
+    value, live, want = 0.0, True, []
+    for i, x in enumerate(z):
+        if not np.isnan(x):
+            value = max(0.0, value + (-x if live else x) - 0.1)
+            if value > 3.0:
+                want.append((i, "stop" if live else "restart"))
+                value, live = 0.0, not live
+    assert got == want and len(want) > 4
+
+
 def test_kill_switch_closed_form(spark):
     rng = np.random.default_rng(9)
     ret = np.concatenate([rng.normal(0, 1, 150), rng.normal(-1, 1, 100)])
@@ -140,21 +173,18 @@ def test_kill_switch_closed_form(spark):
     assert int(got.loc[got["over"], "us"].min() // 3_600_000_000) == first
 
 
-def test_carry_replay_by_hand(spark):
-    months = [pd.Timestamp("2024-01-01").date(), pd.Timestamp("2024-02-01").date()]
+def test_carry_spells_by_hand(spark):
+    jan, feb, mar = (pd.Timestamp(f"2024-0{m}-01").date() for m in (1, 2, 3))
     table = spark.createDataFrame(
-        [("x", months[0], 100.0, 110.0, 2.0), ("x", months[1], 110.0, 100.0, -1.0), ("y", months[0], 50.0, 50.0, 0.0), ("y", months[1], 50.0, 50.0, 3.0)],
+        [("x", jan, 100.0, 110.0, 2.0), ("x", feb, 110.0, 100.0, -1.0), ("x", mar, 100.0, 90.0, 4.0), ("y", jan, 50.0, 52.0, 3.0)],
         "coin string, month date, open double, close double, pnl double",
     )
-    chosen = spark.createDataFrame([("r", months[0], "x"), ("r", months[1], "y")], "rule string, month date, coin string")
-    got = portfolio.carry_replay(table, chosen, 1).toPandas().sort_values("month")["return_pct"].tolist()
+    chosen = spark.createDataFrame([("r", jan, "x"), ("r", mar, "x"), ("r", jan, "y")], "rule string, month date, coin string")
+    got = {(r.coin, r.entry_month): r.net_bp for r in portfolio.carry_holdings(table, chosen).collect()}
     side = 19 / 1e4
-    q = 1.0 / 2 / 100
-    first = -q * 100 * side + q * 2
-    equity = 1 + first
-    q2 = equity / 2 / 50
-    second = -q * 110 * side - q2 * 50 * side + q2 * 3
-    assert got == pytest.approx([first * 100, second / equity * 100])
+    assert got[("x", jan)] == pytest.approx((2 - side * (100 + 110)) / 100 * 1e4)
+    assert got[("x", mar)] == pytest.approx((4 - side * (100 + 90)) / 100 * 1e4)
+    assert got[("y", jan)] == pytest.approx((3 - side * (50 + 52)) / 50 * 1e4)
 
 
 def test_band_trades_rearm_only_after_an_exit(spark):

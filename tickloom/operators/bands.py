@@ -13,17 +13,23 @@ from tickloom.session import materialised
 STATES = (-1, 0, 1)
 
 
-def walk_band(z: np.ndarray, start: int, entry: float, exit_at: float) -> np.ndarray:
-    """Positions row by row from a starting one; a missing score keeps the position."""
-    out, held = np.zeros(len(z), dtype=np.int64), start
-    for i, x in enumerate(z):
-        if not np.isnan(x):
-            if held == 0:
-                held = 1 if x <= -entry else (-1 if x >= entry else 0)
-            elif (held > 0 and x >= -exit_at) or (held < 0 and x <= exit_at):
-                held = 0
-        out[i] = held
-    return out
+def effects(z: np.ndarray, entry: float, exit_at: float) -> np.ndarray:
+    """What rows 0..i together do to each state, as an index of STATES: one row per i.
+
+    A single score maps the states (short, flat, long) to states; maps compose, and doubling the
+    composed length gives all prefixes in log n steps.
+    """
+    with np.errstate(invalid="ignore"):
+        short = np.where(z <= exit_at, 1, 0)
+        flat = np.select([z <= -entry, z >= entry], [2, 0], 1)
+        long = np.where(z >= -exit_at, 1, 2)
+    maps = np.stack([short, flat, long], axis=1)
+    maps[np.isnan(z)] = (0, 1, 2)
+    reach = 1
+    while reach < len(maps):
+        maps[reach:] = np.take_along_axis(maps[reach:], maps[:-reach], axis=1)
+        reach *= 2
+    return maps
 
 
 def band_positions(
@@ -45,8 +51,7 @@ def band_positions(
     def ends(frame: pd.DataFrame) -> pd.DataFrame:
         z = frame.sort_values(order)["z"].to_numpy(float)
         head = frame.iloc[:1][[*key, "_chunk"]].copy()
-        for s in STATES:
-            head[f"from_{s + 1}"] = walk_band(z, s, entry, exit_at)[-1]
+        head[["from_0", "from_1", "from_2"]] = effects(z, entry, exit_at)[-1] - 1
         return head
 
     maps = placed.groupBy(*key, "_chunk").applyInPandas(
@@ -68,7 +73,7 @@ def band_positions(
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(order)
         z = frame["z"].to_numpy(float)
-        frame["position"] = walk_band(z, int(frame["_start"].iloc[0]), entry, exit_at)
+        frame["position"] = effects(z, entry, exit_at)[:, int(frame["_start"].iloc[0]) + 1] - 1
         return frame[names]
 
     return placed.join(states, [*key, "_chunk"]).groupBy(*key, "_chunk").applyInPandas(walk, schema)

@@ -24,6 +24,10 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
+#: No chunk is planned for more rows than this; tests lower it to cut small tables too.
+MAX_CHUNK_ROWS = 1 << 20
+
+
 @dataclass(frozen=True)
 class Layout:
     """How a plane is keyed, ordered and cut."""
@@ -31,7 +35,7 @@ class Layout:
     key: tuple[str, ...] = ("symbol",)
     order: tuple[str, ...] = ("us", "seq")
     bucket_s: float = 3600.0
-    chunk_rows: int = 1 << 20
+    chunk_rows: int = MAX_CHUNK_ROWS
     us: str = "us"
 
     def with_order(self, *order: str) -> Layout:
@@ -49,6 +53,14 @@ class Layout:
         return Window.partitionBy(*self.key, "_chunk").orderBy(self.us)
 
 
+@dataclass(frozen=True)
+class SameRows:
+    """A cheap frame with ``key`` and ``us`` of exactly the rows of another, save for extra rows
+    before the first of a key: what a chunk plan may be counted on in that frame's place."""
+
+    rows: DataFrame
+
+
 BOOK = Layout()
 PRINTS = Layout(order=("us", "trade_id"))
 BARS = Layout(order=("us",), bucket_s=86_400.0 * 7)
@@ -65,6 +77,7 @@ def chunk_map(
 ) -> DataFrame:
     """Per ``(key, bucket)``: its own chunk and the range of chunks that must see its rows."""
     key = list(layout.key)
+    size = min(layout.chunk_rows, MAX_CHUNK_ROWS)
     by_bucket = Window.partitionBy(*key).orderBy("_bucket")
     counts = (
         spine.select(*key, layout.bucket().alias("_bucket"))
@@ -84,24 +97,26 @@ def chunk_map(
             "_end",
             (F.col("_end") - F.col("_cnt")).alias("_start"),
         )
-        .withColumn("_c", F.floor(F.col("_start") / F.lit(layout.chunk_rows)).cast("long"))
+        .withColumn("_c", F.floor(F.col("_start") / F.lit(size)).cast("long"))
     )
-    highs: list[Column] = [F.col("_c")]
-    lows: list[Column] = [F.col("_c")]
+    # Rows are counted back (ahead) from what a time look-back reaches, so the two add up.
+    counts = counts.withColumn("_late", F.col("_c")).withColumn("_soon", F.col("_c"))
+    if secs_back > 0:
+        reach = by_bucket.rangeBetween(0, math.ceil(secs_back / layout.bucket_s))
+        counts = counts.withColumn("_late", F.max("_c").over(reach))
+    if secs_ahead > 0:
+        reach = by_bucket.rangeBetween(-math.ceil(secs_ahead / layout.bucket_s), 0)
+        counts = counts.withColumn("_soon", F.min("_c").over(reach))
+    highs: list[Column] = [F.col("_late")]
+    lows: list[Column] = [F.col("_soon")]
     if rows_back > 0:
         reach = Window.partitionBy(*key).orderBy("_start").rangeBetween(0, rows_back - 1)
-        counts = counts.withColumn("_h", F.max("_c").over(reach))
+        counts = counts.withColumn("_h", F.max("_late").over(reach))
         highs.append(F.lead("_h").over(by_bucket))
     if rows_ahead > 0:
         reach = Window.partitionBy(*key).orderBy("_end").rangeBetween(-(rows_ahead - 1), 0)
-        counts = counts.withColumn("_l", F.min("_c").over(reach))
+        counts = counts.withColumn("_l", F.min("_soon").over(reach))
         lows.append(F.lag("_l").over(by_bucket))
-    if secs_back > 0:
-        reach = by_bucket.rangeBetween(0, math.ceil(secs_back / layout.bucket_s))
-        highs.append(F.max("_c").over(reach))
-    if secs_ahead > 0:
-        reach = by_bucket.rangeBetween(-math.ceil(secs_ahead / layout.bucket_s), 0)
-        lows.append(F.min("_c").over(reach))
     high = F.greatest(*highs) if len(highs) > 1 else highs[0]
     low = F.least(*lows) if len(lows) > 1 else lows[0]
     return counts.select(*key, "_bucket", "_c", low.alias("_lo"), high.alias("_hi"))
@@ -115,19 +130,26 @@ def chunked(
     rows_ahead: int = 0,
     secs_back: float = 0.0,
     secs_ahead: float = 0.0,
-    spine: DataFrame | None = None,
+    spine: SameRows | DataFrame | None = None,
 ) -> DataFrame:
     """``df`` with ``_chunk`` and ``_own``, ready for windows over ``layout.window()``.
 
-    ``spine`` is a cheap frame holding ``key`` and ``us`` for the same rows, used for the
-    summary so that an expensive ``df`` is not computed twice. It may hold extra rows at the
-    very start of a key, or anywhere when only time look-backs are asked for.
+    ``spine`` is a cheap frame holding ``key`` and ``us``, used for the summary so that an
+    expensive ``df`` is not computed twice. Look-backs counted in rows need its rows to be those of
+    ``df``, so they are planned on ``df`` itself unless the spine is declared ``SameRows``; time
+    look-backs may use any spine that covers the buckets. A bucket the spine lacks is an error.
     """
-    plan = chunk_map(
-        df if spine is None else spine, layout, rows_back, rows_ahead, secs_back, secs_ahead
-    )
+    same = isinstance(spine, SameRows)
+    if spine is None or ((rows_back or rows_ahead) and not same):
+        counted = df
+    else:
+        counted = spine.rows if same else spine
+    plan = chunk_map(counted, layout, rows_back, rows_ahead, secs_back, secs_ahead)
     key = list(layout.key)
-    joined = df.withColumn("_bucket", layout.bucket()).join(plan, [*key, "_bucket"])
+    joined = df.withColumn("_bucket", layout.bucket()).join(plan, [*key, "_bucket"], "left")
+    if counted is not df:
+        lacking = F.raise_error(F.lit("the spine lacks a bucket of the frame it stands for"))
+        joined = joined.withColumn("_lo", F.when(F.col("_c").isNull(), lacking.cast("long")).otherwise(F.col("_lo")))
     spread = joined.withColumn("_chunk", F.explode(F.sequence("_lo", "_hi")))
     return spread.withColumn("_own", F.col("_chunk") == F.col("_c")).drop(
         "_bucket", "_c", "_lo", "_hi"

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import heapq
+from bisect import bisect_left
+from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,21 +15,40 @@ from tickloom.session import materialised
 from tickloom.sources.messages import level_changes
 
 
-def apply_change(book: dict[str, dict[float, float]], side: str, price: float, size: float) -> None:
-    """Set a level; size zero removes it."""
-    if size == 0:
-        book[side].pop(price, None)
-    else:
-        book[side][price] = size
+class Ladder:
+    """One side of a book: prices in order, best at the end, with their sizes."""
 
+    def __init__(self, sign: int, levels: Iterable[tuple[float, float]] = ()):
+        self.sign = sign  # +1 where the highest price is best
+        self.ranks: list[float] = []
+        self.sizes: dict[float, float] = {}
+        for price, size in levels:
+            self.put(price, size)
 
-def best_levels(book: dict[str, dict[float, float]], depth: int) -> list[float] | None:
-    """Flat prices and sizes of the best levels a side, None while a side is short."""
-    bids = heapq.nlargest(depth, book["b"].items())
-    asks = heapq.nsmallest(depth, book["a"].items())
-    if len(bids) < depth or len(asks) < depth:
-        return None
-    return [v for (bp, bs), (ap, az) in zip(bids, asks, strict=True) for v in (bp, bs, ap, az)]
+    def put(self, price: float, size: float) -> None:
+        """Set a level; size zero removes it."""
+        rank = self.sign * price
+        at = bisect_left(self.ranks, rank)
+        known = at < len(self.ranks) and self.ranks[at] == rank
+        if size and not known:
+            self.ranks.insert(at, rank)
+        elif known and not size:
+            del self.ranks[at]
+        if size:
+            self.sizes[rank] = size
+
+    def best(self, depth: int) -> list[tuple[float, float]]:
+        """Up to ``depth`` levels, best first."""
+        return [(self.sign * r, self.sizes[r]) for r in self.ranks[: -depth - 1 : -1]]
+
+    def levels(self) -> list[tuple[float, float]]:
+        return [(self.sign * r, self.sizes[r]) for r in self.ranks]
+
+
+def flat_levels(bids: Ladder, asks: Ladder, depth: int) -> list[float] | None:
+    """Prices and sizes level by level, bid before ask; None where a side lacks levels."""
+    rows = [v for pair in zip(bids.best(depth), asks.best(depth), strict=False) for level in pair for v in level]
+    return rows if len(rows) == 4 * depth else None
 
 
 def level_names(depth: int) -> list[str]:
@@ -79,24 +100,37 @@ def rebuild(
     )
     names = level_names(depth)
 
+    blank = [None] * len(names)
+
     def replay(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["us", "recv"], kind="stable")
-        book: dict[str, dict[float, float]] = {"b": {}, "a": {}}
-        out, seen = [], None
-        columns = [frame[c].tolist() for c in ("us", "recv", "update_id", "side", "price", "size")]
-        recvs = [*columns[1][1:], None]
-        for us, recv, update, side, price, size, following in zip(*columns, recvs, strict=True):
-            apply_change(book, side, price, size)
-            # A message is complete at its last change.
-            if recv < 0 or recv == following or us // grid_us == seen or not (book["b"] and book["a"]):
-                continue
-            seen = us // grid_us
-            levels = best_levels(book, depth)
-            if levels is not None:
-                out.append((us, update, *levels))
-        result = pd.DataFrame(out, columns=["us", "seq", *names])
+        recv = frame["recv"].to_numpy()
+        us, update = frame["us"].to_numpy(), frame["update_id"].to_numpy()
+        side = (frame["side"] == "b").tolist()
+        price, size = frame["price"].tolist(), frame["size"].tolist()
+        bids, asks = Ladder(1), Ladder(-1)
+        done = int((recv < 0).sum())  # levels standing at the start come first
+        for bid, p, q in zip(side[:done], price[:done], size[:done], strict=True):
+            (bids if bid else asks).put(p, q)
+        # messages in order; of each bin the first whose book has both sides is a candidate
+        starts = done + np.flatnonzero(np.r_[True, recv[done + 1 :] != recv[done:-1]]) if done < len(recv) else []
+        out, used = [], None
+        for low, high in zip(starts, [*starts[1:], len(recv)], strict=True):
+            for bid, p, q in zip(side[low:high], price[low:high], size[low:high], strict=True):
+                (bids if bid else asks).put(p, q)
+            place = us[low] // grid_us
+            if place != used and bids.ranks and asks.ranks:
+                used = place
+                levels = flat_levels(bids, asks, depth)
+                out.append((place, us[low], recv[low], update[low], levels is not None, *(levels or blank)))
+        result = pd.DataFrame(out, columns=["bin", "us", "recv", "seq", "whole", *names])
         result.insert(0, "symbol", frame["symbol"].iloc[0])
         return result
 
-    schema = "symbol string, us long, seq long, " + ", ".join(f"{n} double" for n in names)
-    return changes.unionByName(carried).groupBy(*key, "chunk").applyInPandas(replay, schema)
+    schema = "symbol string, bin long, us long, recv long, seq long, whole boolean, "
+    schema += ", ".join(f"{n} double" for n in names)
+    found = changes.unionByName(carried).groupBy(*key, "chunk").applyInPandas(replay, schema)
+    # a bin that a snapshot or a chunk divides has a candidate on either side: the first counts
+    row = F.struct("us", "recv", "seq", "whole", *names)
+    first = found.groupBy("symbol", "bin").agg(F.min_by(row, F.struct("us", "recv")).alias("r"))
+    return first.filter("r.whole").select("symbol", "r.us", "r.seq", *[f"r.{n}" for n in names])

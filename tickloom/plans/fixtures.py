@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import US, utc_micros
-from tickloom.operators.chunks import PRINTS, last_known
+from tickloom.operators.chunks import PRINTS, SameRows, last_known
 
 LEVELS = 5
 HOUR = 3600 * US
@@ -39,12 +39,17 @@ class Fixtures:
         return self.table("events")
 
     @cached_property
-    def spine(self) -> DataFrame:
-        """Key and stamp of every print: the cheap frame chunk plans are made from."""
+    def stamps(self) -> DataFrame:
+        """Key and stamp of every print."""
         return self.events.select(
             F.col("event_type").alias("symbol"), utc_micros(F.col("ts")).alias("us")
         )
 
+    @cached_property
+    def spine(self) -> SameRows:
+        """The rows of the book, which has one for each print once both sides are known."""
+        return SameRows(self.stamps)
+
     @cached_property
     def prints(self) -> DataFrame:
         k = F.get_json_object("props", "$.k").cast("double")

@@ -24,7 +24,7 @@ CUT = 1_705_276_800_000_000
 
 
 def days(fx: Fixtures) -> DataFrame:
-    return fx.spine.select(day_of("us").alias("day")).distinct()
+    return fx.stamps.select(day_of("us").alias("day")).distinct()
 
 
 SPAN = """

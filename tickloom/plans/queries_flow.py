@@ -123,12 +123,12 @@ def t3(fx: Fixtures) -> DataFrame:
 
 @query(
     "t4_flow_buckets",
-    BUCKET_SQL.format(op="p.us <= r.us").replace("seq % 3 = 0", "seq % 7 = 0"),
+    BUCKET_SQL.format(op="p.us <= r.us"),
     d="mid buy_volume sell_volume trade_count signed_notional traded_notional largest_trade "
     "vwap_deviation_bp",
 )
 def t4(fx: Fixtures) -> DataFrame:
-    return bucket_prints(fx.book.filter("seq % 7 = 0"), fx.prints)
+    return bucket_prints(fx.book, fx.prints)
 
 
 def flow_sql() -> str:
@@ -166,7 +166,7 @@ def flow_sql() -> str:
     "flow_persistence_24",
 )
 def t5(fx: Fixtures) -> DataFrame:
-    return flow.flow_features(bucket_prints(fx.book.filter("seq % 3 = 0"), fx.prints), spine=fx.spine)
+    return flow.flow_features(bucket_prints(fx.book, fx.prints), spine=fx.spine)
 
 
 MIDS = "m AS (SELECT symbol, us, seq, (bid_price_0 + ask_price_0) / 2 AS mid FROM fx_book)"

@@ -40,8 +40,7 @@ def j2(fx: Fixtures) -> DataFrame:
 
 
 BUCKET_SQL = """
-    WITH rows_ AS (SELECT symbol, us, seq, (bid_price_0 + ask_price_0) / 2 AS mid FROM fx_book
-                   WHERE seq % 3 = 0),
+    WITH rows_ AS (SELECT symbol, us, seq, (bid_price_0 + ask_price_0) / 2 AS mid FROM fx_book),
     placed AS (SELECT p.*, r.seq AS row_seq FROM fx_prints p ASOF JOIN rows_ r
                ON p.symbol = r.symbol AND {op}),
     s AS (SELECT symbol, row_seq AS seq,
@@ -66,12 +65,12 @@ BUCKET_D = (
 
 @query("j3_forward_bucket", BUCKET_SQL.format(op="p.us <= r.us"), d=BUCKET_D)
 def j3(fx: Fixtures) -> DataFrame:
-    return asof.bucket_prints(fx.book.filter("seq % 3 = 0"), fx.prints)
+    return asof.bucket_prints(fx.book, fx.prints)
 
 
 @query("j4_containing_bucket", BUCKET_SQL.format(op="p.us >= r.us"), d=BUCKET_D)
 def j4(fx: Fixtures) -> DataFrame:
-    return asof.bucket_prints(fx.book.filter("seq % 3 = 0"), fx.prints, containing=True)
+    return asof.bucket_prints(fx.book, fx.prints, containing=True)
 
 
 @query(

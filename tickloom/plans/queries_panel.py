@@ -477,7 +477,7 @@ def f26(fx: Fixtures) -> DataFrame:
 
 
 AUX_ROWS = f"""
-    k AS ({BUCKET_SQL.format(op="p.us <= r.us").replace("WHERE seq % 3 = 0", "")}),
+    k AS ({BUCKET_SQL.format(op="p.us <= r.us")}),
     z AS (SELECT b.*, k.sell_volume - k.buy_volume AS signed_volume,
           k.buy_volume + k.sell_volume AS total_trade_volume
           FROM fx_book b JOIN k USING (symbol, us, seq))"""

@@ -220,14 +220,14 @@ def r10(fx: Fixtures) -> DataFrame:
     "r11_funding_on_legs",
     """
     WITH t AS (SELECT symbol, trade_id, us AS a, us + 72000000000 AS b, aggressor AS side
-      FROM fx_prints WHERE trade_id % 3 = 0)
+      FROM fx_prints)
     SELECT t.symbol, t.trade_id, -side * coalesce(sum(f.rate), 0) * 1e4 AS funding_bp FROM t LEFT JOIN
       fx_funding f ON f.symbol = t.symbol AND f.us > a AND f.us <= b GROUP BY t.symbol, t.trade_id,
       side""",
     d="funding_bp",
 )
 def r11(fx: Fixtures) -> DataFrame:
-    trades = fx.prints.filter("trade_id % 3 = 0").select(
+    trades = fx.prints.select(
         "symbol",
         F.col("us").alias("entry_us"),
         (F.col("us") + 72_000_000_000).alias("exit_us"),
@@ -288,14 +288,25 @@ def r14(fx: Fixtures) -> DataFrame:
     return portfolio.carry_pnl(fx.carry).select("coin", "day", "pnl")
 
 
-def replayed(fx: Fixtures) -> DataFrame:
-    picks = chosen(fx).withColumn("rule", F.lit("top2"))
-    return portfolio.carry_replay(portfolio.carry_months(fx.carry), picks, 2)
-
-
-@query("r15_carry_replay", None)
+@query(
+    "r15_carry_holdings",
+    f"""
+    WITH {PNL}, {CHOSEN}, h AS (SELECT c.coin, c.month, mp.open, mp.close, mp.pnl FROM ch c JOIN mp
+      USING (coin, month)),
+    n AS (SELECT *, CASE WHEN lag(month) OVER w = month - INTERVAL 1 MONTH THEN 0 ELSE 1 END AS fresh FROM h
+      WINDOW w AS (PARTITION BY coin ORDER BY month)),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY coin ORDER BY month) AS spell FROM n),
+    g AS (SELECT coin, min(month) AS entry_month, max(month) AS last_month, count(*) AS months,
+      arg_min(open, month) AS entry_price, arg_max(close, month) AS cl, sum(pnl) AS pnl FROM s
+      GROUP BY coin, spell)
+    SELECT 'top2' AS rule, g.coin, entry_month, last_month, months, entry_price, coalesce(a.open, cl) AS
+      exit_price, (g.pnl - 19 / 1e4 * (entry_price + coalesce(a.open, cl))) / entry_price * 1e4 AS net_bp
+    FROM g LEFT JOIN mp a ON a.coin = g.coin AND a.month = g.last_month + INTERVAL 1 MONTH""",
+    d="entry_price exit_price net_bp",
+)
 def r15(fx: Fixtures) -> DataFrame:
-    return replayed(fx)
+    picks = chosen(fx).withColumn("rule", F.lit("top2"))
+    return portfolio.carry_holdings(portfolio.carry_months(fx.carry), picks)
 
 
 @query(
@@ -334,17 +345,26 @@ def r17(fx: Fixtures) -> DataFrame:
     return portfolio.basis_deviation(fx.carry, 60).select("coin", "day", "basis", "deviation")
 
 
-@query("r18_basis_replay", None)
+@query(
+    "r18_basis_holdings",
+    f"""
+    WITH {DEVIATION}, j AS (SELECT dv.coin, dv.day, dv.deviation, c.spot, c.perp, c.rate FROM dv JOIN
+      fx_carry c USING (coin, day)),
+    o AS (SELECT *, coalesce(last_value(CASE WHEN deviation > 2 THEN 1 WHEN deviation <= 0 THEN 0 END
+      IGNORE NULLS) OVER w, 0) AS lit, (spot - lag(spot) OVER w) - (perp - lag(perp) OVER w) AS chg FROM j
+      WINDOW w AS (PARTITION BY coin ORDER BY day)),
+    p AS (SELECT *, coalesce(lag(lit) OVER (PARTITION BY coin ORDER BY day), 0) AS was FROM o),
+    s AS (SELECT *, sum(CASE WHEN lit = 1 AND was = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY coin ORDER BY
+      day) AS spell, CASE WHEN was = 1 THEN chg + rate * perp ELSE 0 END AS e FROM p)
+    SELECT coin, spell, min(day) AS entry_day, max(day) AS last_day, (sum(e) - 19 / 1e4 * (arg_min(spot,
+      day) + arg_max(spot, day))) / arg_min(spot, day) * 1e4 AS net_bp
+    FROM s WHERE lit = 1 OR was = 1 GROUP BY coin, spell""",
+    d="net_bp",
+    i="spell",
+)
 def r18(fx: Fixtures) -> DataFrame:
     base = portfolio.basis_deviation(fx.carry, 60).select("coin", "day", "spot", "perp", "rate", "deviation")
-    truth = base.select("*", F.lit("0").alias("draw"))
-    rows = truth
-    for seed in (1, 2):
-        moved = portfolio.rotated_signal(base, "deviation", seed)
-        rows = rows.unionByName(moved.select(*base.columns, F.lit(str(seed)).alias("draw")))
-    return portfolio.basis_replay(
-        rows, slots=2, entry_bp=2.0, exit_bp=0.0, max_hold=10, key=["draw"]
-    )
+    return portfolio.basis_holdings(base, entry_bp=2.0, exit_bp=0.0, key=[])
 
 
 @query(

@@ -506,5 +506,5 @@ def s22(fx: Fixtures) -> DataFrame:
     from tickloom.functions.columns import day_of
 
     until = 1_705_276_800_000_000
-    days = fx.spine.filter(F.col("us") <= until).select(day_of("us").alias("day"))
+    days = fx.stamps.filter(F.col("us") <= until).select(day_of("us").alias("day"))
     return grid.recorded_grid(fx.book, days, 600, until, ["bid_price_0", "ask_price_0"])

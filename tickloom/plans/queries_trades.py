@@ -253,7 +253,7 @@ def x7(fx: Fixtures) -> DataFrame:
     f"""
     WITH {WALKED},
     ents AS (SELECT symbol, us // 86400000000 AS day, us % 86400000000 AS tod, seq, side
-      FROM fx_decisions WHERE side <> 0 AND seq % 5 = 0),
+      FROM fx_decisions WHERE side <> 0),
     d AS (SELECT symbol, day, row_number() OVER (PARTITION BY symbol ORDER BY day) - 1 AS i,
       count(*) OVER (PARTITION BY symbol) AS n
       FROM (SELECT DISTINCT symbol, us // 86400000000 AS day FROM fx_book)),
@@ -271,7 +271,7 @@ def x8(fx: Fixtures) -> DataFrame:
     from pyspark.sql import Window
 
     day_us = 86_400_000_000
-    rows = fx.decisions.filter("side != 0 AND seq % 5 = 0").select(
+    rows = fx.decisions.filter("side != 0").select(
         "symbol", "us", "seq", "side", day_of("us").alias("day")
     )
     # Days per instrument are few; the window never sees the rows themselves.
@@ -307,7 +307,7 @@ def x8(fx: Fixtures) -> DataFrame:
 @query(
     "x9_passive_fills",
     f"""
-    WITH bk AS ({BUCKET_SQL.format(op="p.us <= r.us").replace("WHERE seq % 3 = 0", "")}),
+    WITH bk AS ({BUCKET_SQL.format(op="p.us <= r.us")}),
     n AS (SELECT b.*, k.buy_volume, k.sell_volume, row_number() OVER ({ROW}) - 1 AS row
       FROM fx_book b JOIN bk k USING (symbol, us, seq)),
     c AS (SELECT n.symbol, n.row, n.us, n.seq, d.side, CASE WHEN side > 0 THEN bid_price_0 ELSE

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tickloom.operators.rebuild import apply_change, best_levels, level_names
+from tickloom.operators.rebuild import Ladder, flat_levels, level_names
 
 State = dict[str, Any]
 Step = Callable[[State, pd.DataFrame], list[tuple]]
@@ -45,26 +45,26 @@ def book_state(changes: DataFrame, depth: int, grid_us: int = 100_000) -> DataFr
     names = level_names(depth)
 
     def step(saved: State, frame: pd.DataFrame) -> list[tuple]:
-        book = {s: {float(p): q for p, q in saved[s].items()} for s in ("b", "a")}
+        bids, asks = Ladder(1, saved["b"]), Ladder(-1, saved["a"])
         out = []
         for (us, recv, update, kind), part in frame.groupby(["us", "recv", "update_id", "kind"], sort=False):
             if kind == "snapshot":
-                book = {"b": {}, "a": {}}
+                bids, asks = Ladder(1), Ladder(-1)
             gap = kind == "delta" and saved["last"] is not None and update != saved["last"] + 1
             for side, price, size in zip(part["side"], part["price"], part["size"], strict=True):
-                apply_change(book, side, price, size)
+                (bids if side == "b" else asks).put(price, size)
             saved["last"] = int(update)
-            if not (book["b"] and book["a"]) or us // grid_us == saved["bin"]:
+            if not (bids.ranks and asks.ranks) or us // grid_us == saved["bin"]:
                 continue
             saved["bin"] = int(us // grid_us)
-            levels = best_levels(book, depth)
+            levels = flat_levels(bids, asks, depth)
             if levels is not None:
                 out.append((us, update, bool(gap), *levels))
-        saved |= {s: {repr(p): q for p, q in book[s].items()} for s in ("b", "a")}
+        saved |= {"b": bids.levels(), "a": asks.levels()}
         return out
 
     schema = "us long, seq long, gap boolean, " + ", ".join(f"{n} double" for n in names)
-    start = {"b": {}, "a": {}, "last": None, "bin": None}
+    start = {"b": [], "a": [], "last": None, "bin": None}
     return stateful(changes, step, ["us", "seq", "gap", *names], schema, ["us", "recv"], start)
 
 
