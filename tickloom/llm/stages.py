@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import classify, contamination, minhash, packing, recompress
@@ -21,7 +21,8 @@ TOKENIZER = "byte_bpe_50k.json"
 SUBSTRING_WORDS = 35
 WINDOW_TOKENS = 2048
 
-NAME = F.xxhash64("doc_id", "text").alias("_name")
+def name() -> Column:
+    return F.xxhash64("doc_id", "text").alias("_name")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,11 +31,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are scored like any other. Columns and rows are otherwise unchanged; an
     empty table stays empty; without labels of both classes nothing is rejected.
     """
-    named = docs.select("doc_id", "text", NAME)
+    named = docs.select("doc_id", "text", name())
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     taught = labels.join(named.select("doc_id", "_name"), "doc_id").select("_name", "quality")
     kept = classify.classify(named, taught, id_col="_name").where("predicted = 1").select("_name").distinct()
-    return docs.select("*", NAME).join(kept, "_name", "left_semi").select(*docs.columns)
+    return docs.select("*", name()).join(kept, "_name", "left_semi").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,9 +67,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark of ``sf_dir``."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = contamination.contaminated(docs.select("text", NAME), benchmark, id_col="_name")
+    found = contamination.contaminated(docs.select("text", name()), benchmark, id_col="_name")
     leaks = found.select("_name").distinct()
-    return docs.select("*", NAME).join(leaks, "_name", "left_anti").select(*docs.columns)
+    return docs.select("*", name()).join(leaks, "_name", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
