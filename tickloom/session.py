@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,9 +35,15 @@ def local_session(cores: str = "8", shuffle: str = "8", memory: str = "12g") ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a private one only where none is set."""
+    """The shared checkpoint folder the cluster names; a private one only in local mode.
+
+    Elsewhere an unset ``spark.checkpoint.dir`` is an error: a folder of the driver's own disk would
+    hold a part of the rows on every machine.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "checkpoints")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -42,6 +51,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once a context, so functions resolve wherever a job runs."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    if package.suffix == ".zip" or not package.is_dir():
+        return  # already runs from shipped files
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back: later passes reread files instead
     of recomputing it, and a lost executor costs one file, not the lineage."""
