@@ -11,7 +11,8 @@ from tickloom.functions.columns import BP, clip, corr, ratio
 from tickloom.functions.costs import TakerCosts
 from tickloom.functions.panel import average_rank, index_level
 from tickloom.operators.chunks import BARS, BOOK, Layout, chunked, own, running
-from tickloom.operators.quantiles import quantile_by
+from tickloom.operators.quantiles import at_ranks, counted, quantile_by
+from tickloom.session import materialised
 
 KEYS = ("symbol", "us", "seq")
 
@@ -77,18 +78,14 @@ def choose_confidence(
 def kth_largest(
     rows: DataFrame, value: Column, keep: Column, k: int, name: str, by: Sequence[str] = ()
 ) -> DataFrame:
-    """The ``k``-th largest value among kept rows (the smallest when there are fewer).
-
-    Equal values are counted first, so the ranking runs over distinct values.
-    """
-    found = rows.filter(keep & value.isNotNull()).groupBy(*by, value.alias("_v")).agg(
-        F.count(F.lit(1)).alias("_c")
-    )
-    # Distinct values are cut into slices by a hash-free range: the top slice is enough.
-    w = Window.partitionBy(*by).orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = found.withColumn("_cum", F.sum("_c").over(w))
-    reached = F.max(F.when(F.col("_cum") >= k, F.col("_v")))
-    return ranked.groupBy(*by).agg(F.coalesce(reached, F.min("_v")).alias(name))
+    """The ``k``-th largest value among kept rows (the smallest when there are fewer)."""
+    by = list(by)
+    key = by or ["_all"]
+    values = rows.filter(keep & value.isNotNull())
+    values = values.select(*(by or [F.lit(1).alias("_all")]), value.cast("double").alias("_v"))
+    rank = F.greatest(F.col("_n") - k, F.lit(0)).cast("long")
+    found = counted(values, key).select(*key, "_v", "_c", rank.alias("_low"), rank.alias("_high"))
+    return at_ranks(materialised(found), key).select(*by, F.col("_x").alias(name))
 
 
 def hold_first_thresholds(rows: DataFrame, days: float, trades_per_day: float) -> DataFrame:
@@ -208,33 +205,22 @@ def index_signal(prices: DataFrame, lookback: int, layout: Layout = BARS) -> Dat
 def rate_threshold(
     signals: DataFrame, trades_per_day: float, rows_per_day: float, by: Sequence[str] = ("symbol",)
 ) -> DataFrame:
-    """The signal size that gives the wanted number of trades a day, per key.
-
-    The quantile differs by key, so it is read from running counts of the sorted magnitudes.
-    """
+    """The signal size that gives the wanted number of trades a day, per key: an exact quantile."""
+    by = list(by)
     known = signals.filter(F.col("signal_bp").isNotNull())
-    sizes = known.groupBy(*by, F.abs("signal_bp").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    facts = signals.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_rows"), F.count("signal_bp").alias("_n")
-    )
-    wanted = F.greatest(
-        F.lit(1), F.floor(F.lit(trades_per_day) * F.col("_rows") / F.lit(rows_per_day))
-    )
+    sizes = counted(known.select(*by, F.abs("signal_bp").alias("_v")), by)
+    rows = signals.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
+    wanted = F.greatest(F.lit(1), F.floor(F.lit(trades_per_day) * F.col("_rows") / F.lit(rows_per_day)))
     share = F.least(F.lit(0.999), wanted / F.col("_n"))
     at = (F.col("_n") - 1) * (F.lit(1.0) - share)
-    w = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = sizes.withColumn("_cum", F.sum("_c").over(w)).join(facts, list(by))
     low = F.floor(at)
-    high = F.least(low + 1, F.col("_n") - 1)
-    return (
-        ranked.groupBy(*by)
-        .agg(
-            F.min(F.when(F.col("_cum") > low, F.col("_v"))).alias("_x"),
-            F.min(F.when(F.col("_cum") > high, F.col("_v"))).alias("_y"),
-            F.max(at - low).alias("_f"),
+    stored = materialised(
+        sizes.join(rows, by).select(
+            *by, "_v", "_c", low.alias("_low"), F.least(low + 1, F.col("_n") - 1).alias("_high"), (at - low).alias("_f")
         )
-        .select(*by, (F.col("_x") + (F.col("_y") - F.col("_x")) * F.col("_f")).alias("threshold"))
     )
+    ends = at_ranks(stored.drop("_f"), by).join(stored.groupBy(*by).agg(F.first("_f").alias("_f")), by)
+    return ends.select(*by, (F.col("_x") + (F.col("_y") - F.col("_x")) * F.col("_f")).alias("threshold"))
 
 
 def against_move(value: Column, threshold: Column) -> Column:

@@ -1,8 +1,9 @@
-"""Exact quantiles of large groups without holding a group in memory.
+"""Exact order statistics of large groups without holding a group, or sorting it, in one task.
 
-``percentile`` keeps every distinct value of a group in one task. Here an approximate sketch first
-brackets the quantile; only the rows inside the bracket (a small share) are sorted, and the exact
-order statistics are read from their running counts.
+Equal values are counted first. The value range of each key is then cut into slices of equal width;
+the counts of the slices, a few thousand a key, show which slice holds a wanted rank, and only its
+values go on. After ``ROUNDS`` rounds a slice is some ten-millionth of the range, and what is left
+of it is ranked.
 """
 
 from __future__ import annotations
@@ -12,58 +13,75 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 5_000
+from tickloom.session import materialised
 
+SLICES = 4096
+ROUNDS = 2
 
-def quantile_by(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: Column | str,
-    q: float,
-    name: str,
-    accuracy: int = ACCURACY,
-) -> DataFrame:
-    """One row per key: the linearly interpolated ``q`` quantile of the non-missing values."""
-    v = F.col(value) if isinstance(value, str) else value
-    one = not keys
-    by = ["_all"] if one else list(keys)
-    base = df.select(*([F.lit(1).alias("_all")] if one else keys), v.cast("double").alias("_v"))
-    base = base.filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    slack = 3.0 / accuracy
-    bracket = F.array(F.lit(max(0.0, q - slack)), F.lit(min(1.0, q + slack)))
-    # With few rows a rank error below one row is impossible, so widen by whole ranks.
-    bounds = base.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", bracket, accuracy).alias("_b"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-    )
-    small = F.col("_n") < 4 * accuracy
-    bounds = bounds.select(
-        *by,
-        "_n",
-        F.when(small, F.col("_min")).otherwise(F.col("_b")[0]).alias("_lo"),
-        F.when(small, F.col("_max")).otherwise(F.col("_b")[1]).alias("_hi"),
-    )
-    joined = base.join(F.broadcast(bounds) if one else bounds, by)  # one row when ungrouped
-    below = joined.groupBy(*by).agg(
-        F.max("_n").alias("_n"), F.count_if(F.col("_v") < F.col("_lo")).alias("_below")
+
+def narrowed(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The values of the slices that hold ranks ``_low`` and ``_high``, with ranks counted anew."""
+    bounds = counts.groupBy(*by).agg(F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    width = F.col("_max") - F.col("_min")
+    slice_ = F.when((width > 0) & (width < float("inf")), F.width_bucket("_v", "_min", "_max", F.lit(SLICES)))
+    placed = counts.join(bounds, list(by)).withColumn("_s", F.coalesce(slice_, F.lit(1)))
+    run = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
+    slices = (
+        placed.groupBy(*by, "_s")
+        .agg(
+            F.sum("_c").alias("_c"),
+            F.min("_v").alias("_a"),
+            F.max("_v").alias("_z"),
+            F.first("_low").alias("_low"),
+            F.first("_high").alias("_high"),
+        )
+        .withColumn("_end", F.sum("_c").over(run))
+        .withColumn("_start", F.col("_end") - F.col("_c"))
     )
-    inside = (
-        joined.filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-        .groupBy(*by, "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
+    holds = [(F.col("_start") <= F.col(r)) & (F.col(r) < F.col("_end")) for r in ("_low", "_high")]
+    chosen = slices.filter(holds[0] | holds[1]).groupBy(*by).agg(
+        F.min("_a").alias("_from"), F.max("_z").alias("_to"), F.min("_start").alias("_below")
     )
+    kept = counts.join(chosen, list(by)).filter(F.col("_v").between(F.col("_from"), F.col("_to")))
+    ranks = [(F.col(r) - F.col("_below")).alias(r) for r in ("_low", "_high")]
+    return kept.select(*by, "_v", "_c", *ranks)
+
+
+def at_ranks(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Per key the values ``_x`` and ``_y`` at ranks ``_low <= _high``, counted from 0 upwards.
+
+    ``counts``, which is read several times and so best stored, has distinct values ``_v``, their
+    numbers ``_c``, and the ranks on every row.
+    """
+    left = counts
+    for _ in range(ROUNDS):
+        left = narrowed(left, by)
     run = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.withColumn("_cum", F.sum("_c").over(run)).join(below, by)
+    ranked = left.withColumn("_cum", F.sum("_c").over(run))
+    return ranked.groupBy(*by).agg(
+        F.min(F.when(F.col("_cum") > F.col("_low"), F.col("_v"))).alias("_x"),
+        F.min(F.when(F.col("_cum") > F.col("_high"), F.col("_v"))).alias("_y"),
+    )
+
+
+def counted(values: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Distinct values ``_v`` per key with their numbers ``_c`` and the key's total ``_n``."""
+    found = values.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    return found.join(found.groupBy(*by).agg(F.sum("_c").alias("_n")), list(by))
+
+
+def quantile_by(df: DataFrame, keys: Sequence[str], value: Column | str, q: float, name: str) -> DataFrame:
+    """One row per key: the linearly interpolated ``q`` quantile of the non-missing values."""
+    v = F.col(value) if isinstance(value, str) else value
+    by = list(keys) or ["_all"]
+    base = df.select(*(keys or [F.lit(1).alias("_all")]), v.cast("double").alias("_v"))
+    found = counted(base.filter(F.col("_v").isNotNull() & ~F.isnan("_v")), by)
     at = (F.col("_n") - 1) * F.lit(q)
     low = F.floor(at)
-    high = F.least(low + 1, F.col("_n") - 1)
-    upto = F.col("_cum") + F.col("_below")
-    picked = ranked.groupBy(*by).agg(
-        F.min(F.when(upto > low, F.col("_v"))).alias("_x"),
-        F.min(F.when(upto > high, F.col("_v"))).alias("_y"),
-        F.max(at - low).alias("_w"),
+    found = found.select(
+        *by, "_v", "_c", low.alias("_low"), F.least(low + 1, F.col("_n") - 1).alias("_high"), "_n"
     )
-    out = (F.col("_x") + (F.col("_y") - F.col("_x")) * F.col("_w")).alias(name)
-    return picked.select(*([] if one else keys), out)
+    stored = materialised(found)
+    ends = at_ranks(stored.drop("_n"), by).join(stored.groupBy(*by).agg(F.first("_n").alias("_n")), by)
+    out = (F.col("_x") + (F.col("_y") - F.col("_x")) * (at - low)).alias(name)
+    return ends.select(*keys, out)
