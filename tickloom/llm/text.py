@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -54,7 +54,7 @@ def powers(n: int, which: int, inverse: bool = False) -> np.ndarray:
     have = _powers.get((which, inverse))
     if have is None or len(have) < n:
         base = pow(BASES[which], -1, 1 << 64) if inverse else BASES[which]
-        have = np.full(max(n, SLICE_BYTES + 1), base, dtype=np.uint64)
+        have = np.full(1 << max(n - 1, 1 << 14).bit_length(), base, dtype=np.uint64)
         have[0] = 1
         _powers[which, inverse] = have = np.cumprod(have, dtype=np.uint64)
     return have[:n]
