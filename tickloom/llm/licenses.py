@@ -37,6 +37,8 @@ TEMPLATES = {
 }
 THRESHOLD = 0.75
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before A-Z are lower case.
+RAW_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
 def lowered(text: Column) -> Column:
@@ -49,6 +51,12 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SEPARATORS), lambda w: w != "")
 
 
+def word_pattern(choices: list[str]) -> str:
+    """A pattern for any of some words or phrases standing as whole words, ASCII case aside."""
+    parts = "|".join((RAW_SEPARATORS + "+").join(c.split()) for c in choices)
+    return f"(?i)(?:^|{RAW_SEPARATORS})(?:{parts})(?:$|{RAW_SEPARATORS})"
+
+
 def token_counts(docs: DataFrame, tokens: list[str], text_col: str = "text") -> dict[str, int]:
     """How many words of all texts each of the given tokens makes up."""
     words = docs.select(F.explode(F.split(lowered(F.col(text_col)), SEPARATORS)).alias("w"))
@@ -57,17 +65,15 @@ def token_counts(docs: DataFrame, tokens: list[str], text_col: str = "text") ->
     return {t: found.get(t, 0) for t in tokens}
 
 
-def places(words: Column, text: Column, phrase: str) -> Column:
-    """Indices of ``words`` at which the phrase's words stand one after another."""
+def places(words: Column, phrase: str) -> Column:
+    """Indices of ``words`` (a stored column) at which the phrase's words stand one after another."""
     parts = phrase.split()
     last = F.size(words) - len(parts)
-    pattern = SEPARATORS.join(parts)
 
     def here(i: Column) -> Column:
         return reduce(lambda a, b: a & b, [F.get(words, i + j) == p for j, p in enumerate(parts)])
 
-    found = F.filter(F.sequence(F.lit(0), last), here)
-    return F.when(text.rlike(pattern) & (last >= 0), found).otherwise(F.array().cast("array<int>"))
+    return F.when(last >= 0, F.filter(F.sequence(F.lit(0), last), here)).otherwise(F.array().cast("array<int>"))
 
 
 def scan(
@@ -89,6 +95,7 @@ def scan(
     templates = TEMPLATES if templates is None else templates
     spark = docs.sparkSession
     sets = {t: sorted(set(t.split())) for t in templates}
+    # at most one count for each template token
     counts = token_counts(docs, sorted({w for s in sets.values() for w in s}), text_col)
     prefix_rows, prefixes = [], set()
     for template, tokens in sets.items():
@@ -97,33 +104,36 @@ def scan(
         for place, token in enumerate(ordered[: len(ordered) - need + 1]):
             prefixes.add(token)
             prefix_rows.append((token, templates[template], place, ordered, need))
-    text = lowered(F.col(text_col))
-    lines = F.col("_lines")
-    candidates = F.filter(
-        F.transform(lines, lambda b, i: F.struct(i.alias("block"), F.array_distinct(words_of(b)).alias("tokens"))),
-        lambda s: F.arrays_overlap(s["tokens"], F.array(*[F.lit(w) for w in sorted(prefixes)])),
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    pieces = F.split(text, RAW_SEPARATORS + "+")
+    count = F.size(pieces)
+    edges = (F.get(pieces, F.lit(0)) == "").cast("int") + ((count > 1) & (F.get(pieces, count - 1) == "")).cast("int")
+    rare = word_pattern(sorted(prefixes))
+    lines = F.filter(
+        F.transform(F.split(text, "\n"), lambda line, i: F.struct(i.alias("block"), line.alias("line"))),
+        lambda s: s["line"].rlike(rare),
     )
-    pattern = "|".join(sorted(prefixes))
-    prepared = docs.select(
-        F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), text.alias("_text")
-    ).withColumn("_lines", F.split("_text", "\n"))
-
-    def found(phrase: str, label: str) -> Column:
-        at = places(words_of(F.col("_text")), F.col("_text"), phrase)
-        return F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(label).alias("label")))
-
-    base = F.concat(*[found(p, v) for p, v in phrases.items()])
+    # one pass over the text: what few documents need further on is stored
     scanned = materialised(
-        prepared.select(
-            "_row",
-            "_id",
-            F.size(words_of(F.col("_text"))).cast("long").alias("n_words"),
-            base.alias("base"),
-            F.when(F.col("_text").rlike(pattern), candidates).otherwise(F.array().cast(
-                "array<struct<block:int,tokens:array<string>>>"
-            )).alias("blocks"),
+        docs.select(
+            F.monotonically_increasing_id().alias("_row"),
+            F.col(id_col).alias("_id"),
+            (count - edges).cast("long").alias("n_words"),
+            F.when(text.rlike(word_pattern(list(phrases))), words_of(lowered(text)))
+            .otherwise(F.array().cast("array<string>"))
+            .alias("words"),
+            F.when(text.rlike(rare), lines)
+            .otherwise(F.array().cast("array<struct<block:int,line:string>>"))
+            .alias("lines"),
         )
     )
+
+    def found(phrase: str, label: str) -> Column:
+        return F.transform(
+            places(F.col("words"), phrase), lambda i: F.struct(i.alias("at"), F.lit(label).alias("label"))
+        )
+
+    scanned = scanned.withColumn("base", F.concat(*[found(p, v) for p, v in phrases.items()]))
     rows = [
         F.struct(
             F.lit(token).alias("token"),
@@ -135,7 +145,9 @@ def scan(
         for token, label, place, template, need in prefix_rows
     ]
     prefix = spark.range(1).select(F.inline(F.array(*rows)))
-    blocks = scanned.select("_row", F.explode("blocks").alias("b")).select("_row", "b.block", "b.tokens")
+    blocks = scanned.select("_row", F.explode("lines").alias("b")).select(
+        "_row", "b.block", F.array_distinct(words_of(lowered(F.col("b.line")))).alias("tokens")
+    )
     held = blocks.select("*", F.explode("tokens").alias("token")).join(prefix, "token")
     fitting = held.where(
         (F.size("tokens") >= F.col("need")) & (F.size("template") - F.col("place") >= F.col("need"))
