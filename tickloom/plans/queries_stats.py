@@ -273,6 +273,19 @@ def e11(fx: Fixtures) -> DataFrame:
     return stats.placebo_level(shifted(fx), "value", by=["series"])
 
 
+@query(
+    "e11_placebo_p",
+    f"""
+    WITH {SHIFTED}, m AS (SELECT avg(value) AS truth FROM sh)
+    SELECT count(value) AS draws, (count_if(value >= truth) + 1) / (count(value) + 1) AS p FROM sh, m
+    GROUP BY truth""",
+    d="p",
+)
+def e11_p(fx: Fixtures) -> DataFrame:
+    draws = shifted(fx)
+    return stats.placebo_p(draws, draws.agg(F.avg("value").alias("truth")), "value", "truth")
+
+
 @query(
     "e12_rotated_placebos",
     f"""

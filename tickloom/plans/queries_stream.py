@@ -51,6 +51,15 @@ def g13(fx: Fixtures) -> DataFrame:
     return rebuild.rebuild(messages.book_messages(book_log(fx)), 2)
 
 
+@query("w1_message_files", BOOK_SQL, d=" ".join(LEVELS))
+def w1_files(fx: Fixtures) -> DataFrame:
+    """The message log written to a file a symbol, read back in file order, and rebuilt."""
+    path = scratch(fx)
+    lines = book_log(fx).repartition("symbol").sortWithinPartitions("symbol", "recv")
+    lines.select("symbol", "text").write.partitionBy("symbol").text(path)
+    return rebuild.rebuild(messages.book_messages(messages.read_messages(fx.spark, path)), 2)
+
+
 @query(
     "g13_sequence_gaps",
     """

@@ -15,9 +15,21 @@ TRADE_MESSAGE = (
 )
 
 
+BLOCK_BITS, LINE_BITS = 20, 33
+
+
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON message a line, with its file and line order kept as ``recv``."""
-    return spark.read.text(path).select(F.col("value").alias("text"))
+    """One JSON message a line: ``text``, ``recv`` and the partition columns of the path (``symbol=...``).
+
+    ``recv`` orders the lines of a file: the block its task read, then the line inside the task. It
+    breaks ties between messages of one stamp, which never span files.
+    """
+    rows = spark.read.text(path)
+    block = F.shiftright(F.col("_metadata.file_block_start"), BLOCK_BITS)
+    line = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << LINE_BITS) - 1))
+    recv = F.shiftleft(block, LINE_BITS) + line
+    others = [c for c in rows.columns if c != "value"]
+    return rows.select(*others, F.col("value").alias("text"), recv.alias("recv"))
 
 
 def book_messages(raw: DataFrame, keep: tuple[str, ...] = ("symbol", "recv")) -> DataFrame:
