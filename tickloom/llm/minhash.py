@@ -7,9 +7,9 @@ every place holds an offer of the levels seen: large sets after one level, small
 The places of one set are correlated, which lowers the variance of the estimate.
 
 Equal sets are collapsed first. Of the rest, documents that share a band of the signature are
-candidates; a pair is linked only on its full sets. Bands first link everything to the smallest
-document of a band (groups of near copies need no pair but these); what shares a band and is still
-apart is compared pair by pair, in blocks.
+candidates; a pair is linked only on its full sets. First everything in a band is compared with its
+smallest document (groups of near copies need no pair but these); what shares a band and is still
+apart is compared pair by pair, in blocks, by a finer sketch and then on full sets.
 """
 
 from __future__ import annotations
@@ -31,7 +31,11 @@ BAND = 4
 FRACTION_BITS = 25
 #: An estimate this far below the threshold rules a pair out: five deviations and more.
 SLACK = 0.22
+#: Bins of the finer sketch that is compared before whole texts are, and the deviations it is given.
+BINS = 512
+DEVIATIONS = 5.0
 BLOCK = 256
+GROUP_ROWS = 4096
 
 
 def super_minhash(elements: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -68,6 +72,34 @@ def super_minhash(elements: np.ndarray, place: np.ndarray) -> np.ndarray:
     return signature.reshape(n_sets, PLACES)
 
 
+def binned(elements: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Per set, a byte for the least element of each of ``BINS`` parts of the hash range; 0 if none."""
+    n_sets = len(place) - 1
+    least = np.full(n_sets * BINS, np.iinfo(np.uint64).max, np.uint64)
+    owner = np.repeat(np.arange(n_sets), np.diff(place))
+    draw = mix(elements ^ np.uint64(0x6C62272E07BB0142))
+    part = (draw >> np.uint64(64 - (BINS - 1).bit_length())).astype(np.int64)
+    np.minimum.at(least, owner * BINS + part, draw)
+    value = (least & np.uint64(0xFFFF)) % np.uint64(255) + np.uint64(1)
+    value[least == np.iinfo(np.uint64).max] = 0
+    return value.astype(np.uint8).reshape(n_sets, BINS)
+
+
+def near_enough(fine: np.ndarray, n: np.ndarray, i: int, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of sets ``j`` the sketch of set ``i`` does not rule out.
+
+    Occupied bins are a sample, without replacement, of the union of two sets; at the threshold the
+    share of equal bins deviates from it by the error of such a sample.
+    """
+    mine, theirs = fine[i], fine[j]
+    used = ((mine != 0) | (theirs != 0)).sum(axis=1)
+    equal = ((mine == theirs) & (mine != 0)).sum(axis=1)
+    union = np.maximum((n[i] + n[j]) / (1 + threshold), 2.0)
+    rest = np.maximum(union - used, 0.0) / (union - 1)
+    error = np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1) * rest)
+    return equal >= (threshold - DEVIATIONS * error - 0.02) * used
+
+
 def distinct_sets(texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of each text, sorted, one text after another."""
     texts.data = LOWER[texts.data]
@@ -83,10 +115,10 @@ def distinct_sets(texts, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``_id``, set size, two fingerprints of the set, band keys and one byte of every place."""
+    """``_id``, set size, two fingerprints of the set, band keys, one byte of every place, the finer sketch."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     schema = keyed(
-        rows, "_id", "n_shingles long, f1 long, f2 long, bands array<long>, lanes binary"
+        rows, "_id", "n_shingles long, f1 long, f2 long, bands array<long>, lanes binary, fine binary"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,6 +148,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
                             pa.array(signed(key.ravel())),
                         ),
                         pa.array([row.tobytes() for row in lanes], pa.binary()),
+                        pa.array([row.tobytes() for row in binned(elements, place)], pa.binary()),
                     ],
                     schema.names,
                 )
@@ -160,31 +193,43 @@ def residual_pairs(members: DataFrame, threshold: float) -> DataFrame:
     sizes = members.groupBy("key").agg(
         F.count("*").alias("members"), F.min("component").alias("c1"), F.max("component").alias("c2")
     )
-    mixed = materialised(sizes.where("c1 <> c2").select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")))
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")
+    mixed = materialised(sizes.where("c1 <> c2").select("key", blocks))
     members = members.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # bands of one block share tasks, some thousand rows in each
+    shares = F.lit(max(1, mixed.where("blocks = 1").count() * 8 // GROUP_ROWS))
+    group = F.when(F.col("blocks") == 1, F.pmod("key", shares)).otherwise(F.col("key"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     met = members.withColumn("other", other).select(
-        "key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
-        "block", "id", "component", "n_shingles", "lanes",
+        group.alias("share"), "key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
+        "block", "id", "component", "n_shingles", "bands", "fine",
     )
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        x, y = group["x"].iat[0], group["y"].iat[0]
-        lanes = np.stack([np.frombuffer(v, np.uint8) for v in group["lanes"]])
-        ids, parts = group["id"].to_numpy(), group["component"].to_numpy()
+        group = group.sort_values("key", kind="stable")
+        fine = np.frombuffer(b"".join(group["fine"]), np.uint8).reshape(-1, BINS)
+        ids, parts, key = (group[c].to_numpy() for c in ("id", "component", "key"))
         n, block = group["n_shingles"].to_numpy(), group["block"].to_numpy()
-        rows = np.flatnonzero(block == x)
-        found = []
-        for i in rows:
-            j = np.flatnonzero((block == y) & (parts != parts[i]) & ((x != y) | (ids > ids[i])))
-            j = j[np.minimum(n[j], n[i]) >= threshold * np.maximum(n[j], n[i])]
-            j = j[(lanes[j] == lanes[i]).mean(axis=1) >= threshold - SLACK]
-            found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), ids.dtype)
+        bands = np.stack(group["bands"].to_numpy())
+        x, y = int(group["x"].iat[0]), int(group["y"].iat[0])
+        edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+        found = [np.zeros((0, 2), ids.dtype)]
+        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            rows = np.arange(low, high)
+            second = rows[block[low:high] == y]
+            for i in rows[block[low:high] == x].tolist():
+                j = second[(parts[second] != parts[i]) & ((x != y) | (ids[second] > ids[i]))]
+                j = j[np.minimum(n[j], n[i]) >= threshold * np.maximum(n[j], n[i])]
+                if len(j):
+                    j = j[near_enough(fine, n, i, j, threshold)]
+                    # a pair counts in the first band it shares
+                    j = j[bands[i, (bands[j] == bands[i]).argmax(axis=1)] == key[i]]
+                    found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     kind = members.schema["id"].dataType.simpleString()
-    return met.groupBy("key", "x", "y").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
+    return met.groupBy("share", "x", "y").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(
@@ -206,7 +251,7 @@ def near_duplicates(
     same = real.groupBy("n_shingles", "f1", "f2").agg(F.min("_id").alias("first"))
     same = materialised(same)
     heads = materialised(real.join(same, ["n_shingles", "f1", "f2"]).select(
-        "_id", "first", "n_shingles", "bands", "lanes"
+        "_id", "first", "n_shingles", "bands", "lanes", "fine"
     ))
     copies = heads.where("_id <> first").select(F.col("_id").alias("a"), F.col("first").alias("b"))
     unique = heads.where("_id = first").dropDuplicates(["_id", "lanes"])
@@ -227,7 +272,7 @@ def near_duplicates(
         .withColumn("component", F.coalesce("component", "id"))
         .select("key", "id", "component")
     )
-    details = joined.join(bounds.withColumnRenamed("_id", "id"), "id")
+    details = joined.join(unique.select(F.col("_id").alias("id"), "n_shingles", "bands", "fine"), "id")
     rest = residual_pairs(details, threshold)
     more = materialised(verified(rest, texts, size, threshold))
     if more.limit(1).count():
