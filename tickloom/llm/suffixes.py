@@ -6,8 +6,8 @@ its first mark that it decides itself (a window without one, in periodic text, a
 The suffixes at the anchors, where their leading bytes occur more than once, are range-partitioned
 by leading bytes with sampled splitters; every bucket sorts its suffixes by multikey quicksort and
 compares neighbours, and the neighbours across bucket boundaries are compared too. The longest
-match of a suffix bounds the windows that can recur; what remains is settled on whole stretches and
-single windows (see ``repeats``).
+match of a suffix bounds the windows that can recur, and these are settled one by one. Stretches that
+recur whole are settled before (see ``repeats``); one of each kind takes part in the array.
 """
 
 from __future__ import annotations
@@ -16,13 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import repeats
 from tickloom.llm.repeats import Content, Runs
-from tickloom.llm.text import BYTE_CODES, Spans, keyed, mix, signed, slices
+from tickloom.llm.text import BYTE_CODES, Spans, keyed, mix, signed
 from tickloom.session import materialised
 
 GRAM = 8
@@ -42,13 +41,12 @@ def sliding_least(values: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(behind[: n - size + 1], ahead[size - 1 : n])
 
 
-def marks(data: np.ndarray, offsets: np.ndarray, reach: int) -> np.ndarray:
+def marks(grams: Spans, n: int, offsets: np.ndarray, reach: int) -> np.ndarray:
     """Positions x whose gram is least, and alone, within ``reach``; decided by x-reach .. x+reach+GRAM."""
-    n = len(data)
     if reach < 1 or n < 2 * reach + GRAM + 1:
         return np.zeros(0, np.int64)
     at = np.arange(n - GRAM + 1)
-    grams = Spans(BYTE_CODES[data]).of(at, at + GRAM)
+    grams = grams.of(at, at + GRAM)
     near = sliding_least(grams, reach)
     x = np.arange(reach, len(grams) - reach)
     best = (grams[x] < near[x - reach]) & (grams[x] < near[x + 1])
@@ -58,20 +56,30 @@ def marks(data: np.ndarray, offsets: np.ndarray, reach: int) -> np.ndarray:
 
 
 def byte_runs(texts, width: int) -> Runs:
-    """The runs of all windows of ``width`` bytes."""
+    """The runs of all windows of ``width`` bytes.
+
+    A window's key is a stretch from its anchor that the window holds whole: a long one where the
+    anchor is near its start, a short one where it is far.
+    """
     offsets, n = texts.offsets, len(texts.data)
     codes = BYTE_CODES[texts.data]
-    lead = width // 3
-    reach = min(REACH, (lead - GRAM) // 2)  # a mark decided inside the leading bytes
-    x = marks(texts.data, offsets, reach)
+    spans = Spans(codes)
+    short, long = width // 3, width * 3 // 4
+    reach = min(REACH, (short - GRAM) // 2)  # a mark decided inside the shorter stretch
+    x = marks(spans, n, offsets, reach)
     text = np.searchsorted(offsets, x, "right") - 1
     before = np.full(len(x), -1, np.int64)
     before[1:] = np.where(text[1:] == text[:-1], x[:-1] - reach, -1)
     begin = x - reach
-    low = np.maximum(np.maximum(before + 1, offsets[text]), begin - (width - lead))
-    high = np.minimum(begin, offsets[text + 1] - width)
+    first = np.maximum(np.maximum(before + 1, offsets[text]), begin - (width - short))
+    last = np.minimum(begin, offsets[text + 1] - width)
+    border = begin - (width - long)
+    low = np.concatenate([np.maximum(first, border), first])
+    high = np.concatenate([last, np.minimum(last, border - 1)])
+    lead = np.repeat([long, short], len(x))
+    begin, text = np.tile(begin, 2), np.tile(text, 2)
     fine = low <= high
-    low, high, begin, text = low[fine], high[fine], begin[fine], text[fine]
+    low, high, begin, text, lead = (v[fine] for v in (low, high, begin, text, lead))
     # starts that no mark serves
     change = np.zeros(n + 2, np.int32)
     np.add.at(change, low, 1)
@@ -81,14 +89,14 @@ def byte_runs(texts, width: int) -> Runs:
     np.add.at(room, offsets[:-1][valid], 1)
     np.add.at(room, offsets[1:][valid] - width + 1, -1)
     alone = np.flatnonzero((np.cumsum(room)[:n] > 0) & (np.cumsum(change)[:n] == 0))
-    key = np.concatenate([np.zeros(0, np.uint64), Spans(codes).of(begin, begin + lead)])
-    own = mix(Spans(codes).of(alone, alone + lead) ^ OWN_START)
+    key = mix(spans.of(begin, begin + lead) + lead.astype(np.uint64))
+    key = np.concatenate([key, mix(spans.of(alone, alone + short) ^ OWN_START)])
     text = np.concatenate([text, np.searchsorted(offsets, alone, "right") - 1])
     low, high = np.concatenate([low, alone]), np.concatenate([high, alone])
     begin = np.concatenate([begin, alone])
-    shift = offsets[text]
     prints = Content(codes).of(low, high + width, begin - low)
-    return Runs(text, np.concatenate([key, own]), low - shift, high - shift, begin - shift, prints)
+    shift = offsets[text]
+    return Runs(text, key, low - shift, high - shift, begin - shift, prints)
 
 
 def multikey_quicksort(rows: np.ndarray) -> np.ndarray:
@@ -126,20 +134,23 @@ def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(differ.any(axis=1), first, a.shape[1])
 
 
-STRETCH = "row long, key long, low int, high int, shift int, stretch binary"
+STRETCH = "row long, low int, high int, alone boolean, shift int, stretch binary"
+MATCHED = "row long, low int, high int, alone boolean"
+EDGE = f"{MATCHED}, shift int, match int, bucket int, edge int, stretch binary"
 
 
-def longest_matches(suffixes: DataFrame, width: int) -> DataFrame:
-    """Adds ``match``: how many of its first ``width`` bytes each suffix shares with another, at most.
+def recurring(suffixes: DataFrame, rows: int, width: int) -> DataFrame:
+    """Runs (MATCHED) cut to the windows that the longest match of their suffix allows.
 
-    ``suffixes`` has STRETCH; a suffix begins ``shift`` bytes into ``stretch``.
+    ``suffixes`` has STRETCH, about ``rows`` of them; a suffix begins ``shift`` bytes into
+    ``stretch``. Only what a bucket's edges need of the text leaves the bucket.
     """
-    suffixes = materialised(suffixes)
-    buckets = max(suffixes.sparkSession.sparkContext.defaultParallelism, suffixes.count() // BUCKET_ROWS + 1)
-    suffix = F.expr("substring(stretch, shift + 1)")
+    spark = suffixes.sparkSession
+    buckets = max(spark.sparkContext.defaultParallelism, rows // BUCKET_ROWS + 1)
     # equal suffixes may fall into several buckets: row and low break their ties
-    dealt = suffixes.withColumn("_s", suffix).repartitionByRange(buckets, "_s", "row", "low").drop("_s")
+    dealt = suffixes.repartitionByRange(buckets, F.expr("substring(stretch, shift + 1)"), "row", "low")
     words = -(-width // 8)
+    names = [c.split()[0] for c in EDGE.split(", ")]
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -148,47 +159,63 @@ def longest_matches(suffixes: DataFrame, width: int) -> DataFrame:
         if not held:
             return
         table = pa.Table.from_batches(held).combine_chunks()
-        shift, stretch = table["shift"].to_numpy(), table["stretch"].to_pylist()
+        shift, stretch = table["shift"].to_numpy().astype(np.int64), table["stretch"].to_pylist()
         suffix = [s[k : k + width] for s, k in zip(stretch, shift.tolist(), strict=True)]
         size = np.array([len(s) for s in suffix])
         raw = np.frombuffer(b"".join(s.ljust(8 * words, b"\0") for s in suffix), np.uint8).reshape(-1, 8 * words)
         order = multikey_quicksort(raw.view(">u8").astype(np.uint64))
-        raw, size = raw[order], size[order]
         match = np.zeros(len(order), np.int64)
-        for low in range(0, len(order) - 1, 4096):
-            high = min(low + 4096, len(order) - 1)
-            common = common_prefix(raw[low:high], raw[low + 1 : high + 1])
-            match[low:high] = np.maximum(match[low:high], common)
-            match[low + 1 : high + 1] = np.maximum(match[low + 1 : high + 1], common)
+        for at in range(0, len(order) - 1, 4096):
+            a, b = order[at : at + 4096], order[at + 1 : at + 4097]
+            common = common_prefix(raw[a[: len(b)]], raw[b])
+            match[a[: len(b)]] = np.maximum(match[a[: len(b)]], common)
+            match[b] = np.maximum(match[b], common)
+        match = np.minimum(match, size)
         edge = np.zeros(len(order), np.int32)
-        edge[0] += 1
-        edge[-1] += 2
-        out = table.take(pa.array(order)).select(["row", "key", "low", "high", "shift", "stretch"])
-        out = out.append_column("match", pa.array(np.minimum(match, size).astype(np.int32)))
-        out = out.append_column("bucket", pa.array(np.full(len(order), TaskContext.get().partitionId(), np.int32)))
-        out = out.append_column("edge", pa.array(edge))
-        yield from out.to_batches(max_chunksize=2048)
-
-    done = materialised(dealt.mapInArrow(sort, f"{STRETCH}, match int, bucket int, edge int"))
-    # two rows a bucket: its first and its last suffix
-    edges = done.where("edge > 0").withColumn("_s", suffix).select("bucket", "edge", "_s").orderBy("bucket").collect()
-    across: dict[tuple[int, int], int] = {}
-    ends = [(r["bucket"], r["edge"], bytes(r["_s"])[:width]) for r in edges]
-    ends.sort(key=lambda e: (e[0], 1 if e[1] & 1 else 2))
-    for (a, ea, x), (b, eb, y) in zip(ends[:-1], ends[1:], strict=True):
-        if a != b:
-            n = min(len(x), len(y))
-            padded = np.frombuffer(x[:n] + y[:n], np.uint8).reshape(2, n)
-            common = int(common_prefix(padded[:1], padded[1:])[0]) if n else 0
-            for place in ((a, ea), (b, eb)):
-                across[place] = max(across.get(place, 0), common)
-    if not across:
-        return done.select("row", "key", "low", "high", "shift", "stretch", "match")
-    met = done.sparkSession.createDataFrame(
-        [(b, e, n) for (b, e), n in across.items()], "bucket int, edge int, more int"
-    )
-    done = done.join(met, ["bucket", "edge"], "left").withColumn("match", F.greatest("match", F.coalesce("more", F.lit(0))))
-    return done.select("row", "key", "low", "high", "shift", "stretch", "match")
+        edge[order[0]] += 1
+        edge[order[-1]] += 2
+        bucket = TaskContext.get().partitionId()
+        low, high = (table[c].to_numpy().astype(np.int64) for c in ("low", "high"))
+        # a window at low + k takes width - shift + k bytes of the suffix
+        final = np.minimum(high, low + shift + match - width)
+        for at in range(0, len(order), 2048):
+            part = slice(at, at + 2048)
+            last, ends = final[part], edge[part]
+            keep = pa.array((last >= low[part]) | (ends > 0))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[table[c].combine_chunks().slice(at, 2048) for c in ("row", "low")],
+                    pa.array(np.where(ends > 0, high[part], last).astype(np.int32)),
+                    table["alone"].combine_chunks().slice(at, 2048),
+                    pa.array(shift[part].astype(np.int32)),
+                    pa.array(match[part].astype(np.int32)),
+                    pa.array(np.full(len(ends), bucket, np.int32)),
+                    pa.array(ends),
+                    pa.array([s if e else None for s, e in zip(stretch[part], ends, strict=True)], pa.binary()),
+                ],
+                names,
+            ).filter(keep)
+
+    done = materialised(dealt.mapInArrow(sort, EDGE))
+    inner = done.where("edge = 0").select(*[c.split()[0] for c in MATCHED.split(", ")])
+    # two rows a bucket, its first and its last suffix: compared with their neighbours' here
+    edges = [r.asDict() for r in done.where("edge > 0").collect()]
+    edges.sort(key=lambda r: (r["bucket"], r["edge"]))
+    for x, y in zip(edges[:-1], edges[1:], strict=True):
+        if x["bucket"] != y["bucket"]:
+            a, b = (bytes(r["stretch"])[r["shift"] : r["shift"] + width] for r in (x, y))
+            n = min(len(a), len(b))
+            pair = np.frombuffer(a[:n] + b[:n], np.uint8).reshape(2, n)
+            common = int(common_prefix(pair[:1], pair[1:])[0]) if n else 0
+            for r in (x, y):
+                r["match"] = max(r["match"], common)
+    if not edges:
+        return inner
+    for r in edges:
+        r["high"] = min(r["high"], r["low"] + r["shift"] + r["match"] - width)
+    names = [c.split()[0] for c in MATCHED.split(", ")]
+    cut = spark.createDataFrame([tuple(r[c] for c in names) for r in edges], MATCHED)
+    return inner.union(cut).where("low <= high")
 
 
 def byte_dedup(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,15 +229,16 @@ def byte_dedup(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text_c
     named = repeats.with_text(docs, id_col, text_col, [])
     found = repeats.find_runs(named, lambda texts: byte_runs(texts, width))
     runs = repeats.candidates(found)
-    distinct = runs.where("NOT sure").select("row", "key", "low", "high", "anchor").distinct()
-    lists = distinct.groupBy("row").agg(
-        F.collect_list(F.struct("low", "high", "key", "anchor")).alias("parts")
-    )
+    # stretches that recur whole are settled; one of each kind stands for them in the suffix array
+    whole, compared = repeats.settle(runs.where("NOT sure"))
+    whole = whole.union(runs.where("sure").select("row", "low", "high"))
+    compared = materialised(compared.select("row", "low", "high", "anchor", "alone"))
+    lists = compared.groupBy("row").agg(F.collect_list(F.struct("low", "high", "alone", "anchor")).alias("parts"))
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = batch.column(2).flatten()
-            key, anchor = np.asarray(flat.field(2)), np.asarray(flat.field(3))
+            alone, anchor = flat.field(2), np.asarray(flat.field(3))
             done = 0
             for i, low, high in repeats.each_row(batch, 2):
                 text = batch.column(1)[i].as_py() or b""
@@ -219,62 +247,48 @@ def byte_dedup(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text_c
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(np.full(len(low), i))),
-                        pa.array(key[done : done + len(low)]),
                         pa.array(low.astype(np.int32)),
                         pa.array(high.astype(np.int32)),
+                        alone.slice(done, len(low)),
                         pa.array((at - low).astype(np.int32)),
                         pa.array(pieces, pa.binary()),
                     ],
-                    ["row", "key", "low", "high", "shift", "stretch"],
+                    ["row", "low", "high", "alone", "shift", "stretch"],
                 )
                 done += len(low)
 
-    asked = named.select("row", F.col("_text").cast("binary").alias("_text")).join(lists, "row")
-    matched = longest_matches(asked.select("row", "_text", "parts").mapInArrow(stretches, STRETCH), width)
-    # a window at low + k takes width - shift + k bytes of the suffix
-    last = F.least("high", F.col("low") + F.col("shift") + F.col("match") - width).cast("int")
-    possible = matched.withColumn("high", last).where("low <= high").select("row", "key", "low", "high", "shift", "stretch")
-
-    def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            low, high, shift = (np.asarray(batch.column(k)).astype(np.int64) for k in (2, 3, 4))
-            for texts in slices(batch.column(5)):
-                rows = slice(texts.low, texts.high)
-                content = Content(BYTE_CODES[texts.data])
-                start = texts.offsets[:-1]
-                r1, r2 = content.of(start, start + high[rows] - low[rows] + width, shift[rows])
-                part = batch.slice(texts.low, texts.high - texts.low)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(signed(r1)), pa.array(signed(r2))],
-                    [*part.schema.names, "r1", "r2"],
-                )
-
-    whole, compared = repeats.settle(possible.mapInArrow(fingerprints, f"{STRETCH}, r1 long, r2 long"))
-    whole = whole.union(runs.where("sure").select("row", "low", "high"))
+    named = named.select("row", F.col("_text").cast("binary").alias("_text"))
+    asked = named.join(lists, "row")
+    suffixes = asked.select("row", "_text", "parts").mapInArrow(stretches, STRETCH)
+    again = recurring(suffixes, compared.count(), width).groupBy("row").agg(
+        F.collect_list(F.struct("low", "high", "alone")).alias("parts")
+    )
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            low, high = (np.asarray(batch.column(k)).astype(np.int64) for k in (1, 2))
-            alone = np.asarray(batch.column(4).to_numpy(zero_copy_only=False), bool)
-            for texts in slices(batch.column(3)):
-                rows = slice(texts.low, texts.high)
-                at, run = repeats.exploded(low[rows], high[rows])
-                start = texts.offsets[:-1][run] + at - low[rows][run]
-                w1, w2 = Content(BYTE_CODES[texts.data]).of(start, start + width)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(signed(w1)),
-                        pa.array(signed(w2)),
-                        pc.take(batch.column(0), pa.array(run + texts.low)),
-                        pa.array(at.astype(np.int32)),
-                        pa.array(alone[rows][run]),
-                    ],
-                    ["w1", "w2", "row", "at", "alone"],
-                )
+            alone = np.asarray(batch.column(2).flatten().field(2).to_numpy(zero_copy_only=False), bool)
+            done = 0
+            for i, low, high in repeats.each_row(batch, 2):
+                data = np.frombuffer(batch.column(1)[i].as_py() or b"", np.uint8)
+                at, run = repeats.exploded(low, high)
+                w1, w2 = Content(BYTE_CODES[data]).of(at, at + width)
+                for part in range(0, len(at), 1 << 16):
+                    some = slice(part, part + (1 << 16))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(signed(w1[some])),
+                            pa.array(signed(w2[some])),
+                            batch.column(0).take(pa.array(np.full(len(at[some]), i))),
+                            pa.array(at[some].astype(np.int32)),
+                            pa.array(alone[done : done + len(low)][run[some]]),
+                        ],
+                        ["w1", "w2", "row", "at", "alone"],
+                    )
+                done += len(low)
 
-    compared = compared.select("row", "low", "high", "stretch", "alone")
+    asked_again = named.join(again, "row").select("row", "_text", "parts")
     single = repeats.equal_windows(
-        compared.mapInArrow(windows, "w1 long, w2 long, row long, at int, alone boolean")
+        asked_again.mapInArrow(windows, "w1 long, w2 long, row long, at int, alone boolean")
     )
     cuts = materialised(repeats.collected(whole.union(single)))
     source = docs.select(
