@@ -191,6 +191,15 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(41)} | {90: 90, 91: 90}
 
 
+def test_components_of_long_chains_with_any_ids(spark):
+    rng = random.Random(21)
+    chains = [list(range(1000, -1, -1)), rng.sample(range(2000, 3001), 1001)]
+    chains.append([5000 + (i // 2 if i % 2 else 900 - i // 2) for i in range(1001)])
+    links = spark.createDataFrame([p for c in chains for p in itertools.pairwise(c)], "a long, b long")
+    got = {r.id: r.component for r in components.components(links).collect()}
+    assert got == {i: min(c) for c in chains for i in c}
+
+
 def test_contaminated_matches_brute_force(spark, docs, awkward):
     rng = random.Random(9)
     items = [(i, " ".join(f"b{rng.randrange(300)}" for _ in range(n))) for i, n in enumerate((3, 6, 12, 30, 31))]
