@@ -265,6 +265,37 @@ def test_packing_is_a_round_trip(docs, awkward):
         assert [a for a, _ in parts] == [0, *ends[:-1]] and ends[-1] <= 256
 
 
+@pytest.mark.parametrize("between", ["  ", "\n", " \n", "\n\n", " "])
+def test_packing_cuts_at_sentences_whatever_white_space_follows(docs, between):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer = Tokenizer.from_file(path)
+    rng = random.Random(22)
+    words = "the of and water house small green river (stone) walked".split()
+    rows = []
+    for i in range(40):
+        text = ""
+        while len(tokenizer.encode(text).ids) < 1100:
+            text += " ".join(rng.choice(words) for _ in range(rng.randint(8, 15))) + rng.choice([".", "?", '."']) + between
+        rows.append((i, text))
+    pieces = packing.pack(docs(rows).coalesce(1), path).collect()
+    total = sum(p.length for p in pieces)
+    assert total == sum(len(tokenizer.encode(t).ids) + 1 for _, t in rows)
+    filled = collections.Counter()
+    for p in pieces:
+        filled[p.sequence_id] += p.length
+    # windows of a power of two are not padded; the last one may be short
+    padding = sum(2048 - n for w, n in filled.items() if w < max(filled) and n not in (256, 512, 1024))
+    assert padding < 0.03 * total
+    texts = dict(rows)
+    for p in pieces:
+        if p.start and p.length > 1:
+            before = tokenizer.decode(tokenizer.encode(texts[p.doc_id]).ids[: p.start])
+            assert re.search(r'[.?]"?$', before), before[-20:]
+
+
 def test_license_scan(docs, awkward):
     rows = list(awkward) + [
         (20, "Under THE mit License; under the MIT\nlicense"),

@@ -15,6 +15,7 @@ scans, holding about ``BLOCK`` tokens: nothing is shuffled, and a lost task is p
 from __future__ import annotations
 
 import os
+import re
 from collections import deque
 from collections.abc import Iterator
 from itertools import repeat
@@ -32,7 +33,15 @@ SENTENCE_PENALTY = 16
 INSIDE_PENALTY = 64
 WINDOW_COST = 8
 CLOSERS = "\"')]}»”"
-SENTENCE_ENDS = (".", "!", "?")
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
+def one_of(characters: str) -> bytes:
+    return b"(?:" + b"|".join(re.escape(c.encode()) for c in characters) + b")"
+
+
+#: A sentence ends after a full stop and closers that any white space or the text's end follows.
+SENTENCE_END = re.compile(rb"[.!?]" + one_of(CLOSERS) + rb"*(?=" + one_of(SPACES) + rb")")
 
 
 class Encoder:
@@ -41,6 +50,7 @@ class Encoder:
     Byte-level pre-tokens never cross from a non-space character over one space to a non-space
     character, so such words are encoded once, many in a row, and remembered; a token that begins
     with the space begins a word. A text with any other run of white space is encoded whole.
+    Sentence ends are found in the bytes of all texts alike and placed by the bytes each token stands for.
     """
 
     def __init__(self, path: str):
@@ -53,13 +63,14 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for token, i in vocabulary.items() if token[0] == space]] = True
+        self.bytes = np.zeros(len(self.opens), np.int64)  # a character of a byte-level token is a byte
+        self.bytes[list(vocabulary.values())] = [len(token) for token in vocabulary]
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.flat = np.zeros(0, np.uint32)
         self.place = np.zeros(1, np.int64)
-        self.closing = np.zeros(0, bool)
 
     def add(self, words: list[str]) -> None:
         """Learn words; those that are empty or have white space at an end are marked odd."""
@@ -74,8 +85,6 @@ class Encoder:
         self.known.update(zip(clean, range(at, at + len(clean)), strict=True))
         self.place = np.concatenate([self.place[:-1], self.place[-1] + starts, [self.place[-1] + len(flat)]])
         self.flat = np.concatenate([self.flat, flat])
-        ends = np.fromiter((w.rstrip(CLOSERS)[-1:] in SENTENCE_ENDS for w in clean), bool, len(clean))
-        self.closing = np.concatenate([self.closing, ends])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids in order, each text's number of ids, and the positions where a sentence ends."""
@@ -101,10 +110,8 @@ class Encoder:
         whole = [e.ids for e in self.tokenizer.encode_batch_fast(first, add_special_tokens=False)]
         every = np.maximum(every, 0)
         size = np.diff(self.place)[every] if len(self.flat) else np.zeros(len(every), np.int64)
-        closing = self.closing[every] if len(self.closing) else np.zeros(len(every), bool)
         for i in odd:
             size[at[i] : at[i + 1]] = 0
-            closing[at[i] : at[i + 1]] = False
         size[at[:-1]] = 0
         if len(self.flat):
             gaps = np.repeat(self.place[every] - (np.cumsum(size) - size), size)
@@ -117,7 +124,20 @@ class Encoder:
         size[at[:-1]] = own
         ends = np.cumsum(size)
         totals = np.diff(np.concatenate([[0], ends])[at])
-        return ids, totals, ends[closing & (size > 0)]
+        return ids, totals, self.sentences(texts, ids)
+
+    def sentences(self, texts: list[str], ids: np.ndarray) -> np.ndarray:
+        """How many of all ids lie before each sentence end of the texts."""
+        raw = [t.encode() for t in texts]
+        length = np.fromiter(map(len, raw), np.int64, len(raw))
+        found = [m.end() for m in SENTENCE_END.finditer(b"\n".join([*raw, b""]))]
+        places = np.array(found, np.int64)
+        begin = np.cumsum(length + 1) - (length + 1)
+        places -= np.searchsorted(begin, places, "left") - 1  # without the line feeds between texts
+        stop = np.cumsum(self.bytes[ids])
+        if length.sum() != (stop[-1] if len(stop) else 0):
+            raise ValueError("the tokens do not stand for the bytes of the texts")
+        return np.unique(np.searchsorted(stop - self.bytes[ids], places, "left"))
 
 
 _encoders: dict[str, Encoder] = {}
