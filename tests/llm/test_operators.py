@@ -325,6 +325,25 @@ def test_license_scan(docs, awkward):
     assert got[24].labels == "gpl-3" and got[24].base_labels == ""
 
 
+def test_license_scan_finds_wrapped_notices(docs):
+    rng = random.Random(23)
+    rows, want = [], {}
+    for i, (template, label) in enumerate(licenses.TEMPLATES.items()):
+        parts = template.split()
+        for j, width in enumerate((1, 2, 3, len(parts) // 2 + 1)):
+            lines = [" ".join(parts[k : k + width]) for k in range(0, len(parts), width)]
+            noise = [" ".join(f"n{rng.randrange(99)}" for _ in range(9)) for _ in range(2)]
+            rows.append((10 * i + j, f"{noise[0]}\n" + "\n  ".join(lines) + f"\n{noise[1]}"))
+            want[10 * i + j] = label
+    rows.append((500, "the terms of the GNU General Public\nLicense, version 3"))
+    want[500] = "gpl-3"
+    rows.append((501, "gnu " + "n " * 20 + "\ngeneral public " + "n " * 20 + "\nlicense version 3"))
+    want[501] = ""
+    got = {r.doc_id: r for r in licenses.scan(docs(rows)).collect()}
+    assert all(label in got[i].labels.split(",") for i, label in want.items())
+    assert all(got[i].score == 1.0 for i in want if i < 501) and got[501].score == 0
+
+
 def test_classifier_tells_held_out_junk(spark, docs, awkward):
     rng = random.Random(12)
     rows, labels = [], []

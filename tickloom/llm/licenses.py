@@ -1,12 +1,13 @@
 """License scan: which text blocks contain enough of a license template, by an exact set join.
 
-A block is a line. Template tokens are ordered by how many words of the whole corpus they make up,
+A block is a line, or a window of words that runs over line ends, long enough for the template and the
+foreign words its threshold allows (a notice is often wrapped). Template tokens are ordered by how many words of the whole corpus they make up,
 rarest first. A block that holds a share ``threshold`` of a template's n tokens misses at most
 n - ceil(threshold * n) of them, so it holds one of the first n - ceil(threshold * n) + 1 (prefix
 filter), has at least ceil(threshold * n) distinct tokens (length filter), and from the position of
 the first token it holds, enough must remain (positional filter). Blocks without a prefix token are
 dropped while the text is scanned; the others are joined to the templates by prefix token and
-verified on whole sets. Only DataFrame functions are used, and text is never shuffled.
+verified on whole sets; windows are taken at every step around a prefix token. Only DataFrame functions are used, and text is never shuffled.
 """
 
 from __future__ import annotations
@@ -84,11 +85,11 @@ def scan(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per document: phrase places, and labels of all templates some line contains.
+    """One row per document: phrase places, and labels of all templates some block contains.
 
     Returns ``id_col``, ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``,
     ``labels``, ``score`` (1 with a phrase, else the best template share that meets the threshold,
-    else 0) and ``matches`` (array of label, block number, share). Null text counts as empty. Null
+    else 0) and ``matches`` (array of label, line number, share; the number is null for a window of words). Null text counts as empty. Null
     and repeated ids are kept, a row each. Extra columns are ignored; an empty table gives no rows.
     """
     phrases = PHRASES if phrases is None else phrases
@@ -103,7 +104,8 @@ def scan(
         need = math.ceil(threshold * len(ordered) - 1e-9)
         for place, token in enumerate(ordered[: len(ordered) - need + 1]):
             prefixes.add(token)
-            prefix_rows.append((token, templates[template], place, ordered, need))
+            length = math.ceil(len(template.split()) / threshold - 1e-9)
+            prefix_rows.append((token, templates[template], place, ordered, need, length))
     text = F.coalesce(F.col(text_col), F.lit(""))
     pieces = F.split(text, RAW_SEPARATORS + "+")
     count = F.size(pieces)
@@ -125,6 +127,9 @@ def scan(
             F.when(text.rlike(rare), lines)
             .otherwise(F.array().cast("array<struct<block:int,line:string>>"))
             .alias("lines"),
+            F.when(text.rlike(rare) & text.contains("\n"), words_of(lowered(text)))
+            .otherwise(F.array().cast("array<string>"))
+            .alias("wrapped"),
         )
     )
 
@@ -141,8 +146,9 @@ def scan(
             F.lit(place).alias("place"),
             F.array(*map(F.lit, template)).alias("template"),
             F.lit(need).alias("need"),
+            F.lit(length).alias("length"),
         )
-        for token, label, place, template, need in prefix_rows
+        for token, label, place, template, need, length in prefix_rows
     ]
     prefix = spark.range(1).select(F.inline(F.array(*rows)))
     blocks = scanned.select("_row", F.explode("lines").alias("b")).select(
@@ -153,8 +159,34 @@ def scan(
         (F.size("tokens") >= F.col("need")) & (F.size("template") - F.col("place") >= F.col("need"))
     )
     share = F.size(F.array_intersect("tokens", "template")) / F.size("template")
+    # only the words about a prefix token leave the scan: no row carries a whole text
+    length, reach = F.col("length"), max(row[-1] for row in prefix_rows) if prefix_rows else 1
+    spots = F.filter(
+        F.transform("wrapped", lambda w, i: F.struct(i.alias("at"), w.alias("token"))),
+        lambda s: s["token"].isin(sorted(prefixes)),
+    )
+    around = (
+        scanned.where(F.size("wrapped") > 0)
+        .select("_row", "wrapped", F.explode(spots).alias("s"))
+        .select(
+            "_row", "s.token", F.least(F.col("s.at"), F.lit(reach - 1)).alias("at"),
+            F.slice("wrapped", F.greatest(F.col("s.at") - reach + 2, F.lit(1)), 2 * reach - 1).alias("near"),
+        )
+        .join(F.broadcast(prefix), "token")  # a few rows a template
+        .where(F.size("template") - F.col("place") >= F.col("need"))
+        .withColumn("near", F.slice("near", F.greatest(F.col("at") - length + 2, F.lit(1)), 2 * length - 1))
+    )
+    windows = F.transform(
+        F.sequence(F.lit(1), length),
+        lambda k: F.size(F.array_intersect(F.slice("near", k, length), "template")) / F.size("template"),
+    )
+    over = around.select(
+        "_row", F.lit(None).cast("int").alias("block"), "label", "need",
+        F.array_max(windows).alias("share"), F.size("template").alias("size"),
+    )
     matches = (
         fitting.select("_row", "block", "label", "need", share.alias("share"), F.size("template").alias("size"))
+        .unionByName(over)
         .where(F.round(F.col("share") * F.col("size")) >= F.col("need"))
         .groupBy("_row", "block", "label")
         .agg(F.max("share").alias("share"))
@@ -184,7 +216,7 @@ def scan(
 
 
 def oracle(phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The same in DuckDB, without filters: every line against every template."""
+    """The same in DuckDB, without filters: every line against every template (windows over line ends are not in it)."""
     def array(items) -> str:
         return "[" + ", ".join(f"'{x}'" for x in items) + "]"
 
