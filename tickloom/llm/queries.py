@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import (
     classify,
+    collocation_sql,
+    collocations,
     contamination,
     contextlm,
     licenses,
     metricjoin,
     minhash,
     packing,
+    prefixtrie,
     recompress,
     rollup,
     suffixes,
@@ -198,3 +201,18 @@ n AS (SELECT r, v.version, sum(len(list_filter(regexp_split_to_array(line, v.s),
   FROM k, v GROUP BY r, v.version)
 SELECT source, lang, version, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens
 FROM d JOIN n ON d.r = n.r GROUP BY source, lang, version"""
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest phrases of two and three words of each language."""
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_collocations"] = collocation_sql.ORACLE
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all rebuilt conversations."""
+    return prefixtrie.prefix_trie(read(spark, sf_dir, "conversations"))
