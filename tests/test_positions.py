@@ -224,3 +224,13 @@ def test_neighbourhoods_never_pair_everything(spark):
     df = spark.createDataFrame([(f"{i},{j}", i, j) for i in range(6) for j in range(6)], "key string, x int, y int")
     near = stats.neighbourhoods(df, "key", ["x", "y"]).groupBy("key").count().toPandas()["count"]
     assert near.min() == 4 and near.max() == 9
+
+
+def test_pair_windows_without_a_trip_leave_no_rows(spark):
+    """Text columns of windows without rows keep their type."""
+    from tickloom.plans import catalog
+    from tickloom.plans.registry import QUERIES, runner
+
+    catalog.load()
+    for name in ("r8_band_trades", "r9_daily_pair_result"):
+        assert runner(QUERIES[name])(spark, "/root/testdata/sf0.001").count() >= 0

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 
-from conftest import SF
 from tickloom.operators import chunks
 from tickloom.plans import catalog
 from tickloom.plans.check import compare, connect
 from tickloom.plans.registry import QUERIES, full_sql, runner
 
 catalog.load()
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SAMPLE = (
     "f9_ofi_20_norm f21_depth_set j1_asof_tolerance j3_forward_bucket g2_filled_grid g13_book_from_deltas "
     "t2_rolling_trade_stats t7_turn_counts l11_walked_taker_label x1_thinned_trades x16_print_fills "

@@ -14,6 +14,7 @@ from tickloom.functions.book import FEATURES, build_features
 from tickloom.functions.panel import normalised
 from tickloom.operators.asof import asof_join
 from tickloom.operators.chunks import BOOK, Layout, chunk_map, last_known, running
+from tickloom.operators import quantiles
 from tickloom.operators.quantiles import quantile_by
 
 TINY = replace(BOOK, bucket_s=7_200.0, chunk_rows=17)
@@ -134,13 +135,14 @@ def test_prints_on_a_tie_come_before_rows(spark):
     assert asof_join(left, right, ["v"], forward=True, strict=True).first()["v"] == 4.0
 
 
-@pytest.mark.parametrize("accuracy", [10, 5_000])
-def test_exact_quantiles(spark, accuracy):
+@pytest.mark.parametrize("n_slices", [3, 4096])
+def test_exact_quantiles(spark, monkeypatch, n_slices):
+    monkeypatch.setattr(quantiles, "SLICES", n_slices)
     rng = np.random.default_rng(11)
     values = np.round(rng.normal(size=5_000), 2)
     df = spark.createDataFrame(pd.DataFrame({"k": rng.choice(["a", "b"], 5_000, p=[0.9, 0.1]), "v": values}))
     for q in (0.0, 0.1, 0.5, 0.99, 1.0):
-        got = {r["k"]: r["x"] for r in quantile_by(df, ["k"], "v", q, "x", accuracy).collect()}
+        got = {r["k"]: r["x"] for r in quantile_by(df, ["k"], "v", q, "x").collect()}
         want = df.toPandas().groupby("k")["v"].quantile(q)
         assert got == pytest.approx(want.to_dict(), abs=1e-12)
 
