@@ -18,6 +18,7 @@ from tickloom.llm import (
     metricjoin,
     minhash,
     packing,
+    personal,
     prefixtrie,
     recompress,
     rollup,
@@ -216,3 +217,10 @@ ORACLES["op11_collocations"] = collocation_sql.ORACLE
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the prefix trie of all rebuilt conversations."""
     return prefixtrie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: fixed formats, and what boosted trees add."""
+    found = personal.personal_data(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", *personal.digests(found))
