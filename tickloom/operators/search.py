@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import corr
 from tickloom.functions.costs import TakerCosts
 from tickloom.operators.trades import ExitRules, score, thin
+from tickloom.session import materialised
 
 
 def feature_scores(rows: DataFrame, features: Sequence[str], target: str) -> DataFrame:
@@ -117,10 +120,98 @@ def halving(scores: DataFrame, candidate: str, period: str, value: str, keep: fl
     return out
 
 
-def retrain_search(predictions: DataFrame, schedules: DataFrame) -> DataFrame:
-    """Mean result per schedule from predictions made under each of its windows."""
-    return (
-        predictions.join(F.broadcast(schedules), "schedule")  # a short list of schedules
-        .groupBy("schedule")
-        .agg(F.count(F.lit(1)).alias("rows"), F.avg("net_bp").alias("net_bp"))
+#: (days trained on, days served) of each schedule.
+SCHEDULES = ((3, 1), (7, 1), (14, 1), (21, 1), (7, 3), (14, 3), (14, 7), (21, 7))
+
+
+def refit_windows(
+    rows: DataFrame,
+    day: str,
+    features: Sequence[str],
+    target: str,
+    cost: str,
+    edge: float,
+    schedules: Sequence[tuple[int, int]] = SCHEDULES,
+) -> DataFrame:
+    """A least-squares fit per schedule and window, and its result on the days that the window serves.
+
+    A day is one line of sums and products of the features and the target; the lines of a window's
+    training days add up to its normal equations, so rows are read once to fit all windows of
+    all schedules and once to serve. A position is taken where the predicted ``target`` is beyond
+    ``edge`` on either side and earns the target in that direction less ``cost``. A window whose equations
+    cannot be solved has null coefficients and no rows. Rows with a missing value count nowhere. Columns:
+    train_days, apply_days, window, train_rows, coefficients (intercept first), rows, trades, net_sum.
+    """
+    used = rows.select(day, cost, target, *features).na.drop()
+    terms = [F.lit(1.0), *(F.col(f).cast("double") for f in features), F.col(target).cast("double")]
+    pairs = [(i, j) for i in range(len(terms)) for j in range(i, len(terms))]
+    lines = used.groupBy(day).agg(*[F.sum(terms[i] * terms[j]).alias(f"_m{i}_{j}") for i, j in pairs])
+    order = Window.partitionBy(F.lit(0))  # one row a calendar day
+    lines = materialised(
+        lines.select("*", (F.row_number().over(order.orderBy(day)) - 1).alias("_i"), F.count(F.lit(1)).over(order).alias("_n"))
+    )
+    plan = F.explode(F.array(*[F.struct(F.lit(a).alias("train_days"), F.lit(b).alias("apply_days")) for a, b in schedules]))
+    placed = lines.withColumn("_s", plan).select("*", "_s.*").drop("_s")
+    last = F.floor((F.col("_n") - F.col("train_days")) / F.col("apply_days")) - 1  # of whole windows
+    oldest = F.greatest(F.ceil((F.col("_i") - F.col("train_days") + 1) / F.col("apply_days")), F.lit(0))
+    newest = F.least(F.floor(F.col("_i") / F.col("apply_days")), last)
+    taught = placed.where(oldest <= newest).withColumn("window", F.explode(F.sequence(oldest, newest)))
+    sums = taught.groupBy("train_days", "apply_days", "window").agg(
+        *[F.sum(f"_m{i}_{j}").alias(f"_m{i}_{j}") for i, j in pairs]
+    )
+    width = len(terms)
+
+    def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            whole = np.zeros((len(batch), width, width))
+            for i, j in pairs:
+                whole[:, i, j] = whole[:, j, i] = batch[f"_m{i}_{j}"]
+            found = []
+            for gram in whole:
+                left, right = gram[:-1, :-1], gram[:-1, -1]
+                good = gram[0, 0] > width - 1 and np.linalg.matrix_rank(left) == width - 1
+                found.append(np.linalg.solve(left, right) if good else None)
+            out = batch[["train_days", "apply_days", "window"]].copy()
+            out["train_rows"], out["coefficients"] = whole[:, 0, 0].astype(int), found
+            yield out
+
+    fits = sums.mapInPandas(
+        solved, "train_days int, apply_days int, window long, train_rows long, coefficients array<double>"
+    )
+    fits = materialised(fits)
+    at = F.floor((F.col("_i") - F.col("train_days")) / F.col("apply_days"))
+    served = placed.where((F.col("_i") >= F.col("train_days")) & (at <= last)).select(
+        day, "train_days", "apply_days", at.alias("window")
+    )
+    served = served.join(fits.where("coefficients IS NOT NULL"), ["train_days", "apply_days", "window"])
+    predicted = F.element_at("coefficients", 1)
+    for k, f in enumerate(features):
+        predicted = predicted + F.element_at("coefficients", k + 2) * F.col(f)
+    side = F.when(predicted > edge, 1).when(predicted < -edge, -1).otherwise(0)
+    keys = ["train_days", "apply_days", "window"]
+    results = used.join(served, day).withColumn("_side", side).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count(F.when(F.col("_side") != 0, 1)).alias("trades"),
+        F.sum(F.when(F.col("_side") != 0, F.col("_side") * F.col(target) - F.col(cost))).alias("net_sum"),
+    )
+    return fits.join(results, keys, "left").select(
+        *keys, "train_rows", "coefficients", F.coalesce("rows", F.lit(0)).alias("rows"),
+        F.coalesce("trades", F.lit(0)).alias("trades"), "net_sum",
+    )
+
+
+def retrain_search(windows: DataFrame, minimum_windows: int = 3) -> DataFrame:
+    """Per schedule: its windows, those that could not be fitted, and the net result of a trade over all of
+    them; ``chosen`` marks the best of those with ``minimum_windows`` fitted windows and a trade."""
+    table = windows.groupBy("train_days", "apply_days").agg(
+        F.count(F.lit(1)).alias("refits"),
+        F.count(F.when(F.col("coefficients").isNull(), 1)).alias("skipped"),
+        F.sum("rows").alias("rows"),
+        F.sum("trades").alias("trades"),
+        (F.sum("net_sum") / F.sum("trades")).alias("net_per_trade_bp"),
+    )
+    able = (F.col("refits") - F.col("skipped") >= minimum_windows) & F.col("net_per_trade_bp").isNotNull()
+    order = Window.partitionBy(F.lit(0)).orderBy(  # one row a schedule
+        F.when(able, F.col("net_per_trade_bp")).desc_nulls_last(), "train_days", "apply_days"
     )
+    return table.withColumn("chosen", able & (F.row_number().over(order) == 1))

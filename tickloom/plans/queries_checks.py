@@ -21,6 +21,8 @@ from tickloom.plans.registry import query
 
 ROW = "PARTITION BY symbol ORDER BY us, seq"
 CUT = 1_705_276_800_000_000
+#: Predicted basis points from which the retrained model takes a position.
+EDGE = 1.0
 
 
 def days(fx: Fixtures) -> DataFrame:
@@ -165,27 +167,63 @@ def v7(fx: Fixtures) -> DataFrame:
     return search.exit_search(candidates(fx), policies, TakerCosts(), 50)
 
 
+REFITS = f"""
+    {JOINED}, u AS (SELECT CAST(make_timestamp(us) AS DATE) AS day, p_buy AS x, forward_bp AS y,
+      spread_bp + 11 AS cost FROM z WHERE p_buy IS NOT NULL AND forward_bp IS NOT NULL AND spread_bp IS NOT NULL),
+    c AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT day FROM u)),
+    sw AS (SELECT a AS train_days, b AS apply_days, w, i0.n FROM (VALUES (3, 1), (7, 1), (14, 1), (21, 1), (7, 3),
+      (14, 3), (14, 7), (21, 7)) t(a, b), (SELECT max(n) AS n FROM c) i0,
+      (SELECT unnest(range(0, 400)) AS w) WHERE (w + 1) * b + a <= i0.n),
+    ft AS (SELECT train_days, apply_days, w, count(*) AS train_rows, regr_slope(y, x) AS slope,
+      regr_intercept(y, x) AS base FROM sw JOIN c ON c.i >= w * apply_days AND c.i < w * apply_days + train_days
+      JOIN u ON u.day = c.day GROUP BY ALL),
+    sv AS (SELECT ft.*, u.y, u.cost, CASE WHEN base + slope * x > {EDGE} THEN 1
+      WHEN base + slope * x < -{EDGE} THEN -1 ELSE 0 END AS s FROM ft
+      JOIN c ON c.i >= w * apply_days + train_days AND c.i < (w + 1) * apply_days + train_days JOIN u ON u.day = c.day
+      WHERE slope IS NOT NULL),
+    rw AS (SELECT train_days, apply_days, w, count(*) AS rows, count(*) FILTER (s <> 0) AS trades,
+      sum(CASE WHEN s <> 0 THEN s * y - cost END) AS net_sum FROM sv GROUP BY ALL),
+    wd AS (SELECT ft.train_days, ft.apply_days, ft.w AS "window", train_rows, base, slope,
+      coalesce(rows, 0) AS rows, coalesce(trades, 0) AS trades, net_sum
+      FROM ft LEFT JOIN rw USING (train_days, apply_days, w))"""
+
+
+def refits(fx: Fixtures) -> DataFrame:
+    from tickloom.plans.queries_decide import joined
+
+    rows = joined(fx).select(
+        day_of("us").alias("day"), "p_buy", "forward_bp", (F.col("spread_bp") + 11).alias("cost")
+    )
+    return search.refit_windows(rows, "day", ["p_buy"], "forward_bp", "cost", EDGE)
+
+
+@query(
+    "v8_refit_windows",
+    f"WITH {REFITS} SELECT * FROM wd",
+    d="base slope net_sum",
+    i="train_days apply_days window train_rows rows trades",
+    digits=4,
+)
+def v8w(fx: Fixtures) -> DataFrame:
+    at = lambda k: F.element_at("coefficients", k)
+    return refits(fx).select("*", at(1).alias("base"), at(2).alias("slope")).drop("coefficients")
+
+
 @query(
     "v8_retrain_search",
     f"""
-    WITH {JOINED}, q AS (SELECT date_diff('day', DATE '2024-01-01', CAST(make_timestamp(us) AS DATE))
-      AS d, side * forward_bp - spread_bp - 11 AS net FROM z WHERE side <> 0 AND forward_bp IS NOT NULL)
-    SELECT e AS schedule, count(*) AS rows, avg(net) AS net_bp FROM q, (VALUES (2), (5)) t(e) WHERE
-      d >= 10 AND d % e < 1 GROUP BY 1""",
-    d="net_bp",
-    i="schedule",
+    WITH {REFITS}, s AS (SELECT train_days, apply_days, count(*) AS refits, count(*) FILTER (slope IS NULL) AS skipped,
+      sum(rows) AS rows, sum(trades) AS trades, sum(net_sum) / nullif(sum(trades), 0) AS net_per_trade_bp
+      FROM wd GROUP BY ALL),
+    a AS (SELECT *, refits - skipped >= 3 AND net_per_trade_bp IS NOT NULL AS able FROM s)
+    SELECT * EXCLUDE (able), able AND row_number() OVER (ORDER BY CASE WHEN able THEN net_per_trade_bp END DESC
+      NULLS LAST, train_days, apply_days) = 1 AS chosen FROM a""",
+    d="net_per_trade_bp",
+    i="train_days apply_days refits skipped rows trades",
+    digits=4,
 )
 def v8(fx: Fixtures) -> DataFrame:
-    from tickloom.plans.queries_decide import joined
-
-    day = F.datediff(day_of("us"), F.lit("2024-01-01").cast("date"))
-    rows = joined(fx).filter("side != 0 AND forward_bp IS NOT NULL").select(
-        day.alias("d"), (F.col("side") * F.col("forward_bp") - F.col("spread_bp") - 11).alias("net_bp")
-    )
-    # A schedule's fresh days: those on which it refits.
-    spread = rows.withColumn("schedule", F.explode(F.array(F.lit(2), F.lit(5))))
-    fresh = spread.filter((F.col("d") >= 10) & (F.col("d") % F.col("schedule") < 1))
-    return search.retrain_search(fresh, spread.select("schedule").distinct())
+    return search.retrain_search(refits(fx))
 
 
 @query("v9_successive_halving", None)
