@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -224,7 +226,10 @@ def block_of(position: Column, days: Column, blocks: int) -> Column:
 def pbo_splits(cells: DataFrame, key: str, day: str, value: str, blocks: int = 10) -> DataFrame:
     """Per split: the in-sample best trial and the logit of its out-of-sample rank.
 
-    Sums per (trial, block) come first, so a split touches blocks, not days.
+    A trial is one row of block sums, and a batch of trials times the 0/1 matrix of all splits gives their
+    means inside and outside at once: no row is repeated per split. A first pass keeps the best trial of
+    each batch and split, a second counts the trials below the chosen one and equal to it; both leave one
+    row a batch and split, so what is collected is one line a split.
     """
     days = cells.select(day).distinct()
     order = Window.partitionBy(F.lit(0)).orderBy(day)  # one row per calendar day
@@ -233,37 +238,49 @@ def pbo_splits(cells: DataFrame, key: str, day: str, value: str, blocks: int = 1
     dated = placed.join(F.broadcast(total)).select(  # one row
         day, block_of(F.col("_i"), F.col("_n"), blocks).alias("_block")
     )
-    sizes = dated.groupBy("_block").agg(F.count(F.lit(1)).alias("_size"))
-    sums = cells.join(dated, day).groupBy(key, "_block").agg(F.sum(value).alias("_sum"))
-    masks = F.array(*[F.lit(m) for m in split_masks(blocks)])
-    inside = F.expr("substring(mask, _block + 1, 1)") == "1"
-    lengths = sizes.select("_block", "_size", F.explode(masks).alias("mask")).groupBy("mask").agg(
-        F.sum(F.when(inside, F.col("_size"))).alias("_in"),
-        F.sum(F.when(~inside, F.col("_size"))).alias("_out"),
-    )
-    means = (
-        sums.select(key, "_block", "_sum", F.explode(masks).alias("mask"))
-        .groupBy("mask", key)
-        .agg(
-            F.coalesce(F.sum(F.when(inside, F.col("_sum"))), F.lit(0.0)).alias("_a"),
-            F.coalesce(F.sum(F.when(~inside, F.col("_sum"))), F.lit(0.0)).alias("_b"),
-        )
-        .join(lengths, "mask")
+    dated = materialised(dated)
+    length = {r["_block"]: r["n"] for r in dated.groupBy("_block").agg(F.count(F.lit(1)).alias("n")).collect()}
+    names = [f"_v{b}" for b in range(blocks)]
+    vectors = cells.join(dated, day).groupBy(key).agg(
+        *[F.coalesce(F.sum(F.when(F.col("_block") == b, F.col(value))), F.lit(0.0)).alias(names[b]) for b in range(blocks)]
+    )
+    vectors = materialised(vectors)
+    masks = split_masks(blocks)
+    inside = np.array([[c == "1" for c in m] for m in masks], dtype=float)
+    size = np.array([float(length.get(b, 0)) for b in range(blocks)])
+
+    def means(batch: pd.DataFrame, chosen: np.ndarray) -> np.ndarray:
         # Sums that differ only by the order they were added in are ties.
-        .select(
-            "mask",
-            key,
-            F.round(F.col("_a") / F.col("_in"), 9).alias("a"),
-            F.round(F.col("_b") / F.col("_out"), 9).alias("b"),
-        )
-    )
-    by = Window.partitionBy("mask")
-    best = F.row_number().over(by.orderBy(F.desc("a"), key))
-    n = F.count(F.lit(1)).over(by)
-    w = average_rank("b", ["mask"]) / (n + 1.0)
-    ranked = means.select("mask", key, best.alias("_best"), w.alias("w")).filter("_best = 1")
-    logit = F.log(F.col("w") / (F.lit(1.0) - F.col("w")))
-    return ranked.select("mask", F.col(key).alias("chosen"), logit.alias("logit"))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.round(batch[names].to_numpy() @ chosen.T / (chosen @ size), 9)
+
+    def leaders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch.sort_values(key)
+            a = means(batch, inside)
+            at = a.argmax(axis=0)
+            b = means(batch, 1 - inside)[at, np.arange(len(masks))]
+            yield pd.DataFrame(
+                {"mask": masks, "_a": -a.max(axis=0), key: batch[key].to_numpy()[at], "_b": b}
+            )
+
+    kind = cells.schema[key].dataType.simpleString()
+    found = vectors.mapInPandas(leaders, f"mask string, _a double, `{key}` {kind}, _b double")
+    best = found.groupBy("mask").agg(F.min(F.struct("_a", key, "_b")).alias("_best"))
+    best = materialised(best.select("mask", F.col(f"_best.{key}").alias("chosen"), F.col("_best._b").alias("_b")))
+    level = {r["mask"]: r["_b"] for r in best.select("mask", "_b").collect()}  # one row a split
+    bar = np.array([level.get(m, np.nan) for m in masks])
+
+    def ranks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            b = means(batch, 1 - inside)
+            below, equal = (b < bar).sum(axis=0), (b == bar).sum(axis=0)
+            yield pd.DataFrame({"mask": masks, "_below": below, "_equal": equal, "_n": len(batch)})
+
+    counts = vectors.mapInPandas(ranks, "mask string, _below long, _equal long, _n long")
+    counts = counts.groupBy("mask").agg(*[F.sum(c).alias(c) for c in ("_below", "_equal", "_n")])
+    w = (F.col("_below") + (F.col("_equal") + 1) / 2.0) / (F.col("_n") + 1.0)
+    return best.join(counts, "mask").select("mask", "chosen", F.log(w / (F.lit(1.0) - w)).alias("logit"))
 
 
 def pbo(splits: DataFrame) -> DataFrame:

@@ -154,7 +154,8 @@ def e6b(fx: Fixtures) -> DataFrame:
     )
 
 
-MASKS = ", ".join(f"('{m}')" for m in stats.split_masks(6))
+BLOCKS = 10
+MASKS = ", ".join(f"('{m}')" for m in stats.split_masks(BLOCKS))
 
 
 @query(
@@ -162,8 +163,8 @@ MASKS = ", ".join(f"('{m}')" for m in stats.split_masks(6))
     f"""
     WITH d AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS n FROM
       (SELECT DISTINCT day FROM fx_cells)),
-    b AS (SELECT day, CASE WHEN i < (n % 6) * (n // 6 + 1) THEN i // (n // 6 + 1) ELSE n % 6 +
-      (i - (n % 6) * (n // 6 + 1)) // (n // 6) END AS bk FROM d),
+    b AS (SELECT day, CASE WHEN i < (n % {BLOCKS}) * (n // {BLOCKS} + 1) THEN i // (n // {BLOCKS} + 1) ELSE n % {BLOCKS} +
+      (i - (n % {BLOCKS}) * (n // {BLOCKS} + 1)) // (n // {BLOCKS}) END AS bk FROM d),
     s AS (SELECT key, bk, sum(net_bp) AS v FROM fx_cells JOIN b USING (day) GROUP BY 1, 2),
     z AS (SELECT bk, count(*) AS n FROM b GROUP BY 1),
     ln_ AS (SELECT m, sum(CASE WHEN substr(m, CAST(bk AS INT) + 1, 1) = '1' THEN n END) AS a,
@@ -180,7 +181,7 @@ MASKS = ", ".join(f"('{m}')" for m in stats.split_masks(6))
     d="logit",
 )
 def e7(fx: Fixtures) -> DataFrame:
-    return stats.pbo_splits(fx.cells, "key", "day", "net_bp", 6)
+    return stats.pbo_splits(fx.cells, "key", "day", "net_bp", BLOCKS)
 
 
 @query(
