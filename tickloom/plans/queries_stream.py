@@ -14,7 +14,7 @@ from tickloom.plans.queries_checks import KILL
 from tickloom.plans.queries_sources import book_log, scratch, trade_log
 from tickloom.plans.registry import query
 from tickloom.sources import messages
-from tickloom.streaming import flows, stateful
+from tickloom.streaming import flows, stateful, timed
 
 ROW = "PARTITION BY symbol ORDER BY us, seq"
 LEVELS = [f"{s}_{k}_{i}" for i in range(2) for s in ("bid", "ask") for k in ("price", "size")]
@@ -181,6 +181,40 @@ def w7b(fx: Fixtures) -> DataFrame:
     return flows.drained(flows.sessions(flows.replay(fx.prints.select("symbol", "us")), "30 minutes"))
 
 
+EVENTS = """e AS (SELECT symbol, us, 1 AS kind, seq AS id, bid_price_0 AS value FROM fx_book UNION ALL
+      SELECT symbol, us, 0, trade_id, price FROM fx_prints)"""
+
+
+@query(
+    "w6_ordered_merge",
+    f"""
+    WITH {EVENTS} SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY us, kind, id) AS place FROM e
+    WHERE us < ((SELECT max(us) FROM e) // 1000 - 10000) * 1000""",
+    d="value",
+    i="kind",
+)
+def w6t(fx: Fixtures) -> DataFrame:
+    book = fx.book.select("symbol", "us", F.lit(1).alias("kind"), F.col("seq").alias("id"), F.col("bid_price_0").alias("value"))
+    prints = fx.prints.select("symbol", "us", F.lit(0).alias("kind"), F.col("trade_id").alias("id"), F.col("price").alias("value"))
+    return flows.drained(timed.merged(flows.replay(book.unionByName(prints))), typed=True)
+
+
+@query(
+    "w7_silent_feed",
+    """
+    WITH g AS (SELECT symbol, us AS from_us, lead(us) OVER (PARTITION BY symbol ORDER BY us) AS to_us FROM
+      fx_prints) SELECT symbol, from_us, to_us, (to_us - from_us) / 1e6 AS seconds FROM g
+    WHERE to_us IS NULL AND
+      from_us // 1000 + 60000 < (SELECT max(us) FROM fx_prints) // 1000 - 10000""",
+    d="seconds",
+)
+def w7t(fx: Fixtures) -> DataFrame:
+    """Each instrument's feed falls silent at its last print, unless the watermark has not come that far."""
+    found = flows.drained(timed.silent(flows.replay(fx.prints.select("symbol", "us")), 60), typed=True)
+    last = fx.prints.groupBy("symbol").agg(F.max("us").alias("from_us"))
+    return found.where("to_us IS NULL").join(last, ["symbol", "from_us"], "left_semi")
+
+
 @query(
     "w8_decisions_every_nth",
     f"""

@@ -30,9 +30,23 @@ def replay(df: DataFrame, parts: int = 3, stamp: str = "us", rows_a_file: int =
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over everything there is, into Parquet, and read what it wrote."""
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def drained(stream: DataFrame, mode: str = "append", typed: bool = False) -> DataFrame:
+    """Run a stream over everything there is, into Parquet, and read what it wrote.
+
+    ``typed`` runs it on the state store that typed state and timers need.
+    """
     spark = stream.sparkSession
+    if typed:
+        before = spark.conf.get(PROVIDER)
+        spark.conf.set(PROVIDER, ROCKS)
+        try:
+            return drained(stream, mode)
+        finally:
+            spark.conf.set(PROVIDER, before)
     path = f"{checkpoint_dir(spark)}/sink-{uuid.uuid4().hex}"
     run = (
         stream.writeStream.format("parquet")
