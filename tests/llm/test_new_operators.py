@@ -85,7 +85,7 @@ def test_loose_forms_are_added_where_the_trees_are_sure(spark, docs):
     """Numbers without a country code beside cue words are found; other numbers are left."""
     rows = [(i, f"please call +1 (555) {100 + i}-{4000 + i} soon or write to a{i}@mail.example.com today") for i in range(300)]
     rows += [(1000 + i, f"order number {7_000_000 + 37 * i} shipped, batch {i}") for i in range(300)]
-    rows += [(2000, "please call (555) 777-1234 soon"), (2001, "write to joe (at) mail.example.com today"), (2002, "order number 7654321 shipped")]
+    rows += [(2000, "please call (555) 777-1234 soon"), (2001, "write to b217 (at) mail.example.com today"), (2002, "order number 7654321 shipped")]
     found = {r["doc_id"]: [s["kind"] for s in r["found"] if not s["base"]] for r in personal.personal_data(docs(rows)).collect()}
     assert found[2000] == ["phone"] and found[2001] == ["email"] and found[2002] == []
 

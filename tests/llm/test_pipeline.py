@@ -136,3 +136,22 @@ def test_every_stage_matches_its_plain_version(spark, tmp_path):
     assert sorted(ends) == tokens and sum(p.length for p in pieces) == sum(tokens)
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert whole.count() >= len(want) and whole.agg({"length": "sum"}).first()[0] == sum(tokens)
+
+
+def test_stages_take_columns_of_their_own_names(spark):
+    """Extra columns named like the stages' inner ones come through every filtering stage unchanged."""
+    from tickloom.llm.stages import STAGES
+
+    extra = "_name string, kept string, n_removed string, _whole string, n_words string, carry string"
+    prose = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(4)]
+    docs = spark.createDataFrame(
+        [(i, t, "en", "s", len(t), *"abcdef") for i, t in enumerate(prose)],
+        f"doc_id long, text string, lang string, source string, n_chars long, {extra}",
+    )
+    for name, stage in STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns, name
+        for row in out.collect():
+            assert tuple(row)[5:] == tuple("abcdef")
+        if name == "substring_dedup":
+            assert {r["text"] for r in out.collect()} == set(prose)

@@ -21,8 +21,14 @@ TOKENIZER = "byte_bpe_50k.json"
 SUBSTRING_WORDS = 35
 WINDOW_TOKENS = 2048
 
-def name() -> Column:
-    return F.xxhash64("doc_id", "text").alias("_name")
+def fresh(docs: DataFrame, stem: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in docs.columns}
+    return next(n for n in (f"_{stem}{k}" for k in range(len(taken) + 1)) if n not in taken)
+
+
+def name(own: str) -> Column:
+    return F.xxhash64("doc_id", "text").alias(own)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,11 +37,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are scored like any other. Columns and rows are otherwise unchanged; an
     empty table stays empty; without labels of both classes nothing is rejected.
     """
-    named = docs.select("doc_id", "text", name())
+    own = fresh(docs, "name")
+    named = docs.select("doc_id", "text", name(own))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    taught = labels.join(named.select("doc_id", "_name"), "doc_id").select("_name", "quality")
-    kept = classify.classify(named, taught, id_col="_name").where("predicted = 1").select("_name").distinct()
-    return docs.select("*", name()).join(kept, "_name", "left_semi").select(*docs.columns)
+    taught = labels.join(named.select("doc_id", own), "doc_id").select(own, "quality")
+    kept = classify.classify(named, taught, id_col=own).where("predicted = 1").select(own).distinct()
+    return docs.select("*", name(own)).join(kept, own, "left_semi").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,25 +62,34 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A text that loses words is what is left, joined by single spaces; others are as they were.
     ``n_chars`` follows the text. Null texts stay null.
     """
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    cut = recompress.substring_dedup(docs, width=SUBSTRING_WORDS, carry=rest)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    out = cut.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    # The other columns travel as one, under a name of their own.
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole"))
+    cut = recompress.substring_dedup(whole, width=SUBSTRING_WORDS, carry=("_whole",))
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("_whole.text"))
+    length = F.length(text).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    made = {"text": text, "n_chars": length}
+    return cut.select(*[made.get(c, F.col(f"_whole.`{c}`")).alias(c) for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark of ``sf_dir``."""
+    """Documents without a passage of the benchmark of ``sf_dir``.
+
+    Null and empty texts hold no passage and stay, repeated rows stay or go together; other columns, whatever
+    their names, and an empty table are left as they are.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = contamination.contaminated(docs.select("text", name()), benchmark, id_col="_name")
-    leaks = found.select("_name").distinct()
-    return docs.select("*", name()).join(leaks, "_name", "left_anti").select(*docs.columns)
+    own = fresh(docs, "name")
+    found = contamination.contaminated(docs.select("text", name(own)), benchmark, id_col=own)
+    leaks = found.select(own).distinct()
+    return docs.select("*", name(own)).join(leaks, own, "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, with their token ids, in windows of 2048 tokens."""
+    """The pieces of all documents, with their token ids, in windows of 2048 tokens.
+
+    A null or empty text is one piece of one id; every repeated row is packed; other columns are not read;
+    an empty table has no piece.
+    """
     import public_tokenizers
 
     return packing.pack(docs, str(public_tokenizers.path(TOKENIZER)), width=WINDOW_TOKENS)
