@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 from collections.abc import Iterator, Sequence
@@ -361,16 +362,91 @@ def placebo_p(draws: DataFrame, truth: DataFrame, value: str, name: str) -> Data
     return out.select("draws", ((F.col("_e") + 1) / (F.col("draws") + 1)).alias("p"))
 
 
-def hash_sign(seed: int, *columns: str) -> Column:
-    """+1 or -1 from a seeded hash: the same on every attempt of a task."""
-    return F.when(F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(2)) == 0, 1).otherwise(-1)
+def hour_signs(seed: int, hour: object, draws: int) -> np.ndarray:
+    """The signs of one hour in every draw: bits of MD5, 128 draws a digest, so SQL can repeat them."""
+    text = "".join(hashlib.md5(f"{seed}:{hour}:{b}".encode()).hexdigest() for b in range(-(-draws // 128)))
+    digits = np.array([int(c, 16) for c in text], dtype=np.int64)
+    return 1.0 - 2.0 * ((digits[:, None] >> np.arange(4)) & 1).reshape(-1)[:draws]
 
 
-def sign_flips(hours: DataFrame, draws: int, key: str, day: str, value: str, seed: int = 7) -> DataFrame:
-    """Cell-day sums under random signs of whole hours, for every draw of a fixed number."""
-    spread = hours.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    flipped = F.col(value) * hash_sign(seed, "draw", "hour")
-    return spread.groupBy("draw", key, day).agg(F.sum(flipped).alias(value))
+def sign_nulls(
+    cells: DataFrame, key: str, stratum: str, hour: str, value: str, draws: int = 999, seed: int = 7
+) -> DataFrame:
+    """Every cell's mean against its own and its stratum's best under random signs of whole hours.
+
+    An hour has one sign in a draw for all cells, so cells stay dependent as they are. Rows are summed by
+    hour first; a cell's hours times the sign matrix are its means in all draws at once, and the best of a
+    stratum is an elementwise maximum, taken in each task and again over tasks: no row is repeated per
+    draw. Means within 1e-9 are equal. Columns: stratum, key, mean, p_cell, p_stratum (the share of draws,
+    the observation counted, whose own or best mean is at least the cell's).
+    """
+    hours = cells.groupBy(stratum, key, hour).agg(F.sum(value).alias("_sum"), F.count(F.lit(1)).alias("_rows"))
+    known: dict[object, np.ndarray] = {}
+
+    def signs(h: object) -> np.ndarray:
+        if h not in known:
+            known[h] = hour_signs(seed, h, draws)
+        return known[h]
+
+    def drawn(frame: pd.DataFrame) -> pd.DataFrame:
+        n = frame["_rows"].sum()
+        sums = frame["_sum"].to_numpy(float)
+        null = np.round(sums @ np.stack([signs(h) for h in frame[hour].tolist()]) / n, 9)
+        out = frame.iloc[:1][[stratum, key]].copy()
+        out["mean"], out["null"] = round(float(sums.sum() / n), 9), [null]
+        return out
+
+    kinds = {c: cells.schema[c].dataType.simpleString() for c in (stratum, key)}
+    schema = f"`{stratum}` {kinds[stratum]}, `{key}` {kinds[key]}, mean double, null array<double>"
+    found = materialised(hours.groupBy(stratum, key).applyInPandas(drawn, schema))
+
+    def best(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({stratum: frame[stratum].iloc[:1], "best": [np.stack(list(frame["best"])).max(axis=0)]})
+
+    def partly(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, part in batch.rename(columns={"null": "best"}).groupby(stratum):
+                yield best(part)
+
+    top = found.select(stratum, "null").mapInPandas(partly, f"`{stratum}` {kinds[stratum]}, best array<double>")
+    top = top.groupBy(stratum).applyInPandas(best, f"`{stratum}` {kinds[stratum]}, best array<double>")
+
+    def share(null: str) -> Column:
+        return (F.size(F.filter(null, lambda x: x >= F.col("mean"))) + 1) / F.lit(draws + 1.0)
+
+    return found.join(top, stratum).select(
+        stratum, key, "mean", share("null").alias("p_cell"), share("best").alias("p_stratum")
+    )
+
+
+def shift_nulls(
+    cells: DataFrame, key: str, day: str, weight: str, value: str, low: int = 7
+) -> DataFrame:
+    """Every cell's weighted mean against those of its weights moved round the circle of days.
+
+    Shift ``s`` puts a day's weight on the value of the day ``s`` places on; all shifts from ``low`` to the
+    number of days less ``low`` are one circular correlation, by Fourier transform. Days on which a cell has
+    no row weigh and pay nothing; rows of one day count as one. Columns: key, mean, shifts, p_value.
+    """
+    order = Window.partitionBy(F.lit(0)).orderBy(day)  # one row per calendar day
+    days = materialised(cells.select(day).distinct().withColumn("_i", F.row_number().over(order) - 1))
+    n = days.count()
+    daily = cells.groupBy(key, day).agg(F.sum(weight).alias("_w"), F.sum(value).alias("_v")).join(days, day)
+    shifts = np.arange(low, n - low + 1)
+
+    def turned(frame: pd.DataFrame) -> pd.DataFrame:
+        weights, values = np.zeros(n), np.zeros(n)
+        weights[frame["_i"]], values[frame["_i"]] = frame["_w"], frame["_v"]
+        total = weights.sum()
+        null = np.fft.irfft(np.conj(np.fft.rfft(weights)) * np.fft.rfft(values), n)[shifts] / total
+        mean = float(weights @ values / total)
+        above = int((np.round(null, 6) >= round(mean, 6)).sum())
+        return pd.DataFrame(
+            {key: frame[key].iloc[:1], "mean": mean, "shifts": len(shifts), "p_value": (above + 1) / (len(shifts) + 1)}
+        )
+
+    kind = cells.schema[key].dataType.simpleString()
+    return daily.groupBy(key).applyInPandas(turned, f"`{key}` {kind}, mean double, shifts long, p_value double")
 
 
 def rotated_pairs(rows: DataFrame, shifts: Sequence[int], key: Sequence[str], day: str) -> DataFrame:

@@ -484,14 +484,46 @@ def e22(fx: Fixtures) -> DataFrame:
     return stats.carry_forward(fx.cells, "key", months, 2, 20)
 
 
-@query("e23_sign_flip_null", None)
+@query(
+    "e23_sign_flip_null",
+    """
+    WITH h AS (SELECT a_flag, key, dayofmonth(day) AS hour, sum(g_bp) AS s, count(*) AS n FROM fx_cells GROUP BY ALL),
+    g AS (SELECT hour, d, 1 - 2 * ((CAST('0x' || substr(md5('7:' || hour || ':' || (d // 128)), CAST(d % 128 // 4 + 1 AS INT), 1)
+      AS INT) >> CAST(d % 4 AS INT)) & 1) AS sign FROM (SELECT DISTINCT hour FROM h), (SELECT unnest(range(0, 999)) AS d)),
+    o AS (SELECT a_flag, key, round(sum(s) / sum(n), 9) AS mean FROM h GROUP BY ALL),
+    z AS (SELECT a_flag, key, d, round(sum(s * sign) / sum(n), 9) AS v FROM h JOIN g USING (hour) GROUP BY ALL),
+    b AS (SELECT a_flag, d, max(v) AS v FROM z GROUP BY ALL),
+    c AS (SELECT o.a_flag, o.key, count(*) FILTER (v >= mean) AS c FROM o JOIN z USING (a_flag, key) GROUP BY ALL),
+    t AS (SELECT o.a_flag, o.key, count(*) FILTER (v >= mean) AS t FROM o JOIN b USING (a_flag) GROUP BY ALL)
+    SELECT a_flag, key, mean, (c + 1) / 1000.0 AS p_cell, (t + 1) / 1000.0 AS p_stratum
+    FROM o JOIN c USING (a_flag, key) JOIN t USING (a_flag, key)""",
+    d="mean p_cell p_stratum",
+)
 def e23(fx: Fixtures) -> DataFrame:
-    hours = fx.cells.select(
-        "key", "day", F.dayofmonth("day").alias("hour"), F.col("g_bp").alias("g_bp")
-    )
-    flipped = stats.sign_flips(hours, 20, "key", "day", "g_bp")
-    means = flipped.groupBy("draw", "key").agg(F.avg("g_bp").alias("mean_g"))
-    return means.groupBy("draw").agg(F.max("mean_g").alias("best_g"))
+    cells = fx.cells.withColumn("hour", F.dayofmonth("day"))
+    return stats.sign_nulls(cells, "key", "a_flag", "hour", "g_bp")
+
+
+@query(
+    "e23_shift_null",
+    """
+    WITH d AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS n FROM
+      (SELECT DISTINCT day FROM fx_cells)),
+    c AS (SELECT key, i, any_value(n) AS n, sum(trades) AS w, sum(g_bp) AS v FROM fx_cells JOIN d USING (day) GROUP BY ALL),
+    t AS (SELECT key, any_value(n) AS n, sum(w) AS total, sum(w * v) / sum(w) AS mean FROM c GROUP BY key),
+    s AS (SELECT a.key, (b.i - a.i + a.n) % a.n AS s, sum(a.w * b.v) AS x FROM c AS a JOIN c AS b ON a.key = b.key
+      GROUP BY ALL),
+    z AS (SELECT t.key, any_value(mean) AS mean, any_value(n) - 13 AS shifts,
+      count(*) FILTER (s BETWEEN 7 AND n - 7) AS seen,
+      count(*) FILTER (s BETWEEN 7 AND n - 7 AND round(x / total, 6) >= round(mean, 6)) AS above
+      FROM t JOIN s USING (key) GROUP BY t.key)
+    SELECT key, mean, shifts, (above + CASE WHEN round(mean, 6) <= 0 THEN shifts - seen ELSE 0 END + 1) / (shifts + 1)
+      AS p_value FROM z""",
+    d="mean p_value",
+    i="shifts",
+)
+def e23b(fx: Fixtures) -> DataFrame:
+    return stats.shift_nulls(fx.cells, "key", "day", "trades", "g_bp")
 
 
 @query(
