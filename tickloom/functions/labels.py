@@ -64,7 +64,9 @@ def class_balance(labels: DataFrame, label: str = "label") -> DataFrame:
 
 def threshold_for_share(moves: DataFrame, share: float, move: str = "forward_bp") -> DataFrame:
     """One row: the threshold that leaves ``share`` of the rows outside hold."""
-    return moves.agg(F.percentile(F.abs(move), F.lit(1.0 - share)).alias("threshold_bp"))
+    from tickloom.operators.quantiles import quantile_by
+
+    return quantile_by(moves, [], F.abs(move), 1.0 - share, "threshold_bp")
 
 
 def smoothed_move(

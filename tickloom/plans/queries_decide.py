@@ -68,6 +68,30 @@ def d2(fx: Fixtures) -> DataFrame:
     return decide.evaluate(rows, TakerCosts(), by=["symbol"])
 
 
+SEEN = "PARTITION BY symbol ORDER BY us, seq ROWS BETWEEN"
+
+
+@query(
+    "d8_strategy_inputs",
+    f"""
+    WITH r AS (SELECT symbol, us, seq, abs(p_buy - 0.5) / 100 AS rv, mid, CASE WHEN seq % 7 <> 0 THEN spread_bp * mid / 1e4
+      END AS spread FROM fx_decisions),
+    x AS (SELECT *, spread * 1e4 / (mid + 1e-12) AS raw FROM r)
+    SELECT symbol, us, seq, round(greatest(rv * 1e4, 0), 6) AS rv_bp, round(greatest(coalesce(
+      last_value(raw IGNORE NULLS) OVER ({SEEN} UNBOUNDED PRECEDING AND CURRENT ROW),
+      first_value(raw IGNORE NULLS) OVER ({SEEN} CURRENT ROW AND UNBOUNDED FOLLOWING), 0), 0), 3) AS spread_input_bp
+    FROM x""",
+    d="rv_bp spread_input_bp",
+)
+def d8_inputs(fx: Fixtures) -> DataFrame:
+    rows = fx.decisions.select(
+        "symbol", "us", "seq", (F.abs(F.col("p_buy") - 0.5) / 100).alias("rv"), "mid",
+        F.when(F.col("seq") % 7 != 0, F.col("spread_bp") * F.col("mid") / 1e4).alias("spread"),
+    )
+    found = decide.strategy_inputs(rows, "rv", "mid", "spread")
+    return found.select("symbol", "us", "seq", "rv_bp", "spread_input_bp")
+
+
 GRID = (0.52, 0.6, 0.7, 0.8, 0.9)
 
 

@@ -145,6 +145,17 @@ def g8(fx: Fixtures) -> DataFrame:
     return grid.aligned(fx.bars, 3600, refuse=False)
 
 
+@query(
+    "g8_common_clock",
+    """
+    WITH s AS (SELECT us FROM fx_bars GROUP BY us HAVING count(*) = (SELECT count(DISTINCT symbol) FROM fx_bars))
+    SELECT symbol, us, close, volume FROM fx_bars SEMI JOIN s USING (us)""",
+    d="close volume",
+)
+def g8b(fx: Fixtures) -> DataFrame:
+    return grid.common_clock(fx.bars, ["close", "volume"])
+
+
 @query(
     "g9_hourly_closes",
     """

@@ -68,7 +68,7 @@ def l3(fx: Fixtures) -> DataFrame:
     d="threshold_bp",
 )
 def l4(fx: Fixtures) -> DataFrame:
-    return quantile_by(fwd(fx), [], F.abs("forward_bp"), 0.8, "threshold_bp")
+    return labels.threshold_for_share(fwd(fx), 0.2)
 
 
 @query(
@@ -353,6 +353,21 @@ def c4(fx: Fixtures) -> DataFrame:
     return joined.select("series", "tier", "maker_bp", "taker_bp", level.alias("breakeven_maker_bp"))
 
 
+@query(
+    "c4_named_tier",
+    f"""
+    WITH {TIERS} SELECT series, tier, maker_bp, taker_bp, sum(gross_bp - 2 * taker_bp) AS net_bp
+    FROM fx_li_trades, fees WHERE tier = 'vip5' GROUP BY ALL""",
+    d="maker_bp taker_bp net_bp",
+)
+def c4b(fx: Fixtures) -> DataFrame:
+    """Results of every series at the taker fees of one named tier."""
+    tier = costs.fee_tier(costs.fee_table(fx.spark), "vip5")
+    joined = fx.li_trades.join(F.broadcast(tier))  # one row
+    net = F.sum(F.col("gross_bp") - 2 * F.col("taker_bp"))
+    return joined.groupBy("series", "tier", "maker_bp", "taker_bp").agg(net.alias("net_bp"))
+
+
 @query(
     "c5_breakeven_share_by_horizon",
     f"""

@@ -57,6 +57,24 @@ def m1(fx: Fixtures) -> DataFrame:
     return learn.class_prior(moves.withColumn("label", labels.three_class(F.col("forward_bp"), 50)))
 
 
+@query(
+    "m1_always_hold",
+    f"""
+    WITH {FWD}, l AS (SELECT symbol, {LABEL} AS label FROM f) SELECT symbol, count(*) AS rows,
+      avg(CASE WHEN label = 0 THEN 1.0 ELSE 0.0 END) AS right, 0.0 AS p_sell, 0.0 AS p_buy
+    FROM l WHERE label IS NOT NULL GROUP BY symbol""",
+    d="right p_sell p_buy",
+)
+def m1b(fx: Fixtures) -> DataFrame:
+    """How often the model that never trades is right, per instrument."""
+    moves = labels.forward_return(fx.book, 10, spine=fx.spine)
+    rows = moves.withColumn("label", labels.three_class(F.col("forward_bp"), 50)).where("label IS NOT NULL")
+    right = F.avg(((F.col("label") == 0) & (F.col("p_hold") > 0.5)).cast("double"))
+    return learn.always_hold(rows).groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("rows"), right.alias("right"), F.max("p_sell").alias("p_sell"), F.max("p_buy").alias("p_buy")
+    )
+
+
 @query("m2_multinomial_logistic", None)
 def m2(fx: Fixtures) -> DataFrame:
     train, test = parts(fx)

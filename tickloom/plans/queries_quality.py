@@ -335,9 +335,7 @@ def q14(fx: Fixtures) -> DataFrame:
     return quality.coverage(build_features(fx.book, names, spine=fx.spine), names)
 
 
-@query(
-    "q15_clock_offset",
-    """
+CLOCK_PROFILE = """
     WITH s AS (SELECT symbol, us, 1 AS side, bid_price_0 AS px, bid_size_0 AS sz,
         lag(bid_price_0) OVER w AS was, lag(bid_size_0) OVER w AS sz_was FROM fx_book_raw
         WINDOW w AS (PARTITION BY symbol ORDER BY us, seq)
@@ -354,10 +352,24 @@ def q14(fx: Fixtures) -> DataFrame:
             AND k.price = s.px WHERE s.px = s.was),
     m AS (SELECT side, d, avg(res * res) AS q, avg(CASE WHEN res < -1e-12 THEN 1.0 ELSE 0.0 END)
           AS n FROM r GROUP BY 1, 2)
-    SELECT d AS delta_ms, avg(q) AS mean_sq_residual, avg(n) AS share_negative FROM m GROUP BY 1""",
+    SELECT d AS delta_ms, avg(q) AS mean_sq_residual, avg(n) AS share_negative FROM m GROUP BY 1"""
+
+
+@query(
+    "q15_clock_offset",
+    CLOCK_PROFILE,
     d="mean_sq_residual share_negative",
     i="delta_ms",
 )
 def q15(fx: Fixtures) -> DataFrame:
     # Prints are minutes apart in these tables, so the shifts are minutes too.
     return quality.clock_offset_profile(fx.book_raw, fx.prints, (-600_000, 0, 600_000))
+
+
+@query(
+    "q15_best_clock_offset",
+    f"SELECT delta_ms FROM ({CLOCK_PROFILE}) ORDER BY mean_sq_residual, delta_ms LIMIT 1",
+    i="delta_ms",
+)
+def q15b(fx: Fixtures) -> DataFrame:
+    return quality.best_clock_offset(q15(fx))

@@ -243,6 +243,14 @@ def s10(fx: Fixtures) -> DataFrame:
     return archives.within_day(stamped, date(2024, 1, 10)).select("symbol", "us", "trade_id")
 
 
+@query(
+    "s10_rows_outside_day",
+    "SELECT count(*) FILTER (us // 86400000000 <> 19732) AS rows_outside FROM fx_prints",
+)
+def s10b(fx: Fixtures) -> DataFrame:
+    return archives.rows_outside_day(fx.prints, date(2024, 1, 10))
+
+
 @query(
     "s11_prints_csv",
     "SELECT symbol, us, price, size, aggressor FROM fx_prints",
