@@ -1,7 +1,7 @@
 """Packing: documents into fixed windows of tokens, cuts chosen by dynamic programming.
 
 Rows keep their order. The cut points are ends of documents and of sentences (and inside a sentence
-only where one is longer than a window). Over the cut points of a run of rows
+only where none ends for long, at words). Over the cut points of a run of rows
 
     cost(j) = min over i, position(j) - position(i) <= width, of
               cost(i) + padding(position(j) - position(i)) + penalty(j)
@@ -15,33 +15,78 @@ scans, holding about ``BLOCK`` tokens: nothing is shuffled, and a lost task is p
 from __future__ import annotations
 
 import os
-import re
 from collections import deque
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tickloom.llm.text import keyed, slices
+from tickloom.llm.text import NEWLINE, WHITE, keyed, slices, table
 
 BLOCK = 1 << 18
+SLICE = 1 << 21
 CACHE = 1 << 20
 END_ID = 1
 SENTENCE_PENALTY = 16
 INSIDE_PENALTY = 64
 WINDOW_COST = 8
-CLOSERS = "\"')]}»”"
-SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
-
-
-def one_of(characters: str) -> bytes:
-    return b"(?:" + b"|".join(re.escape(c.encode()) for c in characters) + b")"
-
-
-#: A sentence ends after a full stop and closers that any white space or the text's end follows.
-SENTENCE_END = re.compile(rb"[.!?]" + one_of(CLOSERS) + rb"*(?=" + one_of(SPACES) + rb")")
+#: Stretches without a cheap cut of more than ``LONG`` tokens can be cut at a word about every ``STEP``.
+LONG, STEP = 128, 64
+
+STOPS = table((0x21, 0x21), (0x2E, 0x2E), (0x3F, 0x3F))
+CLOSERS = np.isin(np.arange(256), list(b"\"')]}>"))
+#: Terminators that need no space after them, and closers and spaces of several bytes.
+WIDE_STOPS = [c.encode() for c in "。！？；।؟۔"]
+WIDE_CLOSERS = [c.encode() for c in "»”’"]
+WIDE_SPACES = [c.encode() for c in "\u0085\u00a0\u2028\u2029\u202f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))]
+
+
+def follows(data: np.ndarray, at: np.ndarray, wanted: list[bytes]) -> np.ndarray:
+    """Length of the wanted character that begins at each place, else 0; ``data`` ends in padding."""
+    out = np.zeros(len(at), np.int64)
+    lead = np.zeros(256, bool)
+    lead[[c[0] for c in wanted]] = True
+    some = np.flatnonzero(lead[data[at]])
+    for c in wanted if len(some) else []:
+        hit = np.ones(len(some), bool)
+        for k, byte in enumerate(c):
+            hit &= data[at[some] + k] == byte
+        out[some[hit]] = len(c)
+    return out
+
+
+def sentence_ends(data: np.ndarray) -> np.ndarray:
+    """Ascending byte positions before the white space of a line end, after a stop (and up to eight closers) that white
+    space follows, and after a terminator of a script that sets no space."""
+    padded = np.concatenate([data, np.zeros(4, np.uint8)])
+    end = np.flatnonzero(STOPS[data]) + 1
+    going = np.arange(len(end))
+    for _ in range(8):
+        at = end[going]
+        size = np.where(CLOSERS[padded[at]], 1, follows(padded, at, WIDE_CLOSERS))
+        going = going[size > 0]
+        if not len(going):
+            break
+        end[going] += size[size > 0]
+    end = end[WHITE[padded[end]] | (follows(padded, end, WIDE_SPACES) > 0)]
+    wide = np.flatnonzero(data >= 0xC0)
+    size = follows(padded, wide, WIDE_STOPS)
+    line = np.flatnonzero(NEWLINE[data])
+    going = np.arange(len(line))
+    for _ in range(8):
+        at = line[going]
+        going = going[(at > 0) & WHITE[data[at - 1]]] if len(at) else going
+        line[going] -= 1
+    return ascending(np.concatenate([end, (wide + size)[size > 0], line]))
+
+
+def ascending(values: np.ndarray) -> np.ndarray:
+    """The different values in order."""
+    values = np.sort(values, kind="stable")
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
 
 
 class Encoder:
@@ -86,27 +131,32 @@ class Encoder:
         self.place = np.concatenate([self.place[:-1], self.place[-1] + starts, [self.place[-1] + len(flat)]])
         self.flat = np.concatenate([self.flat, flat])
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids in order, each text's number of ids, and the positions where a sentence ends."""
         if len(self.known) > CACHE:
             self.clear()
-        words: list[str] = []
-        counts, heads = [], []
-        for text in texts:
-            parts = text.split(" ")
-            heads.append(parts[0])
-            counts.append(len(parts))
-            words += parts
-        every = np.fromiter(map(self.known.get, words, repeat(-2)), np.int64, len(words))
-        unseen = np.flatnonzero(every == -2).tolist()
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        texts = texts.fill_null("")
+        parts = pc.split_pattern(texts, " ")
+        counts = parts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        # only the different words of a slice are looked up one by one
+        coded = parts.flatten().dictionary_encode()
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        words = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(pa.string()))
+        words = pc.binary_join(words, " ")[0].as_py().split(" ") if len(which) else []  # no word holds a space
+        each = np.fromiter(map(self.known.get, words, repeat(-2)), np.int64, len(words))
+        unseen = np.flatnonzero(each == -2).tolist()
         if unseen:
-            self.add(list(dict.fromkeys(words[i] for i in unseen)))
-            every[unseen] = [self.known[words[i]] for i in unseen]
+            self.add([words[i] for i in unseen])
+            each[unseen] = [self.known[words[i]] for i in unseen]
+        every = each[which] if len(which) else np.zeros(0, np.int64)
         at = np.zeros(len(texts) + 1, np.int64)
         np.cumsum(counts, out=at[1:])
-        odd = np.unique(np.repeat(np.arange(len(texts)), counts)[every < 0]).tolist()
+        odd = ascending(np.repeat(np.arange(len(texts)), counts)[every < 0]).tolist()
         # a text's first word has no space before it; odd texts are one item
-        first = [texts[i] if i in odd else heads[i] for i in range(len(texts))] if odd else heads
+        first = [words[i] for i in which[at[:-1]].tolist()]
+        for i in odd:
+            first[i] = texts[i].as_py()
         whole = [e.ids for e in self.tokenizer.encode_batch_fast(first, add_special_tokens=False)]
         every = np.maximum(every, 0)
         size = np.diff(self.place)[every] if len(self.flat) else np.zeros(len(every), np.int64)
@@ -126,18 +176,14 @@ class Encoder:
         totals = np.diff(np.concatenate([[0], ends])[at])
         return ids, totals, self.sentences(texts, ids)
 
-    def sentences(self, texts: list[str], ids: np.ndarray) -> np.ndarray:
+    def sentences(self, texts: pa.Array, ids: np.ndarray) -> np.ndarray:
         """How many of all ids lie before each sentence end of the texts."""
-        raw = [t.encode() for t in texts]
-        length = np.fromiter(map(len, raw), np.int64, len(raw))
-        found = [m.end() for m in SENTENCE_END.finditer(b"\n".join([*raw, b""]))]
-        places = np.array(found, np.int64)
-        begin = np.cumsum(length + 1) - (length + 1)
-        places -= np.searchsorted(begin, places, "left") - 1  # without the line feeds between texts
-        stop = np.cumsum(self.bytes[ids])
-        if length.sum() != (stop[-1] if len(stop) else 0):
+        data = next((part.data for part in slices(texts, 1 << 62)), np.zeros(0, np.uint8))
+        size = self.bytes[ids]
+        stop = np.cumsum(size)
+        if len(data) != (stop[-1] if len(stop) else 0):
             raise ValueError("the tokens do not stand for the bytes of the texts")
-        return np.unique(np.searchsorted(stop - self.bytes[ids], places, "left"))
+        return ascending(np.searchsorted(stop - size, sentence_ends(data), "left"))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -158,8 +204,13 @@ def ranges(sizes: np.ndarray) -> np.ndarray:
 
 def choose(position: list[int], penalty: list[int], width: int) -> list[int]:
     """Indices of the chosen cuts, first and last included; neighbours are at most ``width`` apart."""
-    short = [1 << k for k in range(8, width.bit_length()) if 1 << k < width]
-    where = {p: i for i, p in enumerate(position)}
+    places = np.asarray(position)
+    even: list[list[int]] = [[] for _ in position]  # cuts a power of two before each cut
+    for k in range(8, width.bit_length()):
+        if 1 << k < width:
+            at = np.searchsorted(places, places - (1 << k))
+            for j in np.flatnonzero(places[at] == places - (1 << k)).tolist():
+                even[j].append(int(at[j]))
     cost, back = [0] * len(position), [0] * len(position)
     base = [0] * len(position)
     base[0] = position[0]
@@ -170,9 +221,8 @@ def choose(position: list[int], penalty: list[int], width: int) -> list[int]:
             queue.popleft()
         i = queue[0]
         best = base[i] + width - here
-        for size in short:
-            k = where.get(here - size)
-            if k is not None and cost[k] < best:
+        for k in even[j]:
+            if cost[k] < best:
                 best, i = cost[k], k
         cost[j], back[j] = best + penalty[j] + WINDOW_COST, i
         base[j] = cost[j] + here
@@ -185,15 +235,25 @@ def choose(position: list[int], penalty: list[int], width: int) -> list[int]:
     return chosen[::-1]
 
 
-def cut_points(ends: np.ndarray, sentences: np.ndarray, width: int) -> tuple[list[int], list[int]]:
-    """Positions and penalties of all cut points from 0 to the last end."""
-    position = np.unique(np.concatenate([[0], ends, sentences]))
+def cut_points(
+    ends: np.ndarray, sentences: np.ndarray, width: int, words: np.ndarray | None = None
+) -> tuple[list[int], list[int]]:
+    """Positions and penalties of all cut points from 0 to the last end.
+
+    Long stretches between ends and sentence ends get dear cuts, at the last of ``words`` (ascending
+    positions where a word begins) before each step, or at the step where no word begins.
+    """
+    position = ascending(np.concatenate([[0], ends, sentences]))
+    step = min(STEP, width)
     gap = np.diff(position)
-    extra = np.maximum(gap - 1, 0) // width
-    inside = np.repeat(position[:-1], extra) + (ranges(extra) + 1) * width
-    everything = np.union1d(position, inside)
-    penalty = np.full(len(everything), SENTENCE_PENALTY)
-    penalty[np.searchsorted(everything, inside)] = INSIDE_PENALTY
+    extra = np.where(gap > min(LONG, width), np.maximum(gap - 1, 0) // step, 0)
+    inside = np.repeat(position[:-1], extra) + (ranges(extra) + 1) * step
+    if words is not None and len(words) and len(inside) and 2 * step <= width:
+        word = words[np.maximum(np.searchsorted(words, inside, "right") - 1, 0)]
+        inside = np.where((word > inside - step) & (word <= inside), word, inside)
+    everything = ascending(np.concatenate([position, inside]))
+    penalty = np.full(len(everything), INSIDE_PENALTY)
+    penalty[np.searchsorted(everything, position)] = SENTENCE_PENALTY
     penalty[np.searchsorted(everything, ends)] = 0
     return everything.tolist(), penalty.tolist()
 
@@ -201,8 +261,9 @@ def cut_points(ends: np.ndarray, sentences: np.ndarray, width: int) -> tuple[lis
 class Packer:
     """Packs a stream of documents; ``emit`` gets (document, start, ids, size, window, offset)."""
 
-    def __init__(self, width: int):
+    def __init__(self, width: int, opens: np.ndarray | None = None):
         self.width = width
+        self.opens = opens  # by id: whether a word begins with it
         self.window = 0
         self.ids = np.zeros(0, np.uint32)
         self.ends: list[int] = []
@@ -227,7 +288,8 @@ class Packer:
         ids = np.concatenate(self.held)
         ends = np.array([begin + n for _, begin, n in self.documents])
         sentences = np.concatenate(self.sentences)
-        position, penalty = cut_points(ends, sentences, self.width)
+        words = None if self.opens is None else np.flatnonzero(self.opens[ids])
+        position, penalty = cut_points(ends, sentences, self.width, words)
         chosen = [position[i] for i in choose(position, penalty, self.width)]
         settled = chosen if last else chosen[:-1]
         doc = 0
@@ -270,7 +332,8 @@ def pack(
         from pyspark.sql.pandas.types import to_arrow_type
 
         base = TaskContext.get().partitionId() << 33
-        encoder, packer = encoder_for(tokenizer), Packer(width)
+        encoder = encoder_for(tokenizer)
+        packer = Packer(width, encoder.opens)
         id_type = to_arrow_type(kind)
 
         def rows(last: bool) -> pa.RecordBatch:
@@ -290,9 +353,9 @@ def pack(
             )
 
         for batch in batches:
-            for texts in slices(batch.column(1)):
+            for texts in slices(batch.column(1), SLICE):
                 part = batch.column(1).slice(texts.low, texts.high - texts.low)
-                ids, sizes, sentences = encoder.encode([t or "" for t in part.to_pylist()])
+                ids, sizes, sentences = encoder.encode(part)
                 ends = np.cumsum(sizes)
                 ids = np.insert(ids, ends, END_ID)
                 before = np.searchsorted(ends, sentences, "left")
