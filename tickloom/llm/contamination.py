@@ -5,7 +5,9 @@ bit is the sign of the sum of its shingles' signs. An item and a window whose we
 reach the similarity differ in few bits, so fingerprints within ``radius`` are the candidates. The
 64 bits are cut into blocks; two fingerprints within the radius have a block within the share
 ``radius // blocks`` of it, so looking up, for each block, the items within that share finds every
-one (multi-index hashing). Candidates are verified on exact weighted shingles: the sum of the
+one (multi-index hashing). Bags in which a shingle repeats can be similar at a wider angle, so windows
+and items that hold one have a radius of their own, from the sizes and norms of both bags (``wider``),
+up to every fingerprint. Candidates are verified on exact weighted shingles: the sum of the
 smaller counts over the sum of the larger.
 
 A window that shares no shingle with an item cannot be similar to it, so windows are formed only
@@ -50,10 +52,10 @@ def simhash(totals: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Items of one size, found by fingerprint."""
+    """Items of one size, found by fingerprint; ``norms`` are the squared norms of their bags."""
 
-    def __init__(self, prints: np.ndarray, radius: int = RADIUS):
-        self.prints, self.radius = prints, radius
+    def __init__(self, prints: np.ndarray, radius: int = RADIUS, norms: np.ndarray | None = None):
+        self.prints, self.radius, self.norms = prints, radius, norms
         share = radius // BLOCKS
         every = np.arange(256, dtype=np.uint8)
         #: near[block, value, item]: the item's block is within the share of the value
@@ -70,6 +72,47 @@ class Index:
         close = POPULATION[prints[row] ^ self.prints[item]].sum(axis=1, dtype=np.int32) <= self.radius
         return row[close], item[close]
 
+    def repeating(self, prints: np.ndarray, norms: np.ndarray, items: np.ndarray, common: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, item) pairs within the radius of their norms, of all rows and the given items."""
+        rows, chosen = [], []
+        step = max(1, (1 << 20) // max(len(items), 1))
+        for low in range(0, len(prints), step):
+            part = slice(low, low + step)
+            apart = np.zeros((len(prints[part]), len(items)), np.int32)
+            for k in range(BLOCKS):
+                apart += POPULATION[prints[part, k][:, None] ^ self.prints[items, k][None, :]]
+            r, i = np.nonzero(apart <= np.maximum(wider(common, norms[part], self.norms[items]), self.radius))
+            rows.append(r + low)
+            chosen.append(items[i])
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *rows]), np.concatenate([none, *chosen])
+
+
+def wider(common: float, norms: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Radius for bags that share ``common`` shingles, counted with repeats, by their squared norms.
+
+    Their inner product is ``common`` at least, which bounds the angle; the share of differing bits
+    is the angle over pi on average, and five deviations are added.
+    """
+    cosine = np.minimum(common / np.sqrt(norms[:, None] * others[None, :]), 1.0)
+    share = np.arccos(cosine) / np.pi
+    return np.ceil(64 * share + 5 * np.sqrt(64 * share * (1 - share)))
+
+
+def squared(bag: np.ndarray) -> int:
+    """Squared norm of a bag: the sum of its shingles' squared counts."""
+    return int((np.unique(bag, return_counts=True)[1] ** 2).sum())
+
+
+def repeats_within(bag: np.ndarray, starts: np.ndarray, per: int) -> np.ndarray:
+    """Whether each window of ``per`` shingles holds one of them twice."""
+    order = np.argsort(bag, kind="stable")
+    following = np.full(len(bag), len(bag) + per)
+    same = bag[order[1:]] == bag[order[:-1]]
+    following[order[:-1][same]] = order[1:][same]
+    soonest = np.minimum.accumulate(following[::-1])[::-1]
+    return soonest[starts] < starts + per
+
 
 def weighted(a: np.ndarray, b: np.ndarray) -> float:
     """Weighted similarity of two bags of shingles."""
@@ -106,7 +149,8 @@ class Items:
             chosen = [i for i, w in enumerate(self.words) if w == n]
             prints = np.concatenate([simhash(signs(self.bags[i]).sum(axis=0)[None, :]) for i in chosen])
             shared = np.unique(np.concatenate([self.bags[i] for i in chosen]))
-            self.sizes[n] = (chosen, Index(prints), shared)
+            norms = np.array([squared(self.bags[i]) for i in chosen], float)
+            self.sizes[n] = (chosen, Index(prints, norms=norms), shared)
 
     def matches(self, codes: np.ndarray, similarity: float) -> dict[int, tuple[float, int, int]]:
         """Item index to (similarity, first word, words) of its best window in one text, earliest on ties."""
@@ -123,15 +167,33 @@ class Items:
             running = np.concatenate([[0], np.cumsum(hit)])
             starts = np.arange(len(bag) - per + 1)
             items_per = n - width + 1
-            need = max(1, math.ceil(similarity * (per + items_per) / (1 + similarity) - 1e-9))
+            common = similarity * (per + items_per) / (1 + similarity)
+            need = max(1, math.ceil(common - 1e-9))
             starts = starts[running[starts + per] - running[starts] >= need]
+            twice = repeats_within(bag, starts, per)
+            many = np.flatnonzero(index.norms > items_per)  # items with a repeated shingle
             for low in range(0, len(starts), WINDOW_BLOCK):
                 part = starts[low : low + WINDOW_BLOCK]
                 for a, b in runs_of(part, per):
                     sums = np.zeros((part[b - 1] + per - part[a] + 1, 64), np.int32)
                     np.cumsum(signs(bag[part[a] : part[b - 1] + per]), axis=0, out=sums[1:])
                     local = part[a:b] - part[a]
-                    row, item = index.candidates(simhash(sums[local + per] - sums[local]))
+                    prints = simhash(sums[local + per] - sums[local])
+                    row, item = index.candidates(prints)
+                    again = twice[low + a : low + b]
+                    if len(many) or again.any():
+                        norms = np.full(len(local), float(per))
+                        for k in np.flatnonzero(again).tolist():
+                            norms[k] = squared(bag[part[a + k] : part[a + k] + per])
+                        pairs = [(row, item)]
+                        if len(many):
+                            pairs.append(index.repeating(prints, norms, many, common))
+                        if again.any():
+                            at = np.flatnonzero(again)
+                            r, i = index.repeating(prints[at], norms[at], np.arange(len(chosen)), common)
+                            pairs.append((at[r], i))
+                        both = np.unique(np.concatenate([r * len(chosen) + i for r, i in pairs]))
+                        row, item = both // len(chosen), both % len(chosen)
                     for r, i in zip(row.tolist(), item.tolist(), strict=True):
                         at = int(part[a + r])
                         value = weighted(bag[at : at + per], self.bags[chosen[i]])
