@@ -11,6 +11,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,8 +26,10 @@ from tickloom.llm import (
     packing,
     queries,
     recompress,
+    repeats,
     rollup,
     suffixes,
+    text,
 )
 
 WHITE = r"[^\x20\x09-\x0D]+"
@@ -238,6 +241,41 @@ def test_contaminated_matches_brute_force(spark, docs, awkward):
     assert {d for d, _ in got} >= {500, 501, 502, 503, 504, 603, 604}
 
 
+@pytest.mark.parametrize("first", [90, 91])
+def test_contaminated_finds_windows_with_a_word_repeated(spark, docs, first):
+    items, rows = [], []
+    for i in range(40):
+        words = [f"i{i}w{k}" for k in range(104)]
+        items.append((i, " ".join(words)))
+        rows.append((i, " ".join(words[:first] + [f"filler{i}"] * (104 - first))))
+        # the item repeats a word, the document has others in its place
+        items.append((100 + i, rows[-1][1].replace("i", "j")))
+        rows.append((100 + i, items[-2][1].replace("i", "j")))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in contamination.contaminated(docs(rows), bench).collect()}
+    assert got == {(i, i) for i, _ in rows}
+
+
+def thue_morse(n, a, b):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_long_words_built_to_collide_stay_apart(docs):
+    """Polynomials modulo 2**64 agree on a Thue-Morse word and its complement at every odd base."""
+    pair = [thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")]
+    tail = " ".join(f"t{k}" for k in range(34))
+    got = recompress.substring_dedup(docs([(i, f"{w} {tail}") for i, w in enumerate(pair)]), width=35).collect()
+    assert [r.n_removed for r in got] == [0, 0]
+    got = minhash.near_duplicates(docs(list(enumerate(pair)))).collect()
+    assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 1}
+    # the same of words in place of letters
+    texts = [" ".join(thue_morse(2048, *ab)) for ab in ("xy", "yx")]
+    codes = [text.word_codes(t.data, text.split(t, text.WHITE), 0) for t in text.slices(pa.array(texts))]
+    codes = np.concatenate(codes).reshape(2, -1)
+    whole = [repeats.Content(c).of(np.array([0]), np.array([2048])) for c in codes]
+    assert all(x[0] != y[0] for x, y in zip(*whole, strict=True))
+
+
 def test_packing_is_a_round_trip(docs, awkward):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
@@ -296,6 +334,23 @@ def test_packing_cuts_at_sentences_whatever_white_space_follows(docs, between):
             assert re.search(r'[.?]"?$', before), before[-20:]
 
 
+@pytest.mark.parametrize("between", ["; ", "。", "\n", ", "])
+def test_packing_pads_little_without_sentences(docs, between):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(23)
+    words = "the of and water house small green river stone walked".split()
+    rows = [
+        (i, between.join(" ".join(rng.choice(words) for _ in range(rng.randint(8, 15))) for _ in range(60)))
+        for i in range(150)
+    ]
+    filled = collections.Counter()
+    for p in packing.pack(docs(rows).coalesce(1), path).collect():
+        filled[p.sequence_id] += p.length
+    padding = sum(2048 - n for w, n in filled.items() if w < max(filled) and n not in (256, 512, 1024))
+    assert padding < 0.03 * sum(filled.values())
+
+
 def test_license_scan(docs, awkward):
     rows = list(awkward) + [
         (20, "Under THE mit License; under the MIT\nlicense"),

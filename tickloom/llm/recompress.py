@@ -124,7 +124,7 @@ def word_runs(texts, width: int) -> Runs:
     low = starts[i]
     high = starts[np.append(i[1:], len(starts)) - 1]
     shift = words.first[:-1][text[low]]
-    prints = Content(codes).of(low, high + width, place[low] - low)
+    prints = Content(codes, word_codes(texts.data, words, 1)).of(low, high + width, place[low] - low)
     return Runs(text[low], key[low], low - shift, high - shift, place[low] - shift, prints)
 
 
@@ -162,7 +162,7 @@ def substring_dedup(
             done = 0
             for texts in slices(batch.column(1)):
                 words = split(texts, WHITE)
-                content = Content(word_codes(texts.data, words))
+                content = Content(*(word_codes(texts.data, words, k) for k in (0, 1)))
                 for k in range(texts.low, texts.high):
                     i, low, high = rows[k]
                     at, run = repeats.exploded(low, high)

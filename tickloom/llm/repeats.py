@@ -6,7 +6,7 @@ windows of a text that share an anchor form a run of starts; a run is one row. A
 once rules out all windows of its run; runs whose whole stretch of text is equal are repeated as a
 whole; only the windows of the runs in between, at the ends of repeats, are compared one by one.
 
-Fingerprints that stand for equality of text have 128 bits. A text is named by a hash of its id and
+Fingerprints that stand for equality of text have 124 bits, of polynomials modulo a prime. A text is named by a hash of its id and
 itself: rows that agree in both get the same cuts, and each still counts as a repeat of the other.
 """
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.text import Spans, mix, signed, slices
+from tickloom.llm.text import Prints, mix, signed, slices
 from tickloom.session import materialised
 
 
@@ -37,10 +37,13 @@ class Runs:
 
 
 class Content:
-    """128-bit fingerprints of stretches of a sequence of codes."""
+    """Fingerprints of stretches of a sequence of units: two of 62 bits each, from other codes and bases.
 
-    def __init__(self, codes: np.ndarray):
-        self.spans = (Spans(codes, 0), Spans(mix(codes + np.uint64(1)), 1))
+    ``other`` is a second, independent code of each unit, needed where codes are fingerprints themselves.
+    """
+
+    def __init__(self, codes: np.ndarray, other: np.ndarray | None = None):
+        self.spans = (Prints(codes, 0), Prints(mix(codes + np.uint64(1)) if other is None else other, 1))
 
     def of(self, start: np.ndarray, end: np.ndarray, salt: np.ndarray | None = None):
         extra = (end - start).astype(np.uint64) * np.uint64(1 << 20)

@@ -1,8 +1,10 @@
 """Array kernels over UTF-8 text: slices of Arrow columns, words, and fingerprints of spans.
 
-A fingerprint of a span is the polynomial ``sum(value[i] * B**(i - start))`` modulo 2**64, taken
-from one running sum and mixed at the end, so any span of a buffer costs a constant number of
-operations. Two bases give 128 bits where results depend on equality of long spans.
+A fingerprint of a span is the polynomial ``sum(value[i] * B**(i - start))``, taken from one running
+sum and mixed at the end, so any span of a buffer costs a constant number of operations. Where
+results depend on equality, the polynomials are taken modulo the prime 2**31 - 1, two of them to a
+fingerprint (``Prints``), and two fingerprints stand for long spans. Modulo 2**64 (``Spans``) there
+are long words that agree at every base: such values only deal rows and rank them.
 """
 
 from __future__ import annotations
@@ -74,6 +76,51 @@ class Spans:
         return mix((self.running[end] - self.running[start]) * inverse[start])
 
 
+PRIME = np.uint64((1 << 31) - 1)
+PRIME_BASES = (0x2545F491, 0x5851F42D, 0x369DEA0F, 0x4F1BBCDC)
+_prime_powers: dict[tuple[int, bool], np.ndarray] = {}
+
+
+def modulo(x: np.ndarray) -> np.ndarray:
+    """Values below 2**62 modulo the prime, the prime itself for some multiples of it."""
+    x = (x & PRIME) + (x >> np.uint64(31))
+    return (x & PRIME) + (x >> np.uint64(31))
+
+
+def prime_powers(n: int, lane: int, inverse: bool = False) -> np.ndarray:
+    """``B**0 .. B**(n-1)`` of a lane's base, or of its inverse, modulo the prime."""
+    base = PRIME_BASES[lane] if not inverse else pow(PRIME_BASES[lane], -1, int(PRIME))
+    have = _prime_powers.get((lane, inverse), np.ones(1, np.uint64))
+    while len(have) < n:
+        have = np.concatenate([have, modulo(have * np.uint64(pow(base, len(have), int(PRIME))))])
+    _prime_powers[lane, inverse] = have
+    return have[:n]
+
+
+class Prints:
+    """Fingerprints of spans of one sequence of 64-bit values: two polynomials modulo a prime.
+
+    ``which`` (0 or 1) names the pair of bases; each polynomial takes another half of the values.
+    """
+
+    def __init__(self, values: np.ndarray, which: int = 0):
+        n = len(values)
+        self.lanes = (2 * which, 2 * which + 1)
+        self.running = []
+        for lane, half in zip(self.lanes, (values & PRIME, values >> np.uint64(33)), strict=True):
+            running = np.zeros(n + 1, np.uint64)
+            np.cumsum(modulo(half * prime_powers(n, lane)), out=running[1:])
+            self.running.append(running)
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(start), np.uint64)
+        for lane, running in zip(self.lanes, self.running, strict=True):
+            inverse = prime_powers(len(running), lane, True)
+            value = modulo(modulo(running[end] - running[start]) * inverse[start])
+            out = (out << np.uint64(31)) | np.where(value == PRIME, np.uint64(0), value)
+        return mix(out)
+
+
 @dataclass
 class Texts:
     """Consecutive rows of a batch: their bytes, and where each row's bytes begin and end."""
@@ -138,8 +185,8 @@ def split(texts: Texts, separator: np.ndarray) -> Words:
 
 
 def word_codes(data: np.ndarray, words: Words, which: int = 0) -> np.ndarray:
-    """A 64-bit fingerprint of each word."""
-    return Spans(BYTE_CODES[data], which).of(words.start, words.end)
+    """A fingerprint of each word."""
+    return Prints(BYTE_CODES[data], which).of(words.start, words.end)
 
 
 def shingles(codes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +201,7 @@ def shingles(codes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarra
     text = np.repeat(np.arange(len(counts)), number)
     start = first[:-1][text] + (np.arange(place[-1]) - place[:-1][text])
     length = np.minimum(counts, size)[text]
-    out = Spans(codes).of(start, start + length)
+    out = Prints(codes).of(start, start + length)
     return mix(out + length.astype(np.uint64)), place
 
 
