@@ -146,10 +146,12 @@ def substring_dedup(
     """
     named = repeats.with_text(docs, id_col, text_col, [])
     found = repeats.find_runs(named, lambda texts: word_runs(texts, width))
-    runs = repeats.candidates(found)
-    whole, compared = repeats.settle(runs.where("NOT sure"))
-    whole = whole.union(runs.where("sure").select("row", "low", "high"))
-    compared = materialised(compared.select("row", "low", "high", "alone"))
+    first, second = repeats.Store(docs.sparkSession), repeats.Store(docs.sparkSession)
+    runs = repeats.candidates(found, first)
+    whole, compared = repeats.settle(runs.where("NOT sure"), first)
+    whole = second.keep(whole.union(runs.where("sure").select("row", "low", "high")))
+    compared = second.keep(compared.select("row", "low", "high", "alone"))
+    first.clear()
     lists = compared.groupBy("row").agg(
         F.collect_list(F.struct("low", "high", "alone")).alias("parts")
     )
@@ -180,8 +182,9 @@ def substring_dedup(
                     )
                     done += len(low)
 
-    single = repeats.equal_windows(asked.mapInArrow(windows, "w1 long, w2 long, row long, at int, alone boolean"))
+    single = repeats.equal_windows(asked.mapInArrow(windows, "w1 long, w2 long, row long, at int, alone boolean"), second)
     cuts = materialised(repeats.collected(whole.union(single)))
+    second.clear()
     also = [f"_c{k}" for k in range(len(carry))]
     kept_rows = repeats.with_text(
         docs, id_col, text_col,

@@ -12,16 +12,17 @@ itself: rows that agree in both get the same cuts, and each still counts as a re
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.text import Prints, mix, signed, slices
-from tickloom.session import materialised
+from tickloom.session import checkpoint_dir, removed
 
 
 @dataclass
@@ -52,40 +53,56 @@ class Content:
         return tuple(mix(s.of(start, end) + extra) for s in self.spans)
 
 
+class Store:
+    """Tables of one step, written once to the shared folder and deleted when the step's result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{checkpoint_dir(self.spark)}/table-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        while self.paths:
+            removed(self.spark, self.paths.pop())
+
+
 def name_of(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
-def repeated_keys(runs: DataFrame) -> DataFrame:
+def repeated_keys(runs: DataFrame, store: Store) -> DataFrame:
     """Keys that occur more than once."""
-    return materialised(runs.groupBy("key").count().where("count > 1").select("key"))
+    return store.keep(runs.groupBy("key").count().where("count > 1").select("key"))
 
 
-def settle(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def settle(runs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
     """Split runs (``key``, ``row``, ``low``, ``high``, ``r1``, ``r2``, ...) of repeated keys.
 
-    Returns runs repeated as a whole, and runs whose windows have to be compared: those that differ
+    ``runs`` are read from a written table, more than once. Returns runs repeated as a whole, and runs whose windows have to be compared: those that differ
     from all others of their key (``alone``), and one of each kind they may agree with in part.
     """
-    runs = materialised(runs)
-    kinds = materialised(
+    kinds = store.keep(
         runs.groupBy("key", "r1", "r2").agg(F.count("*").alias("times"), F.min(F.struct("row", "low")).alias("one"))
     )
     keys = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.min("times").alias("fewest"))
-    keys = materialised(keys.where("kinds > 1 AND fewest = 1").select("key"))
+    keys = store.keep(keys.where("kinds > 1 AND fewest = 1").select("key"))
     often = kinds.where("times > 1").select("key", "r1", "r2")
     whole = runs.join(often, ["key", "r1", "r2"], "left_semi")
     named = kinds.join(keys, "key").select("key", "r1", "r2", "times", "one.row", "one.low")
-    compared = runs.join(materialised(named), ["key", "r1", "r2", "row", "low"])
+    compared = runs.join(store.keep(named), ["key", "r1", "r2", "row", "low"])
     # rows that agree in id and text share a name and a run: one of them is enough
     compared = compared.dropDuplicates(["key", "row", "low"])
     return whole.select("row", "low", "high"), compared.withColumn("alone", F.col("times") == 1)
 
 
-def equal_windows(windows: DataFrame) -> DataFrame:
+def equal_windows(windows: DataFrame, store: Store) -> DataFrame:
     """Of windows ``w1``, ``w2`` at ``row``, ``at``, those that occur more than once and are alone."""
-    windows = materialised(windows)
-    often = materialised(windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2"))
+    windows = store.keep(windows)
+    often = store.keep(windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2"))
     alone = windows.where("alone")
     return alone.join(often, ["w1", "w2"]).select("row", F.col("at").alias("low"), F.col("at").alias("high"))
 
@@ -162,10 +179,10 @@ def run_batch(names: pa.Array, runs: Runs, offset: int = 0) -> pa.RecordBatch:
     )
 
 
-def candidates(found: DataFrame) -> DataFrame:
+def candidates(found: DataFrame, store: Store) -> DataFrame:
     """Runs whose key occurs more than once, and sure runs."""
-    keys = repeated_keys(found.where("NOT sure").select("key")).withColumn("hit", F.lit(True))
-    return materialised(found.join(keys, "key", "left").where("hit OR sure").drop("hit"))
+    keys = repeated_keys(found.where("NOT sure").select("key"), store).withColumn("hit", F.lit(True))
+    return store.keep(found.join(keys, "key", "left").where("hit OR sure").drop("hit"))
 
 
 def find_runs(named: DataFrame, kernel) -> DataFrame:

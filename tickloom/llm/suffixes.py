@@ -139,7 +139,7 @@ MATCHED = "row long, low int, high int, alone boolean"
 EDGE = f"{MATCHED}, shift int, match int, bucket int, edge int, stretch binary"
 
 
-def recurring(suffixes: DataFrame, rows: int, width: int) -> DataFrame:
+def recurring(suffixes: DataFrame, rows: int, width: int, store: repeats.Store) -> DataFrame:
     """Runs (MATCHED) cut to the windows that the longest match of their suffix allows.
 
     ``suffixes`` has STRETCH, about ``rows`` of them; a suffix begins ``shift`` bytes into
@@ -196,7 +196,7 @@ def recurring(suffixes: DataFrame, rows: int, width: int) -> DataFrame:
                 names,
             ).filter(keep)
 
-    done = materialised(dealt.mapInArrow(sort, EDGE))
+    done = store.keep(dealt.mapInArrow(sort, EDGE))
     inner = done.where("edge = 0").select(*[c.split()[0] for c in MATCHED.split(", ")])
     # two rows a bucket, its first and its last suffix: compared with their neighbours' here
     edges = [r.asDict() for r in done.where("edge > 0").collect()]
@@ -228,11 +228,13 @@ def byte_dedup(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text_c
     """
     named = repeats.with_text(docs, id_col, text_col, [])
     found = repeats.find_runs(named, lambda texts: byte_runs(texts, width))
-    runs = repeats.candidates(found)
+    first, second = repeats.Store(docs.sparkSession), repeats.Store(docs.sparkSession)
+    runs = repeats.candidates(found, first)
     # stretches that recur whole are settled; one of each kind stands for them in the suffix array
-    whole, compared = repeats.settle(runs.where("NOT sure"))
-    whole = whole.union(runs.where("sure").select("row", "low", "high"))
-    compared = materialised(compared.select("row", "low", "high", "anchor", "alone"))
+    whole, compared = repeats.settle(runs.where("NOT sure"), first)
+    whole = second.keep(whole.union(runs.where("sure").select("row", "low", "high")))
+    compared = second.keep(compared.select("row", "low", "high", "anchor", "alone"))
+    first.clear()
     lists = compared.groupBy("row").agg(F.collect_list(F.struct("low", "high", "alone", "anchor")).alias("parts"))
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +262,7 @@ def byte_dedup(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text_c
     named = named.select("row", F.col("_text").cast("binary").alias("_text"))
     asked = named.join(lists, "row")
     suffixes = asked.select("row", "_text", "parts").mapInArrow(stretches, STRETCH)
-    again = recurring(suffixes, compared.count(), width).groupBy("row").agg(
+    again = recurring(suffixes, compared.count(), width, second).groupBy("row").agg(
         F.collect_list(F.struct("low", "high", "alone")).alias("parts")
     )
 
@@ -288,9 +290,10 @@ def byte_dedup(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text_c
 
     asked_again = named.join(again, "row").select("row", "_text", "parts")
     single = repeats.equal_windows(
-        asked_again.mapInArrow(windows, "w1 long, w2 long, row long, at int, alone boolean")
+        asked_again.mapInArrow(windows, "w1 long, w2 long, row long, at int, alone boolean"), second
     )
     cuts = materialised(repeats.collected(whole.union(single)))
+    second.clear()
     source = docs.select(
         repeats.name_of(id_col, text_col).alias("row"),
         F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("_text"),
