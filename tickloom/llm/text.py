@@ -109,7 +109,11 @@ class Prints:
         self.running = []
         for lane, half in zip(self.lanes, (values & PRIME, values >> np.uint64(33)), strict=True):
             running = np.zeros(n + 1, np.uint64)
-            np.cumsum(modulo(half * prime_powers(n, lane)), out=running[1:])
+            half *= prime_powers(n, lane)
+            high = half >> np.uint64(31)
+            half &= PRIME
+            half += high  # below 2**32: sums of 2**30 of them stay below 2**62
+            np.cumsum(half, out=running[1:])
             self.running.append(running)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
