@@ -34,6 +34,20 @@ def test_words_and_shingles_match_python():
     assert np.diff(place).tolist() == [1, 0, 1, 2, 1]
 
 
+def test_word_codes_tell_lengths_places_and_zero_bytes_apart():
+    words = ["a" * n for n in range(1, 40)] + ["a\0", "a\0\0", "\0", "a" * 8 + "\0", "a" * 16 + "\0"]
+    words += ["abcdefgh" + "12345678", "12345678" + "abcdefgh", "x" * 24 + "y" * 8, "y" * 8 + "x" * 24]
+    words += ["z" * k + "q" + "z" * (30 - k) for k in range(31)]
+    for rows in (words, [" ".join(words)]):
+        t = whole(rows)
+        for which in (0, 1):
+            codes = text.word_codes(t.data, text.split(t, text.WHITE), which)
+            assert len(codes) == len(words) == len(set(codes.tolist()))
+    alone = [text.word_codes(t.data, text.split(t, text.WHITE))[0] for t in map(whole, ([w] for w in words))]
+    t = whole([" ".join(words)])
+    assert alone == text.word_codes(t.data, text.split(t, text.WHITE)).tolist()
+
+
 def test_slices_cut_between_rows():
     column = pa.array(["abc", None, "d" * 50, "", "e"])
     parts = list(text.slices(column, limit=10))
