@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import BP, US, bp_change, ratio, rolling
 from tickloom.operators.asof import asof_join, entry_exit
 from tickloom.operators.chunks import BOOK, Layout, chunked, numbered, own
+from tickloom.operators.ranges import Arrays, first_beyond, in_chunks
 
 KEYS = ("symbol", "us", "seq")
 
@@ -133,28 +135,28 @@ def triple_barrier(
 ) -> DataFrame:
     """+1 / -1 for the barrier touched first within ``horizon`` rows, 0 for the clock.
 
-    A tie resolves upward. Rows without ``horizon`` rows after them are missing.
+    A tie resolves upward. Rows without ``horizon`` known mids after them, or without a positive mid
+    of their own, are missing. First touches come from range extremes, so a chunk takes
+    ``log(horizon)`` numbers a row, not a path.
     """
-    cut, w = _cut(book, 0, horizon, layout, spine)
-    staged = cut.select(
-        *KEYS,
-        "_chunk",
-        "_own",
-        "mid",
-        F.collect_list("mid").over(w.rowsBetween(1, horizon)).alias("_path"),
-    )
-    moves = F.transform("_path", lambda m: (m / F.col("mid") - 1) * BP)
-    first_up = F.array_position(F.transform(moves, lambda m: m >= up_bp), F.lit(True))
-    first_down = F.array_position(F.transform(moves, lambda m: m <= -down_bp), F.lit(True))
-    never = F.lit(horizon + 1).cast("long")
-    up = F.when(first_up > 0, first_up).otherwise(never)
-    down = F.when(first_down > 0, first_down).otherwise(never)
-    label = F.when((up == never) & (down == never), 0).when(up <= down, 1).otherwise(-1)
-    return own(
-        staged.select(
-            *KEYS, "_chunk", "_own", F.when(F.size("_path") == horizon, label).alias("label")
-        )
-    )
+    cut, _ = _cut(book, 0, horizon, layout, spine)
+
+    def touched(arrays: Arrays) -> Arrays:
+        mid = arrays["mid"]
+        unknown = np.concatenate([[0], np.cumsum(np.isnan(mid))])
+        rows = np.flatnonzero(mid[: max(len(mid) - horizon, 0)] > 0)
+        low, high = rows + 1, rows + 1 + horizon
+        whole = unknown[high] == unknown[low]
+        rows, low, high = rows[whole], low[whole], high[whole]
+        start = mid[rows]
+        up = first_beyond(mid, np.maximum, low, high, lambda m, i: (m / start[i] - 1) * BP >= up_bp)
+        down = first_beyond(mid, np.minimum, low, high, lambda m, i: (m / start[i] - 1) * BP <= -down_bp)
+        label = np.full(len(mid), np.nan)
+        label[rows] = np.where((up == high) & (down == high), 0, np.where(up <= down, 1, -1))
+        return {"label": label}
+
+    found = in_chunks(cut, layout, KEYS, ["mid"], ["label"], touched)
+    return found.withColumn("label", F.col("label").cast("int"))
 
 
 def forward_between_snapshots(

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.columns import BP, clip, corr, ln, median, quantile, ratio, rolling
+from tickloom.functions.columns import BP, clip, corr, ln, ratio, rolling
 from tickloom.operators.asof import asof_join
 from tickloom.operators.chunks import BARS, BOOK, Layout, chunked, own
+from tickloom.operators.ranges import Arrays, Ranked, in_chunks, trailing
 
 IQR = 1.349  # fixed value: a normal's interquartile range in standard deviations
 
@@ -113,16 +116,14 @@ def cross_features(
     return per_symbol.select("symbol", "us", *out)
 
 
-def trailing_z(value: Column, w, window: int) -> Column:
+def trailing_z(value: np.ndarray, window: int) -> np.ndarray:
     """Robust z-score against the rows before this one."""
-    frame = w.rowsBetween(-window, -1)
+    ranked, (low, high) = Ranked(value), trailing(len(value), window, False)
     least = min(window, max(3, window // 4))
-    enough = F.count(value).over(frame) >= least
-    centre = F.percentile(value, F.lit(0.5)).over(frame)
-    high = F.percentile(value, F.lit(0.75)).over(frame)
-    low = F.percentile(value, F.lit(0.25)).over(frame)
-    spread = (high - low) / IQR
-    return F.when(enough & (spread > 0), (value - centre) / spread)
+    first, centre, third = (ranked.quantile(low, high, q, least) for q in (0.25, 0.5, 0.75))
+    spread = (third - first) / IQR
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(spread > 0, (value - centre) / spread, np.nan)
 
 
 RATIOS: Mapping[str, str] = {
@@ -162,27 +163,39 @@ def positioning_features(
         )
     cut = chunked(staged, layout, rows_back=max(*windows, funding_window) + 1)
     w = layout.window()
-    out: list[Column] = []
+    plain: list[Column] = []
+    scores: dict[str, tuple[str, int]] = {}
+    order: list[str] = []
+
+    def scored(name: str, stem: str, spans: Sequence[int]) -> None:
+        for n in spans:
+            order.append(f"{stem}_z{n}")
+            scores[f"{stem}_z{n}"] = (name, n)
+
     if base:
         oi = F.col("log_open_interest")
-        out.append(oi)
+        order.append("log_open_interest")
         for n in windows:
-            out += [
-                (oi - F.lag(oi, n).over(w)).alias(f"open_interest_change_{n}"),
-                trailing_z(oi, w, n).alias(f"open_interest_z{n}"),
-            ]
+            plain.append((oi - F.lag(oi, n).over(w)).alias(f"open_interest_change_{n}"))
+            order.append(f"open_interest_change_{n}")
+            scored("log_open_interest", "open_interest", [n])
     for n_ in ratios:
-        logged = F.col(f"log_{n_}_ratio")
-        out.append(logged)
-        out += [trailing_z(logged, w, n).alias(f"{n_}_ratio_z{n}") for n in windows]
+        order.append(f"log_{n_}_ratio")
+        scored(f"log_{n_}_ratio", f"{n_}_ratio", windows)
     if "crowd_minus_size" in staged.columns:
-        gap = F.col("crowd_minus_size")
-        out.append(gap)
-        out += [trailing_z(gap, w, n).alias(f"crowd_minus_size_z{n}") for n in windows]
+        order.append("crowd_minus_size")
+        scored("crowd_minus_size", "crowd_minus_size", windows)
     if funding is not None:
-        paid = F.col("funding_bp")
-        out += [paid, trailing_z(paid, w, funding_window).alias(f"funding_bp_z{funding_window}")]
-    return own(cut.select("symbol", "us", "_chunk", "_own", *out))
+        order.append("funding_bp")
+        scored("funding_bp", "funding_bp", [funding_window])
+    read = list(dict.fromkeys(name for name, _ in scores.values()))
+
+    def z(arrays: Arrays) -> Arrays:
+        return {name: trailing_z(arrays[c], n) for name, (c, n) in scores.items()}
+
+    kept = ["symbol", "us", *[c for c in order if c not in scores]]
+    found = in_chunks(cut.select("*", *plain), layout, kept, read, list(scores), z)
+    return found.select("symbol", "us", *order)
 
 
 def normalised(
@@ -205,26 +218,25 @@ def normalised(
     """
     need = window // 4 if least is None else least
     cut = chunked(rows.select(*keep, *columns), layout, rows_back=2 * window + 2, spine=spine)
-    w = layout.window()
-    before = w.rowsBetween(-window, -1)
-
-    def past(fn: Callable[[Column], Column], x: Column) -> Column:
-        return F.when(F.count(x).over(before) >= need, fn(x).over(before))
-
-    def scale_of(x: Column) -> Column:
-        if method == "robust":
-            return (past(quantile(0.75), x) - past(quantile(0.25), x)) / IQR
-        return past(F.stddev_samp, x)
-
-    centre = median if method == "robust" else F.avg
-    staged = cut.select(
-        "*",
-        *[past(centre, F.col(c)).alias(f"_m_{c}") for c in columns],
-        *[scale_of(F.col(c)).alias(f"_s_{c}") for c in columns],
-    ).select("*", *[F.abs(F.col(c) - F.col(f"_m_{c}")).alias(f"_d_{c}") for c in columns])
-    widened = staged.select(
-        "*", *[(past(F.avg, F.col(f"_d_{c}")) * 1.4826).alias(f"_f_{c}") for c in columns]
-    )
+    made = [f"_{kind}_{c}" for c in columns for kind in "msf"]
+
+    def past(arrays: Arrays) -> Arrays:
+        out: dict[str, np.ndarray] = {}
+        for c in columns:
+            x = arrays[c]
+            if method == "robust":
+                ranked, (low, high) = Ranked(x), trailing(len(x), window, False)
+                first, m, third = (ranked.quantile(low, high, q, need) for q in (0.25, 0.5, 0.75))
+                s = (third - first) / IQR
+            else:
+                before = pd.Series(x).shift(1).rolling(window, min_periods=need)
+                m, s = before.mean().to_numpy(), before.std().to_numpy()
+            away = pd.Series(np.abs(x - m)).shift(1).rolling(window, min_periods=need).mean()
+            out |= {f"_m_{c}": m, f"_s_{c}": s, f"_f_{c}": away.to_numpy() * 1.4826}
+        return out
+
+    kept = list(dict.fromkeys([*keep, *columns]))
+    widened = in_chunks(cut, layout, kept, columns, made, past)
     if floors is not None:
         least_scale = floors.select(*[F.col(c).alias(f"_least_{c}") for c in columns])
         widened = widened.join(F.broadcast(least_scale))  # one row
@@ -238,7 +250,7 @@ def normalised(
         filled = F.when(m.isNotNull(), F.coalesce(scaled, F.lit(0.0)))
         return clip(filled, -limit, limit).alias(c)
 
-    return own(widened.select(*keep, "_chunk", "_own", *[value(c) for c in columns]))
+    return widened.select(*keep, *[value(c) for c in columns])
 
 
 def scale_floors(
@@ -259,16 +271,14 @@ def scale_floors(
 
     need = window // 4 if least is None else least
     cut = chunked(rows, layout, rows_back=window, spine=spine)
-    w = layout.window()
 
-    def scale(c: str) -> Column:
+    def scale(x: np.ndarray) -> np.ndarray:
         if method == "robust":
-            high = rolling(quantile(0.75), c, w, window, need)
-            low = rolling(quantile(0.25), c, w, window, need)
-            return (high - low) / IQR
-        return rolling(F.stddev_samp, c, w, window, need)
+            ranked, (low, high) = Ranked(x), trailing(len(x), window, True)
+            return (ranked.quantile(low, high, 0.75, need) - ranked.quantile(low, high, 0.25, need)) / IQR
+        return pd.Series(x).rolling(window, min_periods=need).std().to_numpy()
 
-    scales = own(cut.select("_chunk", "_own", *[scale(c).alias(c) for c in columns]))
+    scales = in_chunks(cut, layout, [], columns, columns, lambda arrays: {c: scale(arrays[c]) for c in columns})
     out: DataFrame | None = None
     for c in columns:
         low = quantile_by(scales, [], c, q, "_low")
