@@ -53,7 +53,7 @@ def test_barriers_with_unknown_mids_and_short_series_match_a_walk(spark):
         for k, m in enumerate(mid.tolist()):
             rows.append((symbol, k * 400_000_000, k, None if k in (33, 400) else m, m))
     book = spark.createDataFrame(rows, "symbol string, us long, seq long, bid_price_0 double, ask_price_0 double")
-    horizon, bar = 150, 12.0
+    horizon, bar = 150, 35.0
     want = {}
     for symbol in "ABC":
         mids = [None if b is None else (b + a) / 2 for s, _, _, b, a in rows if s == symbol]

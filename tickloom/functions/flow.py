@@ -424,7 +424,8 @@ def base_quantities(book: DataFrame) -> DataFrame:
     bid, ask = F.col("bid_price_0"), F.col("ask_price_0")
     bs, az = F.col("bid_size_0"), F.col("ask_size_0")
     mid, total = (bid + ask) / 2, bs + az
-    micro = ratio(bid * az + ask * bs, total)
+    # the size-weighted price less mid: exactly 0 where sizes agree or the spread is none
+    lean = (ask - bid) * (bs - az)
     return book.select(
         *KEYS,
         mid.alias("mid"),
@@ -435,7 +436,7 @@ def base_quantities(book: DataFrame) -> DataFrame:
         F.log1p(az).alias("log_ask_size"),
         F.log1p(total).alias("log_total_size"),
         ln(ratio(bs, az)).alias("log_size_ratio"),
-        (ratio(micro - mid, mid) * BP).alias("microprice_dev_bp"),
+        (ratio(lean, mid * total * 2) * BP).alias("microprice_dev_bp"),
     )
 
 

@@ -348,7 +348,10 @@ def t15(fx: Fixtures) -> DataFrame:
     return flow.base_quantities(fx.book)
 
 
-LEVELS, DIFFS, WINDOWS, LAGS = ("spread_bp", "queue_imbalance"), ("log_mid", "log_bid_size"), (5, 50), (1, 20)
+LEVELS, DIFFS = ("spread_bp", "queue_imbalance", "microprice_dev_bp"), (
+    "log_mid", "log_bid_size", "log_ask_size", "log_total_size"
+)
+WINDOWS, LAGS = (5, 10, 20, 50, 100, 200, 500, 1000), (1, 5, 20, 50)
 
 
 def expand_sql() -> tuple[str, list[str]]:

@@ -209,7 +209,7 @@ def r9(fx: Fixtures) -> DataFrame:
 def r10(fx: Fixtures) -> DataFrame:
     _, fits = scored_windows(fx)
     scored = portfolio.null_p(fits, portfolio.null_statistics(fx.spark, 400, 240))
-    picked = portfolio.weekly_choice(scored, 3, 1.0).select("window", "a", "b", "slot", "p_value")
+    picked = portfolio.weekly_choice(scored, 3, 0.05).select("window", "a", "b", "slot", "p_value")
     drawn = portfolio.random_choice(scored, picked, 7)
     return picked.select("window", "a", "b", F.lit("picked").alias("kind")).unionByName(
         drawn.select("window", "a", "b", F.lit("drawn").alias("kind"))
