@@ -14,7 +14,8 @@ from tickloom.session import local_session
 HEADLINE = (
     "s19_touch_from_prints g2_filled_grid g11_bars_from_prints g13_book_from_deltas "
     "j1_asof_tolerance j3_forward_bucket f9_ofi_20_norm f21_depth_set t2_rolling_trade_stats "
-    "t16_generated_expansion t17_exponential_mean l10_triple_barrier l11_walked_taker_label "
+    "t16_generated_expansion t17_exponential_mean t22_rolling_normaliser l10_triple_barrier "
+    "l11_walked_taker_label "
     "x1_thinned_trades x5_hold_table x16_print_fills q9_time_gaps e1_cluster_significance "
     "e7_pbo_splits e25_marginals r4_rank_pairs r15_carry_replay v2_purged_folds b3_kill_switch"
 ).split()
