@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import flow, labels
 from tickloom.functions.book import FEATURES, build_features
-from tickloom.functions.panel import normalised
+from tickloom.functions.panel import normalised, positioning_features
 from tickloom.operators.asof import asof_join
-from tickloom.operators.chunks import BOOK, Layout, chunk_map, last_known, running
+from tickloom.operators.chunks import BARS, BOOK, Layout, chunk_map, last_known, running
 from tickloom.operators import quantiles
 from tickloom.operators.quantiles import quantile_by
 
@@ -77,6 +77,15 @@ def test_normaliser_does_not_depend_on_chunks(fx):
     )
 
 
+def test_positioning_does_not_depend_on_chunks(fx):
+    metrics = fx.bars.select("symbol", "us", F.col("volume").alias("sum_open_interest"))
+    small = replace(BARS, bucket_s=7_200.0, chunk_rows=17)
+    same(
+        frame(positioning_features(metrics, windows=(12,)), ("symbol", "us")),
+        frame(positioning_features(metrics, windows=(12,), layout=small), ("symbol", "us")),
+    )
+
+
 def test_a_busy_instrument_is_spread_over_many_chunks(spark):
     """One key holding nearly every row is cut into even pieces."""
     rows = spark.range(20_000).select(
