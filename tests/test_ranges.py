@@ -1,11 +1,13 @@
+import time
 from dataclasses import replace
 
 import numpy as np
 import pytest
 
+from tickloom.functions import flow
 from tickloom.functions.labels import triple_barrier
 from tickloom.operators.chunks import BOOK
-from tickloom.operators.ranges import Ranked, first_beyond, trailing
+from tickloom.operators.ranges import Blocks, Ranked, first_beyond, merged, trailing, within
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 17, 300])
@@ -70,3 +72,47 @@ def test_barriers_with_unknown_mids_and_short_series_match_a_walk(spark):
         got = {(r.symbol, r.seq): r.label for r in triple_barrier(book, horizon, bar, bar, layout=layout).collect()}
         assert got == want
     assert {-1, 0, 1, None} <= set(want.values())
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 64, 301])
+def test_blocks_add_up_to_what_a_range_holds(n):
+    rng = np.random.default_rng(n)
+    values = 1e9 + np.round(rng.normal(size=n), 1) * (rng.random(n) < 0.7)
+    us = np.sort(rng.integers(0, n, n))
+    low, high = within(us, -n // 4, 0)
+    there = np.ones(n)
+    count, mean, square = Blocks((there, values, np.zeros(n)), merged).of(low, high)
+    (total,) = Blocks((values,)).of(low, high)
+    for i in range(n):
+        own = values[(us >= us[i] - n // 4 - (n % 4 > 0)) & (us <= us[i])]
+        assert count[i] == len(own) and total[i] == pytest.approx(own.sum(), rel=1e-15)
+        assert mean[i] == pytest.approx(own.mean(), rel=1e-15)
+        assert square[i] == pytest.approx(((own - own.mean()) ** 2).sum(), rel=1e-6, abs=1e-9)
+        assert square[i] == 0 or len(set(own)) > 1
+
+
+def busy(spark, n):
+    """A series of n rows, four a second, as book rows and prints."""
+    rows = spark.range(n).selectExpr(
+        "'A' AS symbol", "id * 250000 AS us", "id AS seq", "id AS trade_id",
+        "100.0 + id % 7 AS bid_price_0", "100.0 + id % 7 AS ask_price_0", "IF(id % 5 < 3, 1, -1) AS aggressor",
+        "100.0 + id % 7 AS price", "1.0 AS quantity", "1.0 AS size", "id % 3 = 0 AS is_buyer_maker",
+    )
+    return rows.coalesce(1)
+
+
+def test_spans_of_many_rows_are_not_walked_for_every_row(spark):
+    """120,000 rows whose spans hold all of them: minutes where each row walks its frame."""
+    n = 120_000
+    rows = busy(spark, n)
+    span = n
+    started = time.monotonic()
+    got = flow.turn_counts(rows, (span,)).agg({f"turn_count_{span}s": "max"}).first()[0]
+    step = np.sign(np.diff(np.arange(n) % 7))
+    assert got == (step[1:] == -step[:-1]).sum()
+    assert flow.run_lengths(rows, rows, span).agg({"trade_run_length": "max"}).first()[0] == 3
+    stats = flow.rolling_trade_stats(rows, (span,)).orderBy("us").tail(1)[0]
+    assert stats[f"trade_count_{span}s"] == n
+    assert stats[f"trade_price_std_{span}s"] == pytest.approx(np.std(100.0 + np.arange(n) % 7, ddof=1))
+    assert flow.log_change_std(rows, span).filter("sigma >= 0").count() == n - 2
+    assert time.monotonic() - started < 90
