@@ -12,6 +12,7 @@ from tickloom.functions.costs import TakerCosts
 from tickloom.operators.asof import asof_join
 from tickloom.operators.chunks import BOOK, Layout, chunked, own
 from tickloom.operators.quantiles import quantile_by
+from tickloom.operators.ranges import array_layout, stamped
 
 
 def mids_of(book: DataFrame) -> DataFrame:
@@ -127,16 +128,15 @@ def room(
         F.col("size").alias("w"),
         (F.col("size") * F.col("markout_bp")).alias("wm"),
     )
-    lay = Layout(key=("symbol", "_day"), order=layout.order)
+    lay = array_layout(Layout(key=("symbol", "_day"), order=layout.order))
     cut = chunked(a.unionByName(b), lay, secs_back=window_s)
     # Known at us + horizon, gone at us + window: on shifted stamps a span of window - horizon.
-    over = lay.time_window().rangeBetween(-(round(window_s * US) - shift) + 1, 0)
-    count, volume = F.count("w").over(over), F.sum("w").over(over)
+    span = (shift + 1 - round(window_s * US), 0)
+    stats = {"_n": ("count", "w", *span), "_w": ("sum", "w", *span), "_wm": ("sum", "wm", *span)}
+    summed = stamped(cut, lay, ["symbol", "us", "seq", "_day", "_tag"], stats).filter("_tag = 1")
     since = F.col("us") - F.col("_day") * (86_400 * US)
-    ok = (count >= least) & (volume > 0) & (since >= round(window_s * US))
-    value = F.when(ok, F.sum("wm").over(over) / volume)
-    kept = cut.select("symbol", "us", "seq", "_tag", "_chunk", "_own", value.alias("room_bp"))
-    return own(kept.filter("_tag = 1").drop("_tag"))
+    ok = (F.col("_n") >= least) & (F.col("_w") > 0) & (since >= round(window_s * US))
+    return summed.select("symbol", "us", "seq", F.when(ok, F.col("_wm") / F.col("_w")).alias("room_bp"))
 
 
 def hourly(prints_markouts: DataFrame) -> DataFrame:
