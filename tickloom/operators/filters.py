@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.columns import BP, US, ln, ratio, trailing_frame
+from tickloom.functions.columns import BP, US, ln, ratio
 from tickloom.operators.asof import asof_join
-from tickloom.operators.chunks import BOOK, Layout, chunked, own
+from tickloom.operators.chunks import BOOK, Layout, chunked
 from tickloom.operators.quantiles import quantile_by
+from tickloom.operators.ranges import array_layout, stamped
 
 
 def gate_inputs(
@@ -24,23 +25,21 @@ def gate_inputs(
     """
     mid = (F.col("bid_price_0") + F.col("ask_price_0")) / 2
     rows = book.select("symbol", "us", "seq", "bid_price_0", "ask_price_0", mid.alias("mid"))
+    layout = array_layout(layout)
     # The change ending at a row needs the row before it, so look one row further back too.
     cut = chunked(rows, layout, rows_back=1, secs_back=window_s, spine=spine)
     change = ln(ratio("mid", F.lag("mid").over(layout.window())))
     staged = cut.withColumn("_sq", change * change)
-    total = F.sum("_sq").over(trailing_frame(layout.time_window(), window_s))
+    keep = ["symbol", "us", "seq", "bid_price_0", "ask_price_0", "mid", "_sq"]
+    summed = stamped(staged, layout, keep, {"_total": ("sum", "_sq", 1 - round(window_s * US), 0)})
     first = F.col("_sq").isNull()
     spread = (F.col("ask_price_0") - F.col("bid_price_0")) / F.col("mid") * BP
-    return own(
-        staged.select(
-            "symbol",
-            "us",
-            "seq",
-            "_chunk",
-            "_own",
-            F.when(~first, F.sqrt(F.coalesce(total, F.lit(0.0))) * BP).alias("volatility_bp"),
-            spread.alias("spread_bp"),
-        )
+    return summed.select(
+        "symbol",
+        "us",
+        "seq",
+        F.when(~first, F.sqrt(F.coalesce("_total", F.lit(0.0))) * BP).alias("volatility_bp"),
+        spread.alias("spread_bp"),
     )
 
 
