@@ -77,6 +77,15 @@ def test_normaliser_does_not_depend_on_chunks(fx):
     )
 
 
+def test_a_floor_holds_where_no_scale_is_known(spark):
+    """Equal values have no spread, and too few deviations for the stand-in."""
+    rows = [("s", k, k, 5.0) for k in range(10)] + [("s", 10, 10, 3.0)]
+    book = spark.createDataFrame(rows, "symbol string, us long, seq long, x double")
+    floors = spark.createDataFrame([(4.0,)], "x double")
+    got = frame(normalised(book, ["x"], window=40, least=10, floors=floors))["x"]
+    assert list(got[:10].isna()) == [True] * 10 and got[10] == -0.5
+
+
 def test_positioning_does_not_depend_on_chunks(fx):
     metrics = fx.bars.select("symbol", "us", F.col("volume").alias("sum_open_interest"))
     small = replace(BARS, bucket_s=7_200.0, chunk_rows=17)

@@ -245,7 +245,7 @@ def normalised(
         x, m, s = F.col(c), F.col(f"_m_{c}"), F.col(f"_s_{c}")
         usable = F.when(s > 0, s).otherwise(F.col(f"_f_{c}"))
         if floors is not None:
-            usable = F.when(usable.isNotNull(), F.greatest(usable, F.col(f"_least_{c}")))
+            usable = F.greatest(usable, F.col(f"_least_{c}"))  # the floor also where no scale is known
         scaled = F.when(usable > 0, (x - m) / usable)
         filled = F.when(m.isNotNull(), F.coalesce(scaled, F.lit(0.0)))
         return clip(filled, -limit, limit).alias(c)
