@@ -143,6 +143,8 @@ def test_a_snapshot_inside_a_bin_adds_no_row(spark):
     )
     got = rebuild.rebuild(log, 2).orderBy("us").collect()
     assert [(r.us, r.seq, r.bid_size_0) for r in got] == [(0, 1, 1.0), (130_000, 4, 7.0)]
+    every = rebuild.rebuild(log, 2, grid_us=None).orderBy("us").collect()
+    assert [(r.us, r.seq, r.bid_size_0) for r in every] == [(0, 1, 1.0), (30_000, 2, 5.0), (60_000, 3, 1.0), (130_000, 4, 7.0)]
 
 
 def test_restarts_match_a_loop(spark):

@@ -67,9 +67,10 @@ def sequence_gaps(messages: DataFrame) -> DataFrame:
 
 
 def rebuild(
-    messages: DataFrame, depth: int, *, grid_us: int = 100_000, bucket_s: float = 600.0, chunk_rows: int = 1 << 18
+    messages: DataFrame, depth: int, *, grid_us: int | None = 100_000, bucket_s: float = 600.0, chunk_rows: int = 1 << 18
 ) -> DataFrame:
-    """Top ``depth`` levels at the first complete message of every grid bin.
+    """Top ``depth`` levels at the first complete message of every grid bin, or without a grid at every
+    complete message.
 
     A snapshot opens an epoch. An epoch is cut into chunks of time, and each chunk is handed the
     levels standing at its start, found from the last change of every level in earlier chunks; so a
@@ -118,7 +119,7 @@ def rebuild(
         for low, high in zip(starts, [*starts[1:], len(recv)], strict=True):
             for bid, p, q in zip(side[low:high], price[low:high], size[low:high], strict=True):
                 (bids if bid else asks).put(p, q)
-            place = us[low] // grid_us
+            place = us[low] // grid_us if grid_us else len(out)
             if place != used and bids.ranks and asks.ranks:
                 used = place
                 levels = flat_levels(bids, asks, depth)
@@ -130,6 +131,8 @@ def rebuild(
     schema = "symbol string, bin long, us long, recv long, seq long, whole boolean, "
     schema += ", ".join(f"{n} double" for n in names)
     found = changes.unionByName(carried).groupBy(*key, "chunk").applyInPandas(replay, schema)
+    if not grid_us:
+        return found.filter("whole").select("symbol", "us", "seq", *names)
     # a bin that a snapshot or a chunk divides has a candidate on either side: the first counts
     row = F.struct("us", "recv", "seq", "whole", *names)
     first = found.groupBy("symbol", "bin").agg(F.min_by(row, F.struct("us", "recv")).alias("r"))
