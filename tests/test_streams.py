@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from tickloom.session import checkpoint_dir
-from tickloom.streaming import flows, timed
+from tickloom.sources.messages import level_changes
+from tickloom.streaming import flows, stateful, timed
 
 S = 1_000_000
 
@@ -45,3 +46,12 @@ def test_a_feed_that_stops_is_reported_by_timer(spark):
     out = flows.drained(timed.silent(stream, 100, "10 seconds"), typed=True)
     got = sorted((r["symbol"], r["from_us"] // S, None if r["to_us"] is None else r["to_us"] // S) for r in out.collect())
     assert got == [("s", 50, 200), ("t", 10, None)]
+
+
+def test_without_a_grid_every_message_leaves_a_row(spark):
+    two = [["10", "1"], ["9", "1"]], [["11", "1"], ["12", "1"]]
+    rows = [("s", 0, 0, 1, "snapshot", *two), ("s", 30_000, 1, 2, "delta", [["10", "5"]], []), ("s", 30_000, 2, 3, "delta", [["9", "2"]], [])]
+    schema = "symbol string, us long, recv long, update_id long, kind string, b array<array<string>>, a array<array<string>>"
+    out = flows.drained(stateful.book_state(level_changes(fed(spark, schema, [rows])), 2, grid_us=None))
+    got = [(r["us"], r["seq"], r["bid_size_0"], r["bid_size_1"]) for r in out.orderBy("seq").collect()]
+    assert got == [(0, 1, 1.0, 1.0), (30_000, 2, 5.0, 1.0), (30_000, 3, 5.0, 2.0)]

@@ -37,8 +37,9 @@ def stateful(stream: DataFrame, step: Step, columns: list[str], schema: str, ord
     )
 
 
-def book_state(changes: DataFrame, depth: int, grid_us: int = 100_000) -> DataFrame:
-    """Book rows from level changes, at most one per grid bin, with sequence breaks marked.
+def book_state(changes: DataFrame, depth: int, grid_us: int | None = 100_000) -> DataFrame:
+    """Book rows from level changes, at most one per grid bin (without a grid one per message), with
+    sequence breaks marked.
 
     ``changes`` are level changes with ``kind, us, recv, update_id, side, price, size``.
     """
@@ -54,9 +55,9 @@ def book_state(changes: DataFrame, depth: int, grid_us: int = 100_000) -> DataFr
             for side, price, size in zip(part["side"], part["price"], part["size"], strict=True):
                 (bids if side == "b" else asks).put(price, size)
             saved["last"] = int(update)
-            if not (bids.ranks and asks.ranks) or us // grid_us == saved["bin"]:
+            if not (bids.ranks and asks.ranks) or (grid_us and us // grid_us == saved["bin"]):
                 continue
-            saved["bin"] = int(us // grid_us)
+            saved["bin"] = int(us // grid_us) if grid_us else None
             levels = flat_levels(bids, asks, depth)
             if levels is not None:
                 out.append((us, update, bool(gap), *levels))
