@@ -7,12 +7,14 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm.brute_trie import brute_trie
 from tickloom.llm import collocations, personal, prefixtrie
+from tickloom.llm.text import slices
 
 FORMS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -132,6 +134,19 @@ def test_collocations_are_those_of_plain_counts(spark, shards):
     assert sorted(tuple(r[c] for c in names) for r in got.collect()) == sorted(plain_collocations(rows, 10, 30))
 
 
+def test_phrases_whose_slots_are_taken_early_are_counted_for_a_whole_cycle():
+    """Words become active at step 2; other phrases have taken the slots of their pairs at step 1."""
+    (texts,) = slices(pa.array(["p q r"]))
+    shown = collocations.Slice(texts.data, texts, np.zeros(1, np.int64), pa.array(["en"], pa.large_string()))
+    steps = tuple(np.full(1 << 8, at, np.uint8) for at in (2, 1))
+    seen = {2: [], 3: []}
+    for step in range(8):
+        for size, began, _, _ in collocations.counted(shown, step, 4, steps):
+            seen.get(size, []).append((step, *began))
+    assert [s for s, *_ in seen[3]] == [2, 3, 4, 5] and {b for _, b in seen[3]} == {2}
+    assert sorted({s for s, *_ in seen[2]}) == [2, 3, 4, 5]
+
+
 def test_collocations_of_an_empty_table(spark):
     df = spark.createDataFrame([], "lang string, text string")
     assert collocations.collocations(df, shards=2).count() == 0

@@ -124,7 +124,8 @@ def counted(shown: Slice, step: int, shards: int, steps: Steps) -> Iterator[tupl
         return
     second = np.full(len(shown.unit), NEVER, np.int64)
     pair = joined(shown.value[shown.unit[known]], shown.value[shown.unit[known + 1]])
-    second[known] = start_of(pair, steps[1])
+    # slots may name a pair before its words are active, when no step counts what holds it
+    second[known] = np.maximum(start_of(pair, steps[1]), began[began <= step])
     at = known[:-1][known[1:] == known[:-1] + 1]
     began = np.maximum(second[at], second[at + 1])
     here = (began <= step) & (step < began + shards)
