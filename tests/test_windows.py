@@ -165,6 +165,18 @@ def test_exact_quantiles(spark, monkeypatch, n_slices):
         assert got == pytest.approx(want.to_dict(), abs=1e-12)
 
 
+def test_quantiles_put_no_key_into_one_task(spark):
+    values = spark.range(1000).selectExpr("id % 2 AS k", "id * 0.5 AS _v")
+    counts = quantiles.counted(values, ["k"]).selectExpr("k", "_v", "_c", "499L AS _low", "500L AS _high")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = quantiles.at_ranks(counts, ["k"])._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan
+
+
 def test_long_rolling_moments_match_pandas(spark):
     """Running sums give pandas' rolling values, and exactly zero where nothing moved."""
     rng = np.random.default_rng(21)

@@ -1,5 +1,8 @@
 """Exact order statistics of large groups without holding a group, or sorting it, in one task.
 
+What a key comes to (its range, its total, the slice chosen) is one line a key and broadcast: a join by
+the key would put all values of a key into one task.
+
 Equal values are counted first. The value range of each key is then cut into slices of equal width;
 the counts of the slices, a few thousand a key, show which slice holds a wanted rank, and only its
 values go on. After ``ROUNDS`` rounds a slice is some ten-millionth of the range, and what is left
@@ -24,7 +27,7 @@ def narrowed(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     bounds = counts.groupBy(*by).agg(F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     width = F.col("_max") - F.col("_min")
     slice_ = F.when((width > 0) & (width < float("inf")), F.width_bucket("_v", "_min", "_max", F.lit(SLICES)))
-    placed = counts.join(bounds, list(by)).withColumn("_s", F.coalesce(slice_, F.lit(1)))
+    placed = counts.join(F.broadcast(bounds), list(by)).withColumn("_s", F.coalesce(slice_, F.lit(1)))
     run = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
     slices = (
         placed.groupBy(*by, "_s")
@@ -42,7 +45,7 @@ def narrowed(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     chosen = slices.filter(holds[0] | holds[1]).groupBy(*by).agg(
         F.min("_a").alias("_from"), F.max("_z").alias("_to"), F.min("_start").alias("_below")
     )
-    kept = counts.join(chosen, list(by)).filter(F.col("_v").between(F.col("_from"), F.col("_to")))
+    kept = counts.join(F.broadcast(chosen), list(by)).filter(F.col("_v").between(F.col("_from"), F.col("_to")))
     ranks = [(F.col(r) - F.col("_below")).alias(r) for r in ("_low", "_high")]
     return kept.select(*by, "_v", "_c", *ranks)
 
@@ -67,7 +70,7 @@ def at_ranks(counts: DataFrame, by: Sequence[str]) -> DataFrame:
 def counted(values: DataFrame, by: Sequence[str]) -> DataFrame:
     """Distinct values ``_v`` per key with their numbers ``_c`` and the key's total ``_n``."""
     found = values.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    return found.join(found.groupBy(*by).agg(F.sum("_c").alias("_n")), list(by))
+    return found.join(F.broadcast(found.groupBy(*by).agg(F.sum("_c").alias("_n"))), list(by))
 
 
 def quantile_by(df: DataFrame, keys: Sequence[str], value: Column | str, q: float, name: str) -> DataFrame:
