@@ -1,13 +1,22 @@
+import os
+import re
 import time
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tickloom.functions import flow
 from tickloom.functions.labels import triple_barrier
+from tickloom.operators import ranges
 from tickloom.operators.chunks import BOOK
 from tickloom.operators.ranges import Blocks, Ranked, first_beyond, merged, trailing, within
+from tickloom.plans import catalog
+from tickloom.plans.registry import QUERIES, runner
+
+catalog.load()
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 17, 300])
@@ -116,3 +125,25 @@ def test_spans_of_many_rows_are_not_walked_for_every_row(spark):
     assert stats[f"trade_price_std_{span}s"] == pytest.approx(np.std(100.0 + np.arange(n) % 7, ddof=1))
     assert flow.log_change_std(rows, span).filter("sigma >= 0").count() == n - 2
     assert time.monotonic() - started < 90
+
+
+@pytest.mark.parametrize("n", [1, 7, 400])
+def test_rolled_parts_match_pandas(n):
+    rng = np.random.default_rng(n)
+    x = np.where(rng.random(n) < 0.2, np.nan, 1e6 + np.round(rng.normal(size=n), 2))
+    x[n // 2 : n // 2 + 60] = x[n // 2]
+    for w, parts in ranges.rolled(ranges.moments(x), [1, 2, 5, 50, 64, 1000], ranges.merged).items():
+        roll = pd.Series(x).rolling(w, min_periods=1)
+        assert np.allclose(ranges.known(parts), roll.mean(), equal_nan=True)
+        assert np.allclose(ranges.deviation(parts), roll.std() if w > 1 else np.nan, equal_nan=True, atol=1e-4)
+
+
+@pytest.mark.parametrize("name", ["t5_flow_set", "t16_generated_expansion", "f26_trailing_z_book", "f27_auxiliary_inputs"])
+def test_long_row_windows_are_not_walked_for_every_row(spark, name):
+    plan = runner(QUERIES[name])(spark, SF)._jdf.queryExecution().toString()
+    frames = [int(k) for k in re.findall(r"RowFrame, -(\d+)", plan)]
+    assert max(frames, default=0) < 60
+
+
+def test_wide_results_are_made_in_short_chunks():
+    assert ranges.array_layout(BOOK, 200).chunk_rows < ranges.array_layout(BOOK).chunk_rows < BOOK.chunk_rows

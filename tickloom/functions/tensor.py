@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import clip, ratio
 from tickloom.functions.flow import log_change_std
 from tickloom.operators.chunks import BOOK, Layout, chunked, own
-from tickloom.operators.quantiles import quantile_by
+from tickloom.operators.quantiles import quantile_by, quantiles_by
+from tickloom.operators.ranges import (
+    Arrays, array_layout, before, deviation, in_chunks, known, merged, moments, rolled,
+)
+from tickloom.session import materialised
 
 KEYS = ("symbol", "us", "seq")
 SIDES = ("ask", "bid")
@@ -62,15 +67,6 @@ def lob_tensor(
     return staged.select(*KEYS, *out)
 
 
-def _past(w: WindowSpec, n: int, x: Column) -> tuple[Column, Column]:
-    """Mean and floored deviation of the ``n`` rows before this one; NULL with fewer."""
-    frame = w.rowsBetween(-n, -1)
-    full = F.count(x).over(frame) >= n
-    mean = F.when(full, F.avg(x).over(frame))
-    sd = F.when(full, F.sqrt(F.greatest(F.var_pop(x).over(frame), F.lit(1e-12))))
-    return mean, sd
-
-
 def replicated_book(
     book: DataFrame,
     levels: int,
@@ -85,39 +81,39 @@ def replicated_book(
     Rows with fewer than the longer window before them are dropped.
     """
     start = max(price_window, size_window)
-    cut = chunked(book, layout, rows_back=start, spine=spine)
-    w = layout.window()
+    layout = array_layout(layout)
     ask, bid = F.col("ask_price_0"), F.col("bid_price_0")
     spread = ask - bid
-    ask_mean, ask_sd = _past(w, price_window, ask)
-    bid_mean, bid_sd = _past(w, price_window, bid)
-    spread_mean, _ = _past(w, price_window, spread)
     sizes = size_columns(levels)
-    size_stats = {c: _past(w, size_window, F.col(c)) for c in sizes}
-    staged = own(
-        cut.select(
-            *book.columns,
-            "_chunk",
-            "_own",
-            F.count(F.lit(1)).over(w.rowsBetween(-start, -1)).alias("_n"),
-            ask_mean.alias("_am"),
-            ask_sd.alias("_as"),
-            bid_mean.alias("_bm"),
-            bid_sd.alias("_bs"),
-            spread_mean.alias("_sm"),
-            *[m.alias(f"_m_{c}") for c, (m, _) in size_stats.items()],
-            *[s.alias(f"_s_{c}") for c, (_, s) in size_stats.items()],
-        )
-    ).filter(F.col("_n") >= start)
-    whole = quantile_by(
-        book.filter(spread > 0), ["symbol"], spread, 0.5, "_spread"
-    )
-    floors: DataFrame = whole
+    prices = [f"{s}_price_{i}" for s in ("ask", "bid") for i in range(levels)]
+    cut = chunked(book.select(*KEYS, *prices, *sizes), layout, rows_back=start, spine=spine)
+    names = ["_n", "_am", "_as", "_bm", "_bs", "_sm"] + [f"_{k}_{c}" for k in "ms" for c in sizes]
+
+    def made(arrays: Arrays) -> Arrays:
+        def past(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+            """Mean and floored deviation of the ``n`` rows before each; NaN with fewer."""
+            count, mean, squares = (before(p) for p in rolled(moments(x), [n], merged)[n])
+            with np.errstate(invalid="ignore"):
+                full = count >= n
+                sd = np.sqrt(np.maximum(squares / n, 1e-12))
+            return np.where(full, mean, np.nan), np.where(full, sd, np.nan)
+
+        a, b = arrays["ask_price_0"], arrays["bid_price_0"]
+        out = {"_n": np.arange(len(a), dtype=float)}
+        out["_am"], out["_as"] = past(a, price_window)
+        out["_bm"], out["_bs"] = past(b, price_window)
+        out["_sm"], _ = past(a - b, price_window)
+        for c in sizes:
+            out[f"_m_{c}"], out[f"_s_{c}"] = past(arrays[c], size_window)
+        return out
+
+    keep = [*KEYS, *prices, *sizes]
+    first = in_chunks(cut, layout, keep, [*prices, *sizes], names, made)
+    staged = materialised(first.filter(F.col("_n") >= start))  # read for the floors of each size, and again
+    floors = quantile_by(book.filter(spread > 0), ["symbol"], spread, 0.5, "_spread")
     for c in sizes:
-        low = quantile_by(staged, ["symbol"], f"_s_{c}", 0.1, f"_lo_{c}")
-        mid = quantile_by(staged, ["symbol"], f"_s_{c}", 0.5, f"_md_{c}")
-        floors = floors.join(low, "symbol").join(mid, "symbol")
-    rows = staged.join(floors, "symbol")
+        floors = floors.join(quantiles_by(staged, ["symbol"], f"_s_{c}", {f"_lo_{c}": 0.1, f"_md_{c}": 0.5}), "symbol")
+    rows = staged.join(F.broadcast(floors), "symbol")  # one row an instrument
     floor = F.when(F.col("_sm") > 0, F.col("_sm")).otherwise(F.col("_spread")) * 0.5
     out: list[Column] = []
     for side, price0, mean, sd, sign in (
@@ -156,11 +152,11 @@ def _lag_log(x: Column, w: WindowSpec) -> Column:
     return F.round(F.coalesce(value, F.lit(0.0)), 9)
 
 
-def _score(x: Column, w: WindowSpec, n: int) -> Column:
-    """Score against the last ``n`` rows; a flat stretch divides by a tiny constant."""
-    frame = w.rowsBetween(-(n - 1), 0)
-    mean, sd = F.avg(x).over(frame), F.stddev_samp(x).over(frame)
-    return (x - mean) / (F.when(sd == 0, F.lit(1e-9)).otherwise(sd) + 1e-9)
+def _score(x: np.ndarray, n: int) -> np.ndarray:
+    """Score against the last ``n`` rows; a flat stretch divides by a tiny constant, missing is 0."""
+    parts = rolled(moments(x), [n], merged)[n]
+    mean, sd = known(parts), deviation(parts)
+    return np.nan_to_num((x - mean) / (np.where(sd == 0, 1e-9, sd) + 1e-9), nan=0.0, posinf=None, neginf=None)
 
 
 def auxiliary_inputs(
@@ -168,14 +164,17 @@ def auxiliary_inputs(
     depth: int,
     *,
     window: int = 100,
+    names: Sequence[str] | None = None,
     layout: Layout = BOOK,
     spine: DataFrame | None = None,
 ) -> DataFrame:
     """Lag logs, depth, impact, flow and volatility inputs, scored on a trailing window.
 
     ``rows`` are book rows with ``signed_volume``, ``total_trade_volume`` and ``sell_count``.
-    Two inputs (book imbalance, volatility) stay unscored. Missing becomes 0.
+    Two inputs (book imbalance, volatility) stay unscored. Missing becomes 0. ``names`` picks some of
+    the inputs, so the others are not computed.
     """
+    layout = array_layout(layout)
     cut = chunked(rows, layout, rows_back=window + 60, spine=spine)
     w = layout.window()
     a0, b0, qa, qb = (F.col(c) for c in ("ask_price_0", "bid_price_0", "ask_size_0", "bid_size_0"))
@@ -242,21 +241,24 @@ def auxiliary_inputs(
             F.lit(0.0),
         ),
     }
+    if names is not None:
+        inputs = {n: c for n, c in inputs.items() if n in names}
+        plain = {n: c for n, c in plain.items() if n in names}
     third = second.select(
         *KEYS,
         "_chunk",
         "_own",
-        *[c.alias(n) for n, c in inputs.items()],
+        *[c.cast("double").alias(n) for n, c in inputs.items()],
         *[c.alias(n) for n, c in plain.items()],
     )
-    scored = third.select(
-        *KEYS,
-        "_chunk",
-        "_own",
-        *[F.round(F.coalesce(_score(F.col(n), w, window), F.lit(0.0)), 9).alias(n) for n in inputs],
-        *[F.round(n, 9).alias(n) for n in plain],
-    )
-    return own(scored)
+
+    scored = list(inputs)
+
+    def made(arrays: Arrays) -> Arrays:
+        return {n: _score(arrays[n], window) for n in scored}
+
+    out = in_chunks(third, layout, [*KEYS, *plain], scored, scored, made)
+    return out.select(*KEYS, *[F.round(n, 9).alias(n) for n in [*scored, *plain]])
 
 
 def windows_of_rows(

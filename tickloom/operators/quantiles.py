@@ -11,7 +11,7 @@ of it is ranked.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,18 +73,24 @@ def counted(values: DataFrame, by: Sequence[str]) -> DataFrame:
     return found.join(F.broadcast(found.groupBy(*by).agg(F.sum("_c").alias("_n"))), list(by))
 
 
-def quantile_by(df: DataFrame, keys: Sequence[str], value: Column | str, q: float, name: str) -> DataFrame:
-    """One row per key: the linearly interpolated ``q`` quantile of the non-missing values."""
+def quantiles_by(df: DataFrame, keys: Sequence[str], value: Column | str, qs: Mapping[str, float]) -> DataFrame:
+    """One row per key: the linearly interpolated quantiles ``qs`` of the non-missing values, which are
+    counted once for all of them."""
     v = F.col(value) if isinstance(value, str) else value
     by = list(keys) or ["_all"]
     base = df.select(*(keys or [F.lit(1).alias("_all")]), v.cast("double").alias("_v"))
-    found = counted(base.filter(F.col("_v").isNotNull() & ~F.isnan("_v")), by)
-    at = (F.col("_n") - 1) * F.lit(q)
-    low = F.floor(at)
-    found = found.select(
-        *by, "_v", "_c", low.alias("_low"), F.least(low + 1, F.col("_n") - 1).alias("_high"), "_n"
-    )
-    stored = materialised(found)
-    ends = at_ranks(stored.drop("_n"), by).join(stored.groupBy(*by).agg(F.first("_n").alias("_n")), by)
-    out = (F.col("_x") + (F.col("_y") - F.col("_x")) * (at - low)).alias(name)
-    return ends.select(*keys, out)
+    stored = materialised(counted(base.filter(F.col("_v").isNotNull() & ~F.isnan("_v")), by))
+    out = stored.groupBy(*by).agg(F.first("_n").alias("_n"))
+    for name, q in qs.items():
+        at = (F.col("_n") - 1) * F.lit(q)
+        low = F.floor(at)
+        ranks = [low.alias("_low"), F.least(low + 1, F.col("_n") - 1).alias("_high")]
+        ends = at_ranks(stored.select(*by, "_v", "_c", *ranks), by)
+        found = (F.col("_x") + (F.col("_y") - F.col("_x")) * (at - low)).alias(name)
+        out = out.join(ends, by).select(*out.columns, found)
+    return out.select(*keys, *qs)
+
+
+def quantile_by(df: DataFrame, keys: Sequence[str], value: Column | str, q: float, name: str) -> DataFrame:
+    """One row per key: the linearly interpolated ``q`` quantile of the non-missing values."""
+    return quantiles_by(df, keys, value, {name: q})

@@ -530,18 +530,15 @@ def f27(fx: Fixtures) -> DataFrame:
         F.lit(0).alias("sell_count"),
     )
     rows = fx.book.join(sums, ["symbol", "us", "seq"])
-    out = tensor.auxiliary_inputs(rows, 5, spine=fx.spine)
-    return out.select(
-        "symbol",
-        "us",
-        "seq",
+    names = [
         "ask_rate_lvl0_lag_1_log",
         "bid_depth_total_lag_1_log",
         "queue_imbalance",
         "ofi",
         "trade_flow_imbalance_1s",
         "book_imbalance",
-    )
+    ]
+    return tensor.auxiliary_inputs(rows, 5, names=names, spine=fx.spine).select("symbol", "us", "seq", *names)
 
 
 def walk_sql(side: str, size: float, levels: int = 5) -> str:
