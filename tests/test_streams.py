@@ -55,3 +55,16 @@ def test_without_a_grid_every_message_leaves_a_row(spark):
     out = flows.drained(stateful.book_state(level_changes(fed(spark, schema, [rows])), 2, grid_us=None))
     got = [(r["us"], r["seq"], r["bid_size_0"], r["bid_size_1"]) for r in out.orderBy("seq").collect()]
     assert got == [(0, 1, 1.0, 1.0), (30_000, 2, 5.0, 1.0), (30_000, 3, 5.0, 2.0)]
+
+
+def test_large_tables_are_replayed_in_more_parts(spark, monkeypatch):
+    from tickloom.streaming import flows
+
+    monkeypatch.setattr(flows, "ROWS_A_PART", 100)
+    rows = spark.range(1000).selectExpr("'s' AS symbol", "id * 1000 AS us", "id AS seq")
+    written = []
+    monkeypatch.setattr(flows, "materialised", lambda df: written.append(df) or df)
+    stream = flows.replay(rows)
+    assert len(written) == 1
+    back = flows.drained(stream)
+    assert back.count() == 1000 and len(back.inputFiles()) >= 10

@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tickloom.operators.rebuild import Ladder, flat_levels, level_names
 
 State = dict[str, Any]
-Step = Callable[[State, pd.DataFrame], list[tuple]]
+Step = Callable[[State, pd.DataFrame], list[tuple] | pd.DataFrame]
 
 
 def stateful(stream: DataFrame, step: Step, columns: list[str], schema: str, order: list[str], start: State) -> DataFrame:
@@ -111,12 +111,10 @@ def merged_by_time(rows: DataFrame, prints: DataFrame) -> DataFrame:
     b = prints.select("symbol", "us", F.lit(0).alias("kind"), F.col("trade_id").alias("id"), F.col("price").alias("value"))
     both = a.unionByName(b)
 
-    def step(saved: State, frame: pd.DataFrame) -> list[tuple]:
-        out = []
-        for us, kind, id_, value in frame[["us", "kind", "id", "value"]].itertuples(index=False):
-            saved["n"] += 1
-            out.append((us, kind, id_, value, saved["n"]))
-        return out
+    def step(saved: State, frame: pd.DataFrame) -> pd.DataFrame:
+        first = saved["n"] + 1
+        saved["n"] += len(frame)
+        return frame[["us", "kind", "id", "value"]].assign(place=range(first, saved["n"] + 1)).reset_index(drop=True)
 
     return stateful(
         both, step, ["us", "kind", "id", "value", "place"],
