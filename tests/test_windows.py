@@ -194,3 +194,15 @@ def test_long_rolling_moments_match_pandas(spark):
     assert np.allclose(got["v_std40"].astype(float), roll.std(), equal_nan=True, atol=1e-7)
     assert np.allclose(got["v_vol40"].astype(float), step.std(), equal_nan=True, atol=1e-7)
     assert (got.loc[190:259, "v_std40"] == 0).all() and (got.loc[190:259, "v_z40"] == 0).all()
+
+
+def test_paths_are_scanned_in_short_chunks(spark, monkeypatch):
+    from tickloom.operators import trades
+
+    seen = []
+    cut = trades.chunked
+    monkeypatch.setattr(trades, "chunked", lambda df, lay, **k: seen.append(lay.chunk_rows) or cut(df, lay, **k))
+    rows = spark.createDataFrame([("s", i, 0, 0.0, 1.0, 100.0, 0.5, 0.5) for i in range(9)], "symbol string, row long, decision int, forward_bp double, spread_bp double, mid double, p_buy double, p_sell double")
+    last = rows.groupBy("symbol").agg(F.max("row").alias("_last"))
+    found = trades.exits_on_path(rows, trades.ExitRules(hold=3, stop_loss_bp=5.0), last, ["symbol"], BOOK)
+    assert found.count() == 0 and seen == [trades.ROW_BUCKET]

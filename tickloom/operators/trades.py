@@ -176,8 +176,8 @@ def exits_on_path(
     ahead = rules.longest
     used = ["row", "decision", "forward_bp", "spread_bp", "mid", "p_buy", "p_sell"]
     marks = [marker] if marker else []
-    rows = rows.join(last, list(key))
-    lay = Layout(key=tuple(key), order=("row",), us="row", bucket_s=ROW_BUCKET / 1e6)
+    rows = rows.join(F.broadcast(last), list(key))  # one row a key
+    lay = Layout(key=tuple(key), order=("row",), us="row", bucket_s=ROW_BUCKET / 1e6, chunk_rows=ROW_BUCKET)
     cut = chunked(rows.select(*key, *used, *marks, "_last"), lay, rows_ahead=ahead + 1)
     fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join(f"`{k}` {fields[k]}" for k in key) + (
