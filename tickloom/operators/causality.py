@@ -1,4 +1,7 @@
-"""Checks that a feature reads only the past, and no further back than it says."""
+"""Checks that a feature reads only the past, and no further back than it says.
+
+A check builds its features twice, and each build plans chunks on its rows: they are written once.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.session import materialised
+
 KEYS = ("symbol", "us", "seq")
 Builder = Callable[[DataFrame], DataFrame]
 
@@ -27,12 +32,14 @@ def differing(full: DataFrame, other: DataFrame, columns: Sequence[str], toleran
 
 def truncation_check(rows: DataFrame, build: Builder, columns: Sequence[str], cut_us: int) -> DataFrame:
     """Values before a cut must not change when everything after it is taken away."""
+    rows = materialised(rows)
     full = build(rows).filter(F.col("us") < cut_us)
     return differing(full, build(rows.filter(F.col("us") < cut_us)), columns)
 
 
 def lookback_check(rows: DataFrame, build: Builder, columns: Sequence[str], lookback: int) -> DataFrame:
     """The last row of each series must not change when only the declared look-back is kept."""
+    rows = materialised(rows)
     w = Window.partitionBy("symbol").orderBy(F.desc("us"), F.desc("seq"))
     # A top-k per series: Spark keeps only the last rows of each task before the sort.
     kept = rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= lookback + 1).drop("_r")
@@ -42,6 +49,7 @@ def lookback_check(rows: DataFrame, build: Builder, columns: Sequence[str], look
 
 def mutation_check(rows: DataFrame, build: Builder, columns: Sequence[str], cut_us: int, value: str) -> DataFrame:
     """One row: digests of the values before a cut, with and without every later input changed."""
+    rows = materialised(rows)
     changed = rows.withColumn(value, F.when(F.col("us") >= cut_us, F.col(value) * 1.5 + 7).otherwise(F.col(value)))
 
     def digest(df: DataFrame, name: str) -> DataFrame:
