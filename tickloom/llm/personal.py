@@ -11,6 +11,7 @@ the next lower score but not below one half; a kind that never gets there adds n
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -18,17 +19,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.text import Texts, keyed, slices, split, table
+from tickloom.session import materialised
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
-#: Bounds of the training sample and of the fit.
-SAMPLE = 20_000
+#: Bounds of the fit.
 ROUNDS, DEPTH, RATE, BINS = 50, 3, 0.2, 32
 PRECISION, LEAST_CHOSEN = 0.9, 20
+#: Slices of the score, and the candidates that are worth a task of their own.
+SLICES, TASK_ROWS = 4096, 1 << 18
 
 DIGIT = table((48, 57))
 LOCAL = table((48, 57), (65, 90), (97, 122), *((b, b) for b in b"._%+-"))
@@ -211,6 +214,12 @@ def alone(body: bytes) -> tuple[Texts, Runs]:
     return texts, Runs(texts)
 
 
+def name_of(seen: bytes, kind: int) -> tuple[int, int]:
+    """64 bits that stand for a candidate and what surrounds it, and the half it falls into."""
+    seen += bytes([kind])
+    return int.from_bytes(hashlib.blake2b(seen, digest_size=8).digest(), "little", signed=True), zlib.crc32(seen) & 1
+
+
 def lessons(texts: Texts) -> Iterator[tuple[int, int, int, list[float]]]:
     """(name, held out, label, features) of every candidate and rewritten base span of some texts."""
     body, runs = texts.data.tobytes(), Runs(texts)
@@ -222,8 +231,8 @@ def lessons(texts: Texts) -> Iterator[tuple[int, int, int, list[float]]]:
         text = int(np.searchsorted(texts.offsets, start, "right"))
         low, high = int(texts.offsets[text - 1]), int(texts.offsets[text])
         label = int(bool((covered[start:end] & (1 << kind)).any()))
-        name = zlib.crc32(body[max(low, start - CONTEXT) : min(high, end + CONTEXT)] + bytes([kind]))
-        yield name, name & 1, label, features(body, low, high, (start, kind, end))
+        named = name_of(body[max(low, start - CONTEXT) : min(high, end + CONTEXT)], kind)
+        yield *named, label, features(body, low, high, (start, kind, end))
     for start, kind, end in base:
         text = int(np.searchsorted(texts.offsets, start, "right"))
         before = body[max(int(texts.offsets[text - 1]), start - CONTEXT) : start]
@@ -232,8 +241,7 @@ def lessons(texts: Texts) -> Iterator[tuple[int, int, int, list[float]]]:
             made = before + other + after
             for span in candidates(*alone(made), made):
                 if span[1] == kind and span[0] < len(before) + len(other) and span[2] > len(before):
-                    name = zlib.crc32(made + bytes([kind]))
-                    yield name, name & 1, 1, features(made, 0, len(made), span)
+                    yield *name_of(made, kind), 1, features(made, 0, len(made), span)
 
 
 @dataclass
@@ -254,61 +262,166 @@ class Boosted:
         return 1 / (1 + np.exp(-total))
 
 
-def boost(x: np.ndarray, y: np.ndarray) -> Boosted:
-    """Logistic boosting with symmetric trees: one split a level, the best over the summed leaves."""
-    rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-    prior = float(np.log(rate / (1 - rate)))
-    bounds = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
-    binned = np.stack([np.searchsorted(b, c) for b, c in zip(bounds, x.T, strict=True)])
-    total, trees = np.full(len(y), prior), []
+#: Gradients are summed as whole multiples of this, so sums do not depend on the order of the rows.
+UNIT = 2.0**-30
+
+
+def binned(bounds: list[np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Candidates with the number of each feature's bin instead of its value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = matrix(batch.column("features"))
+            bins = np.stack([np.searchsorted(b, c) for b, c in zip(bounds, x.T, strict=True)], axis=1).astype(np.uint8)
+            rows = pa.array([r.tobytes() for r in bins], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("held", "label")), rows], ["held", "label", "bins"])
+
+    return run
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """A column of lists of one length."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def bytes_of(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+
+
+Trees = list[tuple[list[tuple[int, int]], np.ndarray]]
+
+
+def leaf_of(bins: np.ndarray, splits: list[tuple[int, int]]) -> np.ndarray:
+    leaf = np.zeros(len(bins), np.int64)
+    for feature, at in splits:
+        leaf = 2 * leaf + (bins[:, feature] > at)
+    return leaf
+
+
+def raised(bins: np.ndarray, prior: float, trees: Trees) -> np.ndarray:
+    total = np.full(len(bins), prior)
+    for splits, leaves in trees:
+        total += leaves[leaf_of(bins, splits)]
+    return total
+
+
+def slopes(prior: float, trees: Trees, splits: list[tuple[int, int]], features: int):
+    """Sums of gradients and curvatures by (leaf of the tree that grows, feature, bin), in UNITs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = features * BINS << len(splits)
+        g, h = np.zeros(size), np.zeros(size)
+        for batch in batches:
+            bins = bytes_of(batch)
+            p = 1 / (1 + np.exp(-raised(bins, prior, trees)))
+            slope = np.rint((batch.column("label").to_numpy() - p) / UNIT)
+            bend = np.rint((p * (1 - p) + 1e-9) / UNIT)
+            leaf = leaf_of(bins, splits) * features
+            for f in range(features):
+                cell = (leaf + f) * BINS + bins[:, f]
+                g += np.bincount(cell, slope, size)
+                h += np.bincount(cell, bend, size)
+        at = np.flatnonzero(h)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at), *(pa.array(v[at].astype(np.int64)) for v in (g, h))], ["cell", "g", "h"]
+        )
+
+    return run
+
+
+def boost(rows: DataFrame, bounds: list[np.ndarray]) -> tuple[float, Trees] | None:
+    """Logistic boosting with symmetric trees: one split a level, the best over the summed leaves.
+
+    ``rows`` (``held``, ``label``, ``bins``) stay in their tasks; a level sums them by leaf, feature
+    and bin, and only these sums, of a fixed number, reach the driver.
+    """
+    train = rows.where("held = 0")
+    n, ones = train.agg(F.count("*"), F.sum("label")).first()
+    if not n or ones in (0, n):
+        return None
+    rate = min(max(ones / n, 1e-3), 1 - 1e-3)
+    prior, trees = float(np.log(rate / (1 - rate))), []
+    features = len(bounds)
     for _ in range(ROUNDS):
-        p = 1 / (1 + np.exp(-total))
-        slope, bend = y - p, p * (1 - p) + 1e-9
-        leaf, splits = np.zeros(len(y), np.int64), []
+        splits: list[tuple[int, int]] = []
         for level in range(DEPTH):
-            best = (-np.inf, 0, 0)
-            for f, own in enumerate(binned):
-                if not len(bounds[f]):
-                    continue
-                cell = leaf * BINS + own
-                g, h = (np.bincount(cell, v, BINS << level).reshape(-1, BINS) for v in (slope, bend))
-                gl, hl = np.cumsum(g, 1), np.cumsum(h, 1)
-                gain = gl**2 / (hl + 1) + (gl[:, -1:] - gl) ** 2 / (hl[:, -1:] - hl + 1)
-                gain = gain.sum(0)[: len(bounds[f])]
-                at = int(np.argmax(gain))
-                best = max(best, (float(gain[at]), f, at))
-            _, f, at = best
-            splits.append((f, float(bounds[f][at]) if len(bounds[f]) else np.inf))
-            leaf = 2 * leaf + (binned[f] > at)
-        g, h = (np.bincount(leaf, v, 1 << DEPTH) for v in (slope, bend))
-        leaves = RATE * g / (h + 1)
-        trees.append((splits, leaves))
-        total += leaves[leaf]
-    return Boosted(trees, prior, np.full(len(KINDS), np.inf))
-
-
-def fit(rows: pa.Table) -> Boosted | None:
-    """Trees from the rows that are not held out, thresholds from those that are."""
-    if not len(rows):
-        return None
-    x = np.array(rows.column("features").to_pylist(), dtype=float)
-    y, held = (rows.column(c).to_numpy().astype(int) for c in ("label", "held"))
-    if len(set(y[held == 0])) < 2:
+            made = train.mapInArrow(slopes(prior, trees, splits, features), "cell long, g long, h long")
+            sums = made.groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
+            both = np.zeros((2, features * BINS << level))
+            both[:, sums["cell"].to_numpy()] = [sums["g"].to_numpy() * UNIT, sums["h"].to_numpy() * UNIT]
+            g, h = both.reshape(2, -1, features, BINS)
+            gl, hl = np.cumsum(g, 2), np.cumsum(h, 2)
+            gain = (gl**2 / (hl + 1) + (gl[..., -1:] - gl) ** 2 / (hl[..., -1:] - hl + 1)).sum(0)
+            for f, own in enumerate(bounds):
+                gain[f, len(own) :] = -np.inf
+            f, at = divmod(int(np.argmax(gain)), BINS)
+            splits.append((f, at))
+        f, at = splits[-1]
+        left, right = ((v[:, f, : at + 1].sum(1), v[:, f, at + 1 :].sum(1)) for v in (g, h))
+        slope, bend = np.stack(left, 1).ravel(), np.stack(right, 1).ravel()
+        trees.append((splits, RATE * slope / (bend + 1)))
+    return prior, trees
+
+
+def thresholds(rows: DataFrame, prior: float, trees: Trees) -> np.ndarray:
+    """Each kind's threshold from all held-out candidates.
+
+    Running counts by descending score are taken in two levels, inside slices of the score and over
+    the slices, so no task sorts a kind.
+    """
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = bytes_of(batch)
+            score = 1 / (1 + np.exp(-raised(bins, prior, trees)))
+            kind = bins[:, : len(KINDS)].argmax(1)
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(score), batch.column("label")], ["kind", "score", "label"])
+
+    found = rows.where("held = 1").mapInArrow(scored, "kind long, score double, label int")
+    found = found.groupBy("kind", "score").agg(F.count("*").alias("n"), F.sum("label").alias("right"))
+    found = materialised(found.withColumn("slice", F.floor(F.col("score") * SLICES)))
+    ahead = Window.partitionBy("kind").orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("kind", "slice").orderBy(F.desc("score"))
+    sums = found.groupBy("kind", "slice").agg(*[F.sum(c).alias(c) for c in ("n", "right")])
+    sums = sums.select("kind", "slice", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_ahead") for c in ("n", "right")])
+    run = found.join(sums, ["kind", "slice"]).select(
+        "kind", "score", *[(F.sum(c).over(inside) + F.col(f"{c}_ahead")).alias(c) for c in ("n", "right")]
+    )
+    good = (F.col("right") >= PRECISION * F.col("n")) & (F.col("n") >= LEAST_CHOSEN)
+    lowest = run.where(good).groupBy("kind").agg(F.min("score").alias("lowest"))
+    below = found.join(F.broadcast(lowest), "kind").groupBy("kind", "lowest").agg(  # a row a kind
+        F.coalesce(F.max(F.when(F.col("score") < F.col("lowest"), F.col("score"))), F.lit(0.0)).alias("below")
+    )
+    out = np.full(len(KINDS), np.inf)
+    for r in below.collect():
+        out[r["kind"]] = min(r["lowest"], max(0.5, (r["lowest"] + r["below"]) / 2))
+    return out
+
+
+def fit(once: DataFrame) -> Boosted | None:
+    """Trees from all candidates that are not held out, thresholds from all that are.
+
+    ``once`` is a written table of ``held``, ``label`` and ``features``.
+    """
+    train = once.where("held = 0")
+    first = train.select(F.size("features").alias("n")).first()
+    if first is None:
         return None
-    model = boost(x[held == 0], y[held == 0].astype(float))
-    score = model.scores(x)
+    shares = F.array(*[F.lit(k / BINS) for k in range(1, BINS)])
+    # whole numbers: a feature's values are counted, not sorted
+    cuts = train.agg(*[F.percentile(F.col("features")[k], shares) for k in range(first["n"])]).first()
+    bounds = [np.unique(c) for c in cuts]
+    # kinds are told apart by their own bins
     for kind in range(len(KINDS)):
-        own = (held == 1) & (x[:, kind] == 1)
-        order = np.argsort(-score[own], kind="stable")
-        s, right = score[own][order], np.cumsum(y[own][order])
-        last = np.append(s[1:] != s[:-1], True) if len(s) else np.zeros(0, bool)
-        n = np.arange(1, len(s) + 1)
-        good = np.flatnonzero(last & (right >= PRECISION * n) & (n >= LEAST_CHOSEN))
-        if len(good):
-            lowest = s[good[-1]]
-            below = s[good[-1] + 1] if good[-1] + 1 < len(s) else 0.0
-            model.thresholds[kind] = min(lowest, max(0.5, (lowest + below) / 2))
-    return model
+        bounds[kind] = np.array([0.5])
+    rows = materialised(once.mapInArrow(binned(bounds), "held int, label int, bins binary"))
+    rows = rows.coalesce(max(1, rows.count() // TASK_ROWS))
+    made = boost(rows, bounds)
+    if made is None:
+        return None
+    prior, trees = made
+    valued = [([(f, float(bounds[f][at])) for f, at in splits], leaves) for splits, leaves in trees]
+    return Boosted(valued, prior, thresholds(rows, prior, trees))
 
 
 def chosen(texts: Texts, model: Boosted | None) -> list[list[tuple[int, int, int, bool, float]]]:
@@ -377,21 +490,18 @@ def taught(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays(columns, ["name", "held", "label", "features"])
 
 
-def personal_data(
-    docs: DataFrame, sample: int = SAMPLE, text: str = "text", id_col: str = "doc_id", redact: bool = False
-) -> DataFrame:
+def personal_data(docs: DataFrame, text: str = "text", id_col: str = "doc_id", redact: bool = False) -> DataFrame:
     """``id_col`` and ``found``: spans (kind, start, end in code points, base, score) of each text by
     start and kind; with ``redact`` also the text with each span replaced by its kind.
 
-    The trees learn from at most ``sample`` different candidates, those of the smallest hash. Null and
-    empty texts have no spans; repeated rows are answered each; ids may be null or repeat; an empty
-    table has no rows. Other columns are not read.
+    The trees learn from all different candidates. Null and empty texts have no spans; repeated rows are
+    answered each; ids may be null or repeat; an empty table has no rows. Other columns are not read.
     """
     lessons_of = docs.select(F.col(text).alias("text")).mapInArrow(
         taught, "name long, held int, label int, features array<double>"
     )
     once = lessons_of.groupBy("name").agg(*[F.max(c).alias(c) for c in ("held", "label", "features")])
-    model = fit(once.orderBy(F.xxhash64("name"), "name").limit(sample).toArrow())
+    model = fit(materialised(once.drop("name")))
     read = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text"))
     rest = "found array<struct<kind: string, start: long, end: long, base: boolean, score: double>>"
     schema = keyed(docs, id_col, rest + (", redacted string" if redact else ""))
