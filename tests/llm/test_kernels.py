@@ -118,6 +118,33 @@ def test_every_window_has_one_anchor_that_its_content_decides(seed):
     equal_windows_have_equal_anchors(joined, int(rng.integers(8, 80)), suffixes.byte_runs, str.encode)
 
 
+@pytest.mark.parametrize("width", [1, 2, 5, 7, 13])
+def test_byte_windows_of_any_width_have_anchors(width):
+    rng = np.random.default_rng(width)
+    rows = ["".join(rng.choice(list("abé"), int(rng.integers(0, 60)))) for _ in range(9)] + ["", "a" * 40, "ab" * 20]
+    equal_windows_have_equal_anchors(rows, width, suffixes.byte_runs, str.encode)
+
+
+def test_a_run_of_byte_windows_is_long():
+    rng = np.random.default_rng(4)
+    prose = ["".join(rng.choice(list("etaoin shrdlu"), 20_000)) for _ in range(5)]
+    runs = suffixes.byte_runs(whole(prose), 400)
+    assert sum(runs.high - runs.low + 1) == 5 * (20_000 - 399)
+    assert len(runs.low) < 100_000 / 70  # every run is a row of the first shuffle
+
+
+def test_prints_of_bytes_do_not_depend_on_place_or_length():
+    rng = np.random.default_rng(6)
+    piece = rng.integers(0, 256, 700).astype(np.uint8)
+    prime, want = int(text.PRIME), []
+    for lane in (2, 3):
+        want.append(sum((b + 1) * pow(text.PRIME_BASES[lane], k, prime) for k, b in enumerate(piece.tolist())) % prime)
+    for before in (0, 3, 1 << 23):  # sums of so many terms are reduced first
+        data = np.concatenate([np.full(before, 255, np.uint8), piece])
+        got = text.BytePrints(data, 1).of(np.array([before]), np.array([before + 700]))
+        assert got == text.mix(np.array([want[0] << 31 | want[1]], np.uint64))
+
+
 def test_multikey_quicksort_sorts():
     rng = np.random.default_rng(1)
     for _ in range(20):
