@@ -8,6 +8,7 @@ import itertools
 import math
 import random
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -154,6 +155,20 @@ def test_byte_dedup_matches_brute_force(docs, awkward, seed):
     )
 
 
+def test_runs_are_computed_once(spark, tmp_path):
+    prose = " ".join(str(k) for k in range(400))
+    named = spark.createDataFrame([(1, prose), (2, "x" + prose)], "row long, _text string").coalesce(1)
+
+    def kernel(texts):
+        (tmp_path / uuid.uuid4().hex).touch()
+        return suffixes.byte_runs(texts, 60)
+
+    store = repeats.Store(spark)
+    assert repeats.candidates(repeats.find_runs(named, kernel), store).where("NOT sure").count() > 0
+    assert len(list(tmp_path.iterdir())) == 1
+    store.clear()
+
+
 def test_long_texts_pass_both(docs, awkward):
     long = [r for r in awkward if r[0] == 7]
     assert recompress.substring_dedup(docs(long)).first().n_words == 60_000
