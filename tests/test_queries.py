@@ -9,7 +9,7 @@ import pytest
 from tickloom.operators import chunks
 from tickloom.plans import catalog
 from tickloom.plans.check import compare, connect
-from tickloom.plans.registry import QUERIES, full_sql, runner
+from tickloom.plans.registry import QUERIES, full_sql, runner, tidy
 
 catalog.load()
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -45,6 +45,14 @@ def test_result_does_not_depend_on_the_chunks(spark, con, name, monkeypatch):
     assert compare(runner(q)(spark, SF), con, full_sql(q)) == ""
 
 
+def test_last_digits_round_as_in_sql(spark, con):
+    halves = [(k + 0.5) / 1e6 for k in range(0, 400_000_000, 39_999)]  # 10,001 of them, stored just off the half
+    values = [*halves, *[-v for v in halves[:999]], 0.0, 1e305, float("inf"), float("nan"), None]
+    got = tidy(spark.createDataFrame([(v,) for v in values], "v double")).toArrow()["v"]
+    want = con.execute("SELECT round(v, 6) + 0.0 FROM (SELECT unnest(?::DOUBLE[]) AS v)", [values]).fetchall()
+    assert [str(v.as_py()) for v in got] == [str(r[0]) for r in want]
+
+
 def test_a_spine_that_lacks_a_bucket_is_an_error(spark):
     rows = spark.createDataFrame([("s", i * 3_600_000_000, i) for i in range(5)], "symbol string, us long, seq long")
     spine = chunks.SameRows(rows.filter("seq <> 3"))
