@@ -68,3 +68,60 @@ def test_large_tables_are_replayed_in_more_parts(spark, monkeypatch):
     assert len(written) == 1
     back = flows.drained(stream)
     assert back.count() == 1000 and len(back.inputFiles()) >= 10
+
+
+def test_no_part_reads_the_whole_table(spark, monkeypatch):
+    """Each part is written from its own rows: with ten parts the table is not read ten times."""
+    from tickloom.session import materialised
+
+    monkeypatch.setattr(flows, "ROWS_A_PART", 100)
+    stored = materialised(spark.range(1000).selectExpr("'s' AS symbol", "id * 1000 AS us", "id AS seq"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(flows, "materialised", lambda df: df.mapInArrow(counted, df.schema))
+    stream = flows.replay(stored)
+    assert seen.value <= 3 * 1000  # counted, cut, dealt
+    assert sorted(r["seq"] for r in flows.drained(stream).collect()) == list(range(1000))
+
+
+def test_events_wait_in_state_as_blocks(spark):
+    """A trigger's rows of an instrument take one value of state a block, not one a row."""
+    from pyspark.sql.streaming.stateful_processor import ListState
+
+    events = [("s", k * S, k % 2, k, float(k)) for k in range(1, 1001)]
+    late = [("s", 2000 * S, 0, 2000, 0.0)]
+    stream = fed(spark, EVENTS, [events[500:], events[:500], late])
+    out = flows.drained(timed.merged(stream, "1000 seconds"), typed=True).orderBy("place").collect()
+    assert [(r["us"] // S, r["kind"], r["place"]) for r in out] == [(k, k % 2, k) for k in range(1, 1000)]
+
+    class Handle:
+        def getListState(self, *_):  # noqa: N802
+            return held
+
+        def getValueState(self, *_):  # noqa: N802
+            return None
+
+        def registerTimer(self, *_):  # noqa: N802
+            pass
+
+    class Held(ListState):
+        def __init__(self):
+            self.values = []
+
+        def appendValue(self, value):  # noqa: N802
+            self.values.append(value)
+
+        def appendList(self, values):  # noqa: N802
+            self.values += values
+
+    import pandas as pd
+
+    held, merge = Held(), timed.Merge()
+    merge.init(Handle())
+    list(merge.handleInputRows(("s",), iter([pd.DataFrame(events, columns=["symbol", "us", "kind", "id", "value"])]), None))
+    assert len(held.values) == 1
