@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import functools
 import hashlib
 import itertools
 import math
@@ -467,6 +468,60 @@ def test_base_scores_match_counting(docs, awkward):
     assert max(familiar) < 4.5
 
 
+def test_contexts_name_every_byte(docs, monkeypatch):
+    """Letters that are not among the 31 commonest bytes tell what follows them as well as any."""
+    common = "abcdefghijklmnopqrstuvwxyz012345" * 60
+    pairs = "".join(f"{a}{b}" * 4 for a, b in zip("67{}[]<>", "()=+-*/%", strict=True)) * 12
+    texts = [(1, common), (2, pairs), (3, "7)" * 40), (4, "6)" * 40), (5, ""), (6, "67")]
+    learn = F.col("doc_id") <= 2
+    got = {r.doc_id: r for r in contextlm.score(docs(texts), learn).collect()}
+    grams = collections.Counter()
+    for _, text in texts[:2]:
+        padded = "A" * 3 + text
+        grams.update((tuple(map(ord, padded[i : i + 3])), ord(text[i])) for i in range(len(text)))
+
+    @functools.cache
+    def seen(suffix, prefix):
+        found = [0, 0]
+        for (before, byte), n in grams.items():
+            bits = f"{byte:08b}"
+            if before[3 - len(suffix) :] == suffix and bits.startswith(prefix):
+                found[int(bits[len(prefix)])] += n
+        return found
+
+    def own(suffix, prefix):
+        a, b = seen(suffix, prefix)
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    @functools.cache
+    def weighted(suffix, prefix):
+        if len(suffix) == 3:
+            return own(suffix, prefix)
+        longer = {before[2 - len(suffix) :] for before, _ in grams if before[3 - len(suffix) :] == suffix}
+        return np.logaddexp(own(suffix, prefix), sum(weighted(w, prefix) for w in longer)) - math.log(2)
+
+    def one(context, depth, prefix):
+        suffix = context[3 - depth :]
+        a, b = seen(suffix, prefix)
+        if depth == 3:
+            return (b + 0.5) / (a + b + 1)
+        share = math.exp(own(suffix, prefix) - math.log(2) - weighted(suffix, prefix))
+        return share * (b + 0.5) / (a + b + 1) + (1 - share) * one(context, depth + 1, prefix)
+
+    for i, text in texts[2:]:
+        padded, want = "A" * 3 + text, 0.0
+        for at, byte in enumerate(map(ord, text)):
+            context, bits = tuple(map(ord, padded[at : at + 3])), f"{byte:08b}"
+            for k in range(8):
+                p = one(context, 0, bits[:k])
+                want += math.log10(p if bits[k] == "1" else 1 - p)
+        assert got[i].score == pytest.approx(want, abs=1e-3)
+    assert got[2].bits_per_byte < 1
+    monkeypatch.setattr(contextlm, "FREQUENT_STRINGS", 8)  # nearly all strings are joined
+    again = {r.doc_id: r.score for r in contextlm.score(docs(texts), learn).collect()}
+    assert again == pytest.approx({i: r.score for i, r in got.items()}, abs=1e-6)
+
+
 def test_nothing_to_learn_from(docs):
     r = contextlm.score(docs([(1, "abc")]), F.lit(False)).first()
     assert r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0.0
